@@ -10,7 +10,7 @@ connected, and the blocks bound what one task holds.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -37,11 +37,12 @@ def candidate_pairs(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pairs.unionByName(stars).distinct(), large.select("key", "node")
 
 
-def rest_of_large(large: DataFrame, found: DataFrame, payload: DataFrame, compare: Callable) -> DataFrame:
-    """Pairs of large buckets whose ends are in two components of ``found`` (node, component).
+def rest_of_large(large: DataFrame, found: DataFrame, payload: Callable[[DataFrame], DataFrame], compare: Callable, check: Callable | None) -> DataFrame:
+    """Verified pairs of large buckets that tie components of ``found`` (node, component) together.
 
-    ``payload`` is (node, data binary); ``compare(key, left, right)`` gets a bucket's key and two
-    lists of data and gives a boolean matrix of the pairs worth a check.
+    ``payload`` turns (node) into (node, data binary). ``compare`` takes two lists of data and
+    gives a boolean matrix; where it is true, ``check`` (if any) decides on a pair of data. A
+    block returns a spanning forest of what it ties, so no more rows than it has members.
     """
     named = large.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     per = named.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
@@ -49,7 +50,10 @@ def rest_of_large(large: DataFrame, found: DataFrame, payload: DataFrame, compar
         F.count(F.lit(1)).alias("parts"), F.expr("max(struct(n, component)).component").alias("main"), F.sum("n").alias("all"),
         (F.sum("n") - F.max("n")).alias("outside"),
     ).where("parts > 1")
-    rows = named.join(main, "key").join(payload, "node")
+    open_rows = cut(named.join(main, "key"))
+    if open_rows.isEmpty():
+        return open_rows.select(F.col("node").alias("a"), F.col("node").alias("b"))
+    rows = open_rows.join(payload(open_rows.select("node").distinct()), "node")
     block = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
     own = lambda n: F.pmod(F.xxhash64(F.lit(n), "node"), block(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), block(n) - 1))
@@ -58,32 +62,34 @@ def rest_of_large(large: DataFrame, found: DataFrame, payload: DataFrame, compar
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        ok = compare(int(pdf["key"].iloc[0]), left["data"].tolist(), right["data"].tolist())
-        ok &= left["component"].to_numpy()[:, None] != right["component"].to_numpy()[None, :]
-        x, y = np.nonzero(ok)
-        a, b = left["node"].to_numpy()[x], right["node"].to_numpy()[y]
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    return outside.unionByName(inside).groupBy("key", "i", "j").applyInPandas(run, "a long, b long").distinct()
-
-
-def link(members: DataFrame, payload: DataFrame, compare: Callable, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(node, component) of all nodes with a verified link. ``verify`` keeps the true pairs of (a, b)."""
+        out = []
+        if len(left) and len(right):
+            of_left, of_right = left["component"].to_numpy(), right["component"].to_numpy()
+            data_left, data_right = left["data"].tolist(), right["data"].tolist()
+            ok = compare(data_left, data_right) & (of_left[:, None] != of_right[None, :])
+            root = {c: c for c in {*of_left.tolist(), *of_right.tolist()}}
+
+            def find(c: int) -> int:
+                while root[c] != c:
+                    root[c] = c = root[root[c]]
+                return c
+
+            for x, y in np.argwhere(ok).tolist():
+                c, d = find(int(of_left[x])), find(int(of_right[y]))
+                if c != d and (check is None or check(data_left[x], data_right[y])):
+                    root[c] = d
+                    out.append((int(left["node"].iloc[x]), int(right["node"].iloc[y])))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return outside.unionByName(inside).groupBy("key", "i", "j").applyInPandas(run, "a long, b long")
+
+
+def link(members: DataFrame, verify: Callable[[DataFrame, DataFrame], DataFrame], payload: Callable[[DataFrame], DataFrame], compare: Callable, check: Callable | None = None) -> DataFrame:
+    """(node, component) of all nodes with a verified link. ``verify`` keeps the true pairs of (a, b); it also gets the nodes of large buckets."""
     pairs, large = candidate_pairs(members)
     large = cut(large)
-    first = cut(verify(cut(pairs)))
-    found = components(first)
+    found = components(verify(cut(pairs), large.select("node").distinct()))
     if large.isEmpty():
         return found
-    pairs = cut(rest_of_large(large, found, payload, compare))
-    if pairs.isEmpty():
-        return found
-    return components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(verify(pairs)))
-
-
-def batches_of(rows: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame]:
-    for pdf in rows:
-        for at in range(0, len(pdf), most):
-            yield pdf.iloc[at : at + most]
+    more = rest_of_large(large, found, payload, compare, check)
+    return components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))

@@ -55,13 +55,13 @@ def minima(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, words: int, bands: int) -> DataFrame:
-    """Per row of (doc_id, text): size of its set, a 128-bit name of the set, band keys and short minima."""
+    """Per row of (doc_id, text): size of its set, a 128-bit name of the set, and band keys."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         a, b = family(bands * ROWS)
         step = np.arange(1, bands + 1, dtype=np.uint64) << np.uint64(40)
         for pdf in batches:
-            n, s1, s2, keys, short = [], [], [], [], []
+            n, s1, s2, keys = [], [], [], []
             for text in pdf["text"]:
                 x = shingle_set(text, words)
                 n.append(len(x))
@@ -69,23 +69,43 @@ def sketches(docs: DataFrame, words: int, bands: int) -> DataFrame:
                 s2.append(np.bitwise_xor.reduce(mix(x + np.uint64(12345))).view(np.int64) if len(x) else None)
                 if not len(x):
                     keys.append(None)
-                    short.append(None)
                     continue
                 m = minima(x, a, b)
                 key = step
                 for r in range(ROWS):
                     key = mix(key + m[r::ROWS])
                 keys.append(key.view(np.int64))
-                short.append(m.astype(np.uint8).tobytes())
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n": n, "s1": pd.array(s1, dtype="Int64"), "s2": pd.array(s2, dtype="Int64"), "keys": keys, "short": short})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n": n, "s1": pd.array(s1, dtype="Int64"), "s2": pd.array(s2, dtype="Int64"), "keys": keys})
 
-    return docs.mapInPandas(run, "doc_id long, n long, s1 long, s2 long, keys array<long>, short binary")
+    return docs.mapInPandas(run, "doc_id long, n long, s1 long, s2 long, keys array<long>")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of two blocks, by a product of incidence matrices."""
+    x, y = np.concatenate(left), np.concatenate(right)
+    both = np.intersect1d(x, y)
+
+    def incidence(sets: list[np.ndarray], values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        of = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.searchsorted(both, values)
+        hit = both[np.minimum(at, len(both) - 1)] == values if len(both) else np.zeros(len(values), dtype=bool)
+        return of[hit], at[hit]
+
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    (of_x, at_x), (of_y, at_y) = incidence(left, x), incidence(right, y)
+    for low in range(0, len(both), 4096):
+        part = []
+        for n, of, at in ((len(left), of_x, at_x), (len(right), of_y, at_y)):
+            m = np.zeros((n, 4096), dtype=np.float32)
+            here = (at >= low) & (at < low + 4096)
+            m[of[here], at[here] - low] = 1
+            part.append(m)
+        out += part[0] @ part[1].T
+    return np.rint(out).astype(np.int64)
+
+
+def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = docs.join(ids, "doc_id")
     left, right = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("left")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("right"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -114,16 +134,27 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     mine = cut(made.select("doc_id", "n", "s1", "s2").join(classes, ["s1", "s2", "n"], "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep")))
     reps = linkable.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     members = reps.select(F.explode("keys").alias("key"), F.col("doc_id").alias("node")).distinct()
-    payload = reps.select(F.col("doc_id").alias("node"), "short").groupBy("node").agg(F.min("short").alias("data"))
-    t = percent / 100
-    least = (t - 4.5 * math.sqrt(t * (1 - t) / (bands * ROWS))) * bands * ROWS
+    kept: dict[str, DataFrame] = {}
+
+    def verify(pairs: DataFrame, large: DataFrame) -> DataFrame:
+        ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).unionByName(large.select(F.col("node").alias("doc_id")))
+        kept["texts"] = cut(docs.join(ids.distinct(), "doc_id"))
+        return verified(pairs, kept["texts"], words, percent)
+
+    def payload(nodes: DataFrame) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                yield pd.DataFrame({"node": pdf["doc_id"], "data": [shingle_set(t, words).tobytes() for t in pdf["text"]]})
+
+        return kept["texts"].join(nodes.withColumnRenamed("node", "doc_id"), "doc_id").mapInPandas(run, "node long, data binary")
 
-    def compare(key: int, left: list[bytes], right: list[bytes]) -> np.ndarray:
-        """Signature check: pairs that agree in too few minima are no candidates."""
-        x, y = (np.frombuffer(b"".join(v), dtype=np.uint8).reshape(len(v), -1) for v in (left, right))
-        return np.stack([(row == y).sum(axis=1) for row in x]) >= least
+    def compare(left: list[bytes], right: list[bytes]) -> np.ndarray:
+        x, y = ([np.frombuffer(d, dtype=np.uint64) for d in side] for side in (left, right))
+        both = overlaps(x, y)
+        union = np.array([len(v) for v in x])[:, None] + np.array([len(v) for v in y])[None, :] - both
+        return 100 * both >= percent * union
 
-    found = link(members, payload, compare, lambda pairs: verified(pairs, docs, words, percent))
+    found = link(members, verify, payload, compare)
     out = mine.join(found.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.coalesce("component", "rep", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from .language import op4_language
+from .near import op6_near_duplicates
 from .pieces import op8_sentencepiece
+from .quality import op9_quality
 from .secrets import op3_secrets
 from .sharding import op5_sharding
 
-QUERIES = {f.__name__: f for f in (op3_secrets, op4_language, op5_sharding, op8_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op3_secrets, op4_language, op5_sharding, op6_near_duplicates, op8_sentencepiece, op9_quality)}
 ORACLE_SQL: dict[str, str] = {}
