@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +30,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def map_chunks(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], ddl: str, rows: int = 128) -> DataFrame:
+    """``df`` through ``fn`` in runs of a few rows, so that a worker never holds a whole Arrow batch as Python strings."""
+    schema = StructType.fromDDL(ddl)
+    arrow = to_arrow_schema(schema)
+    nullable = {pa.int64(): pd.Int64Dtype(), pa.int32(): pd.Int32Dtype()}.get
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                yield pa.RecordBatch.from_pandas(fn(batch.slice(at, rows).to_pandas(types_mapper=nullable)), schema=arrow, preserve_index=False)
+
+    return df.mapInArrow(run, schema)
+
+
 def id_fold(column: str, folds: int):
     """crc32 of the id as text, modulo ``folds``; null for a null id."""
     return F.crc32(F.col(column).cast("string")) % folds

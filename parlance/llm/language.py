@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -25,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_fold, table
+from .common import id_fold, map_chunks, table
 
 DIMENSIONS, PER_LANGUAGE, LANGUAGES, SEED = 1 << 13, 400, 48, 4
 UNDECIDED = "und"
@@ -127,13 +126,12 @@ def fit(docs: DataFrame) -> Model:
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "doc_id", "text"), 11) / float(1 << 53)
     chosen = usable.where(F.col("text").isNotNull()).withColumn("draw", draw).where(F.col("draw") < limits[F.col("lang")])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pdf = pdf[[bool(LETTER.search(t)) for t in pdf["text"]]]
-            packed = [np.minimum(counts(t), 65535).astype("<u2").tobytes() for t in pdf["text"]]
-            yield pd.DataFrame({"lang": pdf["lang"], "draw": pdf["draw"], "packed": packed})
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf[[bool(LETTER.search(t)) for t in pdf["text"]]]
+        packed = [np.minimum(counts(t), 65535).astype("<u2").tobytes() for t in pdf["text"]]
+        return pd.DataFrame({"lang": pdf["lang"], "draw": pdf["draw"], "packed": packed})
 
-    rows = chosen.select("lang", "draw", "text").mapInPandas(run, "lang string, draw double, packed binary").collect()
+    rows = map_chunks(chosen.select("lang", "draw", "text"), run, "lang string, draw double, packed binary").collect()
     kept = [r for lang in sorted(share) for r in sorted((r for r in rows if r["lang"] == lang), key=lambda r: (r["draw"], bytes(r["packed"])))[:PER_LANGUAGE]]
     x = np.array([features(np.frombuffer(r["packed"], dtype="<u2").astype(np.int64)) for r in kept], dtype=np.float32).reshape(len(kept), DIMENSIONS)
     return Model(x, [r["lang"] for r in kept])

@@ -16,11 +16,11 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from .common import table
+from .common import map_chunks, table
 
 MARK = "▁"
 TABLE = 400_000
@@ -88,54 +88,28 @@ def chunk_table(path: str) -> ChunkTable:
     return _tables[path]
 
 
-def _blocks(texts: list[str], most: int = 1 << 20) -> Iterator[list[str]]:
-    """Runs of texts of about ``most`` characters together."""
-    block, size = [], 0
-    for t in texts:
-        block.append(t)
-        size += len(t)
-        if size >= most:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
+def encode(docs: DataFrame, model_path: str, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``ids`` (array of int), ``n_tokens`` and ``decoded``. Columns of these names are replaced."""
+    kept = docs.drop("ids", "n_tokens", "decoded")
 
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        joined, count, back = zip(*chunk_table(model_path).rows([t or "" for t in pdf[text_col]]))
+        ids = [np.array(x.split(","), dtype=np.int32) if x else np.zeros(0, dtype=np.int32) for x in joined]
+        return pdf.assign(ids=ids, n_tokens=count, decoded=back)
 
-def encode(docs: DataFrame, model_path: str, text_col: str = "text", decoded: bool = False) -> DataFrame:
-    """``docs`` with ``ids`` (array of int), ``n_tokens`` and, if asked, ``decoded``. Columns of these names are replaced."""
-    keep = [c for c in docs.columns if c.lower() not in ("ids", "n_tokens", "decoded")]
-    added = "ids array<int>, n_tokens long" + ", decoded string" * decoded
-    schema = docs.select(*keep).schema
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        chunks = chunk_table(model_path)
-        for pdf in batches:
-            at = 0
-            for block in _blocks(pdf[text_col].fillna("").tolist()):
-                out = list(chunks.rows(block))
-                part = pdf.iloc[at : at + len(block)].assign(ids=[[int(i) for i in x[0].split(",")] if x[1] else [] for x in out], n_tokens=[x[1] for x in out])
-                at += len(block)
-                yield part.assign(decoded=[x[2] for x in out]) if decoded else part
-
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
-    return docs.select(*keep).mapInPandas(run, f"{ddl}, {added}")
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
+    return map_chunks(kept, run, f"{ddl}, ids array<int>, n_tokens long, decoded string", rows=256)
 
 
 def digests(docs: DataFrame, model_path: str) -> DataFrame:
     """The number of ids and the SHA-256 of ids and decoded text of every document."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        chunks = chunk_table(model_path)
-        for pdf in batches:
-            ids, count, back = [], [], []
-            for block in _blocks(pdf["text"].fillna("").tolist()):
-                for joined, n, decoded in chunks.rows(block):
-                    ids.append(hashlib.sha256(joined.encode()).hexdigest())
-                    count.append(n)
-                    back.append(hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest())
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": count, "ids_sha256": ids, "decoded_sha256": back})
-
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        joined, count, back = zip(*chunk_table(model_path).rows([t or "" for t in pdf["text"]]))
+        name = lambda texts: [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in texts]
+        return pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": count, "ids_sha256": name(joined), "decoded_sha256": name(back)})
+
+    return map_chunks(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", rows=256)
 
 
 def model_path() -> str:

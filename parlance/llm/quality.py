@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_fold, mix, table, word_hashes
+from .common import id_fold, map_chunks, mix, table, word_hashes
 
 SAMPLE, SEED = 3000, 9
 LETTERS, CAPITALS, DIGITS, SPACES, COMMON, MARKS, HIGH = range(7)
@@ -212,17 +212,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     n = usable.count()
     chosen = usable.withColumn("draw", draw).where(F.col("draw") < 1.5 * sample / max(n, 1)).orderBy("draw", "doc_id").limit(sample)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            made = [line_features([t]) for t in pdf["text"].fillna("")]
-            yield pd.DataFrame({
-                "doc_id": pdf["doc_id"], "quality": pdf["quality"], "lines": [len(s) for _, s, _ in made],
-                "x": [x.astype("<f4").tobytes() for x, _, _ in made], "size": [s.astype("<f4").tobytes() for _, s, _ in made],
-            })
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        made = [line_features([t or ""]) for t in pdf["text"]]
+        pack = lambda arrays: [x.astype("<f4").tobytes() for x in arrays]
+        return pdf[["doc_id", "quality"]].assign(lines=[len(m[1]) for m in made], x=pack(m[0] for m in made), size=pack(m[1] for m in made))
 
     # The sample has at most ``sample`` rows of two numbers, so it can be broadcast.
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
-    found = sorted(rows.mapInPandas(run, "doc_id long, quality int, lines int, x binary, size binary").collect(), key=lambda r: (r["doc_id"], r["quality"], bytes(r["x"])))
+    found = sorted(map_chunks(rows, run, "doc_id long, quality int, lines int, x binary, size binary").collect(), key=lambda r: (r["doc_id"], r["quality"], bytes(r["x"])))
     width = line_features([""])[0].shape[1]
     if len({r["quality"] for r in found}) < 2:
         return Model(np.zeros(width), (0.0, 0.0), np.zeros(width), np.ones(width), (1.0, 0.0))

@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import map_chunks, table
 
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -191,14 +191,13 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: its id, base spans and all spans as arrays of (kind, start, end)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = [scan(t) for t in pdf["text"].fillna("")]
-            named = lambda spans: [{"kind": KINDS[k], "start": s, "end": e} for s, k, e in spans]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "base": [named(b) for b, _ in found], "spans": [named(a) for _, a in found]})
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = [scan(t or "") for t in pdf["text"]]
+        named = lambda spans: [{"kind": KINDS[k], "start": s, "end": e} for s, k, e in spans]
+        return pd.DataFrame({"doc_id": pdf["doc_id"], "base": [named(b) for b, _ in found], "spans": [named(a) for _, a in found]})
 
     span = "array<struct<kind: string, start: long, end: long>>"
-    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInPandas(run, f"doc_id long, base {span}, spans {span}")
+    return map_chunks(docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")), run, f"doc_id long, base {span}, spans {span}")
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
