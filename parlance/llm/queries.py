@@ -7,6 +7,7 @@ from .language import op4_language
 from .leaks import op7_decontamination
 from .licences import SQL as LICENCES_SQL
 from .licences import op2_licences
+from .lines import op10_lines
 from .near import op6_near_duplicates
 from .pieces import op8_sentencepiece
 from .quality import op9_quality
@@ -15,6 +16,6 @@ from .sharding import op5_sharding
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_fingerprints, op2_licences, op3_secrets, op4_language, op5_sharding, op6_near_duplicates, op7_decontamination, op8_sentencepiece, op9_quality)
+    for f in (op1_fingerprints, op2_licences, op3_secrets, op4_language, op5_sharding, op6_near_duplicates, op7_decontamination, op8_sentencepiece, op9_quality, op10_lines)
 }
 ORACLE_SQL: dict[str, str] = {"op2_licences": LICENCES_SQL}
