@@ -1,5 +1,10 @@
 """The queries on the driver's tables, by name, and their DuckDB SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from .plans import speech
+
+_MODULES = (speech,)
+QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
+ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}
 FLAGSHIP = "m0_speaker_entries"
