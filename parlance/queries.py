@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import speech, voices
+from .plans import speech, texts, voices
 
-_MODULES = (speech, voices)
+_MODULES = (speech, voices, texts)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}
 FLAGSHIP = "m0_speaker_entries"
