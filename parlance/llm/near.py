@@ -16,7 +16,6 @@ are one class. Extra columns of the input are carried through or not read.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .buckets import link
-from .common import cut, mix, shingle_hashes, table, word_hashes
+from .common import cut, map_chunks, mix, shingle_hashes, table, word_hashes
 
 ROWS = 4
 
@@ -49,35 +48,33 @@ def family(n: int) -> tuple[np.ndarray, np.ndarray]:
 def minima(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The least of the upper halves of a * x + b for each function."""
     out = np.full(len(a), np.uint64(2**64 - 1))
-    for at in range(0, len(shingles), 512):
-        np.minimum(out, (a[:, None] * shingles[None, at : at + 512] + b[:, None]).min(axis=1), out=out)
+    for at in range(0, len(shingles), 256):
+        part = a[:, None] * shingles[None, at : at + 256]
+        part += b[:, None]
+        np.minimum(out, part.min(axis=1), out=out)
     return out >> np.uint64(24)
 
 
 def sketches(docs: DataFrame, words: int, bands: int) -> DataFrame:
     """Per row of (doc_id, text): size of its set, a 128-bit name of the set, and band keys."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        a, b = family(bands * ROWS)
-        step = np.arange(1, bands + 1, dtype=np.uint64) << np.uint64(40)
-        for pdf in batches:
-            n, s1, s2, keys = [], [], [], []
-            for text in pdf["text"]:
-                x = shingle_set(text, words)
-                n.append(len(x))
-                s1.append(mix(x).sum(dtype=np.uint64).view(np.int64) if len(x) else None)
-                s2.append(np.bitwise_xor.reduce(mix(x + np.uint64(12345))).view(np.int64) if len(x) else None)
-                if not len(x):
-                    keys.append(None)
-                    continue
-                m = minima(x, a, b)
-                key = step
-                for r in range(ROWS):
-                    key = mix(key + m[r::ROWS])
-                keys.append(key.view(np.int64))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n": n, "s1": pd.array(s1, dtype="Int64"), "s2": pd.array(s2, dtype="Int64"), "keys": keys})
-
-    return docs.mapInPandas(run, "doc_id long, n long, s1 long, s2 long, keys array<long>")
+    a, b = family(bands * ROWS)
+    step = np.arange(1, bands + 1, dtype=np.uint64) << np.uint64(40)
+
+    def one(text: str | None) -> tuple:
+        x = shingle_set(text, words)
+        if not len(x):
+            return 0, None, None, None
+        m, key = minima(x, a, b), step
+        for r in range(ROWS):
+            key = mix(key + m[r::ROWS])
+        return len(x), mix(x).sum(dtype=np.uint64).view(np.int64), np.bitwise_xor.reduce(mix(x + np.uint64(12345))).view(np.int64), key.view(np.int64)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        n, s1, s2, keys = zip(*map(one, pdf["text"]))
+        return pd.DataFrame({"doc_id": pdf["doc_id"], "n": n, "s1": pd.array(s1, dtype="Int64"), "s2": pd.array(s2, dtype="Int64"), "keys": keys})
+
+    return map_chunks(docs, run, "doc_id long, n long, s1 long, s2 long, keys array<long>")
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -108,20 +105,18 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
     """The pairs (a, b) whose full sets are similar enough."""
     left, right = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("left")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("right"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        id_a, set_a = None, np.zeros(0)
-        for pdf in batches:
-            keep = []
-            for a, x, y in zip(pdf["a"], pdf["left"], pdf["right"]):
-                if a != id_a:
-                    id_a, set_a = a, shingle_set(x, words)
-                set_b = shingle_set(y, words)
-                both = len(np.intersect1d(set_a, set_b, assume_unique=True))
-                keep.append(100 * both >= percent * (len(set_a) + len(set_b) - both))
-            yield pdf.loc[keep, ["a", "b"]]
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        id_a, set_a, keep = None, np.zeros(0), []
+        for a, x, y in zip(pdf["a"], pdf["left"], pdf["right"]):
+            if a != id_a:
+                id_a, set_a = a, shingle_set(x, words)
+            set_b = shingle_set(y, words)
+            both = len(np.intersect1d(set_a, set_b, assume_unique=True))
+            keep.append(100 * both >= percent * (len(set_a) + len(set_b) - both))
+        return pdf.loc[keep, ["a", "b"]]
 
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
-    return joined.mapInPandas(run, "a long, b long")
+    return map_chunks(joined, run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -142,11 +137,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         return verified(pairs, kept["texts"], words, percent)
 
     def payload(nodes: DataFrame) -> DataFrame:
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                yield pd.DataFrame({"node": pdf["doc_id"], "data": [shingle_set(t, words).tobytes() for t in pdf["text"]]})
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"node": pdf["doc_id"], "data": [shingle_set(t, words).tobytes() for t in pdf["text"]]})
 
-        return kept["texts"].join(nodes.withColumnRenamed("node", "doc_id"), "doc_id").mapInPandas(run, "node long, data binary")
+        return map_chunks(kept["texts"].join(nodes.withColumnRenamed("node", "doc_id"), "doc_id"), run, "node long, data binary")
 
     def compare(left: list[bytes], right: list[bytes]) -> np.ndarray:
         x, y = ([np.frombuffer(d, dtype=np.uint64) for d in side] for side in (left, right))
