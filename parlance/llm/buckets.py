@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import cut
 from .components import components
 
-SMALL, BLOCK = 16, 256
+SMALL, BLOCK = 16, 512
 
 
 def candidate_pairs(members: DataFrame) -> tuple[DataFrame, DataFrame]:

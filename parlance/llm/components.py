@@ -31,10 +31,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     logarithm of the longest chain. Self-links and repeated links are harmless; links with a
     null end are ignored; no links give no rows.
     """
-    edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    loops = edges.where("u = v").select("u").distinct()
-    edges = cut(edges.where("u <> v").distinct())
-    mark = None
+    given = cut(links.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
+    edges, loops, mark = given.where("u <> v"), given.where("u = v").select("u"), None
     while True:
         new = edges.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).head()
         if new == mark or new[0] == 0:
