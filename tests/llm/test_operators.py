@@ -328,11 +328,29 @@ def hash_of(line):
     return int(r.s1) & (2**64 - 1), int(r.s2) & (2**64 - 1)
 
 
-def test_lines(docs, empty):
+def test_simhash_votes():
+    rng = np.random.default_rng(1)
+    words, weight, begins = rng.integers(0, 2**62, 200).astype(np.uint64), rng.integers(1, 16, 200).astype(np.uint8), np.array([0, 1, 7, 60, 61, 90, 120, 130, 140, 180])
+    got = lines.simhash(words, weight, begins)
+    bits = np.unpackbits(np.stack([near.mix(words + np.uint64(7)), near.mix(words + np.uint64(11))], axis=1).view(np.uint8), axis=1)
+    for k, (a, b) in enumerate(zip(begins, [*begins[1:], 200])):
+        want = 2 * (bits[a:b] * weight[a:b, None].astype(int)).sum(axis=0) > weight[a:b].sum()
+        assert (np.packbits(want).view(np.int64) == got[k]).all()
+
+
+def test_lines(spark, empty):
+    rng = random.Random(9)
+    wide = rng.choices(vocabulary("en", 2000), k=150)
+    rows = [*ROWS]
+    for i in range(30):  # long lines that differ in a word, in one bucket or another
+        w = list(wide)
+        w[5 * i] = "an"
+        rows.append((300 + i, " ".join(w) + "\nshort line", "en", "src0", 1, 7, "x", 1, 2, "clash"))
+    docs = spark.createDataFrame(rows, DOC_SCHEMA)
     got = lines.deduplicate_lines(docs.withColumnRenamed("key", "n_lines")).collect()
-    assert len(got) == len(ROWS)
+    assert len(got) == len(rows)
     per_doc = defaultdict(list)
-    for i, t in sorted(set(BY_ID), key=lambda r: r[0]):
+    for i, t in sorted({(r[0], r[1]) for r in rows if r[0] is not None}, key=lambda r: r[0]):
         if t is not None:
             per_doc[i] = t.split("\n")
     keyed, first = {}, {}
