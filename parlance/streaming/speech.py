@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.windows import MAX_GAP_US, MAX_WINDOW_US, PAD_US, add_segment
+from ..operators.windows import PAD_US, add_segment
 from ..sources.derived import SCALE
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -119,6 +119,3 @@ def dead_taps(ticks: DataFrame, least: int = DEAD_TICKS) -> DataFrame:
     runs = live.withColumn("_run", F.sum((F.col("far") > 0).cast("int")).over(W.partitionBy("channel").orderBy("tick")))
     silent = runs.where("far = 0").groupBy("channel", "_run").agg(F.min("tick").alias("start"), F.max("tick").alias("end"), F.count(F.lit(1)).alias("n"))
     return silent.where(F.col("n") >= least).drop("_run")
-
-
-__all__ = ["MAX_GAP_US", "MAX_WINDOW_US", "append_only", "checkpoint_to", "dead_taps", "online_windows", "run_to_end", "settled", "shed", "sliding_counts", "stream_events", "watermarks"]
