@@ -12,8 +12,6 @@ fingerprints. Repeated rows each get a row. Extra columns of the input are not r
 
 from __future__ import annotations
 
-from itertools import pairwise
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
