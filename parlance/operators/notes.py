@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -44,3 +46,23 @@ def prompt(title: Column, language: Column, names: Column, body: Column) -> Colu
     """Context lines that are known, then the transcript."""
     line = lambda label, value: F.when(value.isNotNull() & (value != ""), F.concat(F.lit(f"{label}: "), value))
     return F.concat_ws("\n", line("Title", title), line("Language", language), line("Attendees", F.array_join(names, ", ")), F.lit("Transcript:"), body)
+
+
+def unwrapped(text: str) -> tuple[str | None, str]:
+    """Title (of a leading first-level heading, or null) and body of notes, without a code fence around the whole."""
+    lines = text.strip().split("\n")
+    if len(lines) > 1 and lines[0].lstrip().startswith("```") and lines[-1].strip() == "```" and not any(x.lstrip().startswith("```") for x in lines[1:-1]):
+        lines = lines[1:-1]
+    while lines and not lines[0].strip():
+        lines.pop(0)
+    if lines and lines[0].startswith("# "):
+        return lines[0][2:].strip(), "\n".join(lines[1:]).strip()
+    return None, "\n".join(lines).strip()
+
+
+_NOTE = T.StructType([T.StructField("title", T.StringType()), T.StructField("body", T.StringType())])
+
+
+@F.pandas_udf(_NOTE)
+def unwrap(text: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([unwrapped(t or "") for t in text], columns=["title", "body"])

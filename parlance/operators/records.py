@@ -175,3 +175,13 @@ def hysteresis(values: list[float], high: float, low: float) -> list[bool]:
 
 def token_scores(depth: int, first: float = 1.0, factor: float = 2.0) -> float:
     return first if depth <= 1 else first * factor + math.log(depth)
+
+
+def quiet_cuts(levels: list[float], every: int, reach: int) -> list[int]:
+    """Places to cut at: near each multiple of ``every`` after the last cut, the quietest within ``reach`` on either side; the first of equals."""
+    cuts, at = [], 0
+    while at + every < len(levels):
+        low, high = max(at + 1, at + every - reach), min(len(levels) - 1, at + every + reach)
+        at = min(range(low, high + 1), key=lambda i: (levels[i], i))
+        cuts.append(at)
+    return cuts

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import intervals, matching, notes, speech, voices
+from ..operators import intervals, matching, notes, records, speech, voices
 from ..sources.derived import ENTRIES_SQL, EVENTS_SQL, entries, read, turns, words
 from .scoring import _pairs
 from .speech import _MERGED
@@ -143,6 +144,49 @@ def nt04_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("meeting", F.md5(notes.prompt(title, F.lit("en"), F.col("names"), F.col("n"))).alias("digest"))
 
 
+def fn21_unwrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FN-21: title and body of notes, every other one in a fence."""
+    fenced = F.when(F.col("meeting") % 2 == 0, F.concat(F.lit("```markdown\n# Notes\n"), F.lit("body "), F.col("meeting").cast("string"), F.lit("\n```"))).otherwise(F.concat(F.lit("body "), F.col("meeting").cast("string")))
+    rows = entries(spark, sf_dir).select("meeting").distinct().select("meeting", notes.unwrap(fenced).alias("n"))
+    return rows.select("meeting", "n.title", "n.body")
+
+
+def wn20_hysteresis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WN-20: per vector, places at or above its 90th percentile grown over neighbours above zero."""
+
+    @F.pandas_udf("int")
+    def count(x: pd.Series) -> pd.Series:
+        return pd.Series([sum(records.hysteresis(list(v), sorted(v)[int(0.9 * (len(v) - 1))], 0.0)) if len(v) else 0 for v in x])
+
+    return read(spark, sf_dir, "embeddings").select("vec_id", count("embedding").alias("n_on"))
+
+
+def wn21_quiet_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WN-21: vectors cut at the quietest of seven places around every sixteenth."""
+
+    @F.pandas_udf("array<int>")
+    def cuts(x: pd.Series) -> pd.Series:
+        return pd.Series([records.quiet_cuts([abs(float(y)) for y in v], 16, 3) for v in x])
+
+    return read(spark, sf_dir, "embeddings").select("vec_id", F.array_join(cuts("embedding").cast("array<string>"), ",").alias("cuts"))
+
+
+def ev05_time_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EV-05: for words that are equal in both hearings of a turn, how far their places differ: median and 90th percentile in places."""
+    steps = _pairs(spark, sf_dir).select(F.explode(matching.align("ref", "hyp")).alias("s")).where("s.step = 'm'").select(F.abs(F.col("s.ref") - F.col("s.hyp")).alias("d"))
+    return steps.agg(F.expr("percentile_disc(0.5) within group (order by d)").cast("int").alias("p50"), F.expr("percentile_disc(0.9) within group (order by d)").cast("int").alias("p90"), F.count(F.lit(1)).alias("n"))
+
+
+def ev13_galleries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EV-13 and EV-15: word texts of channels by the speaker that dominates them, with their clean time."""
+    w = words(spark, sf_dir).select("channel", "text", "start_us", "end_us")
+    t = turns(spark, sf_dir).select("channel", "speaker", F.col("start_us").alias("t_start"), F.col("end_us").alias("t_end"))
+    both = intervals.overlap(w, t, ["channel"], ("start_us", "end_us"), ("t_start", "t_end"), speech.BIN_US)
+    sums = both.groupBy("channel", "text", "speaker").agg(F.sum("shared").alias("shared"))
+    owners = sums.groupBy("channel", "text").agg(F.min_by("speaker", F.struct(-F.col("shared"), "speaker")).alias("speaker"), F.max("shared").alias("shared"))
+    return owners.groupBy("channel", "speaker").agg(F.array_join(F.array_sort(F.collect_list("text")), ",").alias("texts"), F.sum("shared").alias("shared"))
+
+
 _W = f"WITH {EVENTS_SQL}"
 _FENCED = f"""WITH {ENTRIES_SQL},
 l AS (SELECT meeting, row_number() OVER (PARTITION BY meeting ORDER BY seq) - 1 AS line, CASE WHEN seq % 7 = 3 THEN '```' WHEN seq % 5 = 0 THEN '## ' || speaker ELSE '- ' || speaker END AS content FROM entries),
@@ -150,7 +194,7 @@ f AS (SELECT *, content = '```' OR coalesce(sum(CAST(content = '```' AS INT)) OV
 h AS (SELECT *, NOT fenced AND content LIKE '## %' AS head FROM f)"""
 QUERIES = {f.__name__: f for f in (
     ev06_verdicts, ev08_tally, ev10_corrections, ev11_gate, ev14_arms, ev16_duration_gate, ev17_weighted_naming, ev20_clean_frames, ev22_echo_path, ev27_masked,
-    jn10_region_words, jn11_best_window, fn22_headings, fn22_sections, nt03_missing_sections, nt04_prompt,
+    jn10_region_words, jn11_best_window, fn21_unwrap, fn22_headings, fn22_sections, nt03_missing_sections, nt04_prompt, wn20_hysteresis, wn21_quiet_cuts, ev05_time_deltas, ev13_galleries,
 )}
 ORACLE_SQL = {
     "ev10_corrections": """WITH p AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^\\p{L}]+')) AS w FROM benchmark), m AS (SELECT conv_id, unnest(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}]+')) AS w FROM conversations)
@@ -170,6 +214,9 @@ SELECT user_id, CASE WHEN share < 0.2 OR share = 1 OR gain IS NULL THEN 'inconcl
 p AS (SELECT w.seq, m.start_us AS t, least(w.end_us, m.end_us) - greatest(w.start_us, m.start_us) AS shared FROM words w JOIN m ON w.channel = m.channel AND w.start_us < m.end_us AND m.start_us < w.end_us),
 b AS (SELECT seq, arg_min(t, (-shared, t)) AS window_us FROM p GROUP BY seq) SELECT w.seq, b.window_us FROM words w LEFT JOIN b USING (seq)""",
     "jn10_region_words": _W + " SELECT t.seq AS turn, string_agg(w.text, ' ' ORDER BY w.start_us, w.seq) AS words FROM words w JOIN turns t ON w.channel = t.channel AND w.mid_us BETWEEN t.start_us - 250000 AND t.end_us + 250000 GROUP BY t.seq",
+    "fn21_unwrap": "SELECT DISTINCT conv_id AS meeting, CASE WHEN conv_id % 2 = 0 THEN 'Notes' END AS title, 'body ' || conv_id AS body FROM conversations",
+    "ev13_galleries": _W + """, p AS (SELECT w.channel, w.text, t.speaker, CAST(sum(least(w.end_us, t.end_us) - greatest(w.start_us, t.start_us)) AS BIGINT) AS shared FROM words w JOIN turns t ON w.channel = t.channel AND w.start_us < t.end_us AND t.start_us < w.end_us GROUP BY w.channel, w.text, t.speaker),
+o AS (SELECT channel, text, arg_min(speaker, (-shared, speaker)) AS speaker, max(shared) AS shared FROM p GROUP BY channel, text) SELECT channel, speaker, string_agg(text, ',' ORDER BY text) AS texts, CAST(sum(shared) AS BIGINT) AS shared FROM o GROUP BY channel, speaker""",
     "fn22_headings": _FENCED + " SELECT meeting, line, 2 AS level, content[4:] AS title FROM h WHERE head",
     "fn22_sections": _FENCED + """, s AS (SELECT *, CAST(sum(CAST(head AS INT)) OVER (PARTITION BY meeting ORDER BY line ROWS UNBOUNDED PRECEDING) AS BIGINT) AS section FROM h)
 SELECT meeting, section, max(content[4:]) FILTER (head) AS title, count(*) FILTER (NOT head) AS n_lines FROM s GROUP BY meeting, section""",

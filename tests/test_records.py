@@ -73,3 +73,10 @@ def test_profiles_of_both_versions(spark):
 def test_free_names(spark, names, want):
     df = spark.createDataFrame(list(enumerate(names)), "seq long, base string")
     assert [r.name for r in transcripts.free_names(df, "base").orderBy("seq").collect()] == want
+
+
+def test_cuts_and_unwrapping():
+    assert records.quiet_cuts([5, 5, 5, 1, 5, 5, 5, 0, 5], 4, 1) == [3, 7] and records.quiet_cuts([1, 2], 4, 1) == []
+    assert notes.unwrapped("```md\n# T\n\nbody\n```") == ("T", "body")
+    assert notes.unwrapped("a\n```\ncode\n```") == (None, "a\n```\ncode\n```")
+    assert notes.unwrapped("") == (None, "")
