@@ -69,6 +69,6 @@ def to_entries(runs: DataFrame, key: Sequence[str] = ("channel",)) -> DataFrame:
 
 
 def first_appearance(rows: DataFrame, label: str, order: Sequence[str], key: Sequence[str]) -> DataFrame:
-    """(key, label, rank): labels numbered from 1 by where they first appear."""
-    firsts = rows.groupBy(*key, label).agg(F.min(F.struct(*order)).alias("_first"))
-    return firsts.select(*key, label, F.row_number().over(W.partitionBy(*key).orderBy("_first")).cast("long").alias("rank"))
+    """``rows`` with ``rank``: labels numbered from 1 by where they first appear."""
+    first = F.min(F.struct(*order)).over(W.partitionBy(*key, label))
+    return rows.withColumn("_first", first).withColumn("rank", F.dense_rank().over(W.partitionBy(*key).orderBy("_first")).cast("long")).drop("_first")

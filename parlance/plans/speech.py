@@ -39,8 +39,7 @@ def jn02_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def m0_speaker_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN-01 + JN-02 + WN-01 + PRJ-08: speaker-labelled entries with labels by first appearance."""
     made = speech.to_entries(speech.sessions(speech.assign(words(spark, sf_dir), turns(spark, sf_dir))))
-    ranks = speech.first_appearance(made, "speaker", ["start_us", "run"], ["channel"])
-    return made.join(ranks, ["channel", "speaker"]).withColumn("label", F.concat(F.lit("S"), "rank")).drop("rank")
+    return speech.first_appearance(made, "speaker", ["start_us", "run"], ["channel"]).withColumn("label", F.concat(F.lit("S"), "rank")).drop("rank")
 
 
 def wn01_gap_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
