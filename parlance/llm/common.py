@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -30,7 +32,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def map_chunks(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], ddl: str, rows: int = 128) -> DataFrame:
+def _cuts(batch: pa.RecordBatch, rows: int, size: int) -> list[int]:
+    """Where to cut a batch so that a part has at most ``rows`` rows and, but for a single row, about ``size`` bytes of text."""
+    texts = [pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False) for c in batch.columns if pa.types.is_string(c.type) or pa.types.is_binary(c.type)]
+    each = np.sum(texts, axis=0) if texts else np.zeros(batch.num_rows)
+    cuts, held = [0], 0
+    for i, n in enumerate(each.tolist()):
+        if i > cuts[-1] and (i - cuts[-1] >= rows or held + n > size):
+            cuts.append(i)
+            held = 0
+        held += n
+    return [*cuts, batch.num_rows]
+
+
+def map_chunks(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], ddl: str, rows: int = 128, size: int = 1 << 20) -> DataFrame:
     """``df`` through ``fn`` in runs of a few rows, so that a worker never holds a whole Arrow batch as Python strings."""
     schema = StructType.fromDDL(ddl)
     arrow = to_arrow_schema(schema)
@@ -38,8 +53,9 @@ def map_chunks(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], ddl: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                yield pa.RecordBatch.from_pandas(fn(batch.slice(at, rows).to_pandas(types_mapper=nullable)), schema=arrow, preserve_index=False)
+            for at, to in pairwise(_cuts(batch, rows, size)):
+                if to > at:
+                    yield pa.RecordBatch.from_pandas(fn(batch.slice(at, to - at).to_pandas(types_mapper=nullable)), schema=arrow, preserve_index=False)
 
     return df.mapInArrow(run, schema)
 

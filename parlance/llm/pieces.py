@@ -6,8 +6,8 @@ another character, nor a line feed beside another character, merges never cross
 two chunks, so each distinct chunk is segmented once and the ids of a text are those of its
 chunks, joined by position. ``check_vocabulary`` proves this for the model before use.
 
-Each Python worker keeps the table of the chunks that it has met, up to ``TABLE`` entries, then
-starts anew; nothing is shuffled. A null text counts as empty: no ids, empty decoded text.
+Each task keeps the table of the chunks that it has met, up to ``TABLE`` entries, then starts
+anew; nothing is shuffled. A null text counts as empty: no ids, empty decoded text.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import map_chunks, table
 
 MARK = "▁"
-TABLE = 400_000
+TABLE = 250_000
 CHUNK = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
 
 
@@ -78,22 +78,24 @@ class ChunkTable:
             yield ",".join([x[0] for x in found]), sum([x[1] for x in found]), decoded[1:] if decoded.startswith(" ") else decoded
 
 
-_tables: dict[str, ChunkTable] = {}
+def _rows_of(model_path: str):
+    """``ChunkTable.rows`` with a table that lives as long as a task."""
+    held: list[ChunkTable] = []
 
+    def rows(texts: pd.Series) -> tuple:
+        if not held:
+            held.append(ChunkTable(model_path))
+        return tuple(zip(*held[0].rows([t or "" for t in texts])))
 
-def chunk_table(path: str) -> ChunkTable:
-    """This worker's table for a model."""
-    if path not in _tables:
-        _tables[path] = ChunkTable(path)
-    return _tables[path]
+    return rows
 
 
 def encode(docs: DataFrame, model_path: str, text_col: str = "text") -> DataFrame:
     """``docs`` with ``ids`` (array of int), ``n_tokens`` and ``decoded``. Columns of these names are replaced."""
-    kept = docs.drop("ids", "n_tokens", "decoded")
+    kept, rows = docs.drop("ids", "n_tokens", "decoded"), _rows_of(model_path)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        joined, count, back = zip(*chunk_table(model_path).rows([t or "" for t in pdf[text_col]]))
+        joined, count, back = rows(pdf[text_col])
         ids = [np.array(x.split(","), dtype=np.int32) if x else np.zeros(0, dtype=np.int32) for x in joined]
         return pdf.assign(ids=ids, n_tokens=count, decoded=back)
 
@@ -103,9 +105,10 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text") -> DataFram
 
 def digests(docs: DataFrame, model_path: str) -> DataFrame:
     """The number of ids and the SHA-256 of ids and decoded text of every document."""
+    rows = _rows_of(model_path)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        joined, count, back = zip(*chunk_table(model_path).rows([t or "" for t in pdf["text"]]))
+        joined, count, back = rows(pdf["text"])
         name = lambda texts: [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in texts]
         return pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": count, "ids_sha256": name(joined), "decoded_sha256": name(back)})
 
