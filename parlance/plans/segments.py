@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -43,6 +42,12 @@ def fn16_name_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "customer").select("c_custkey", F.posexplode(T.name_forms(name)).alias("place", "form"))
 
 
+def fn25_token_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FN-25: the reward at each token of the benchmark's texts, as phrases."""
+    rows = read(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.split("text", " ")).alias("place", "token"))
+    return rows.select("item_id", (F.col("place") + 1).alias("depth"), F.round(T.token_score(F.col("place") + 1), 6).alias("score"))
+
+
 def ev19_cross_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EV-19: false alarms of galleries of other groups at the thresholds of the own group with the best detection at a false alarm rate."""
     rows = _scored(spark, sf_dir).withColumn("place", F.when(F.col("trial") < 0, -F.col("trial") - 1).otherwise(F.col("trial")))
@@ -57,7 +62,7 @@ def ev19_cross_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SEGMENTS = f"WITH {EVENTS_SQL}, s AS (SELECT *, start_us // {SEGMENT_US} AS segment FROM words)"
-QUERIES = {f.__name__: f for f in (prj01_shifted, prj02_clipped, fn16_name_forms, ev19_cross_groups)}
+QUERIES = {f.__name__: f for f in (prj01_shifted, prj02_clipped, fn16_name_forms, fn25_token_scores, ev19_cross_groups)}
 ORACLE_SQL = {
     "prj01_shifted": _SEGMENTS + f""" SELECT channel, segment, min(start_us) + {OFFSET_US} AS start, max(end_us) + {OFFSET_US} AS "end", CAST(sum(start_us + end_us + {2 * OFFSET_US}) AS BIGINT) AS word_times FROM s GROUP BY channel, segment""",
     "prj02_clipped": _SEGMENTS + f""", k AS (SELECT *, mid_us >= segment * {SEGMENT_US} + {SEGMENT_US // 2} AS kept FROM s)
@@ -65,6 +70,8 @@ SELECT channel, segment, CASE WHEN bool_and(kept) THEN string_agg(text, '_' ORDE
 min(start_us) FILTER (kept) AS start, max(end_us) FILTER (kept) AS "end", count(*) FILTER (kept) AS n_words FROM k GROUP BY channel, segment HAVING bool_or(kept)""",
     "fn16_name_forms": """WITH n AS (SELECT c_custkey, replace(c_name, '#', ' ') AS name FROM customer), f AS (SELECT c_custkey, name, list_filter(string_split_regex(name, '\\s+'), lambda p: p <> '') AS parts FROM n),
 g AS (SELECT c_custkey, CASE WHEN len(parts) > 1 THEN list_prepend(name, parts) ELSE [name] END AS forms FROM f) SELECT c_custkey, generate_subscripts(forms, 1) - 1 AS place, unnest(forms) AS form FROM g""",
+    "fn25_token_scores": """WITH t AS (SELECT item_id, generate_subscripts(string_split(text, ' '), 1) AS depth FROM benchmark)
+SELECT item_id, CAST(depth AS INT) AS depth, round(CASE WHEN depth <= 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE + ln(depth) END, 6) AS score FROM t""",
     "ev19_cross_groups": VOICES_SQL + f""", p AS (SELECT *, CASE WHEN trial < 0 THEN -trial - 1 ELSE trial END // {GROUP} = profile // {GROUP} AS own FROM scored),
 b AS (SELECT trial, own, arg_min(profile, (-score, profile)) AS profile, round(max(score), 4) AS score FROM p GROUP BY trial, own),
 c AS (SELECT score, count(*) FILTER (trial >= 0 AND profile = trial) AS rgt, count(*) FILTER (trial < 0) AS st FROM b WHERE own GROUP BY score),
