@@ -3,7 +3,7 @@
 A text is layer 0. Each layer is scanned for the base kinds; then its encoded stretches (percent
 escapes, Unicode escapes, base64, and gzip or zlib data inside base64) are unwrapped into new
 layers that join the worklist, until no layer gives a new one. A layer whose content was met
-before in the same text is not opened again, so cycles end. Every position of a layer maps to a
+before at the same span of the text is not opened again, so cycles end. Every position of a layer maps to a
 stretch of the layer above, so a find at any depth is reported as a span of the whole text.
 
 Base kinds, each leftmost and non-overlapping: ``assign`` (group 2 of 6 characters or more),
@@ -178,9 +178,11 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
             found.append(_unicode(layer))
         found += _base64(layer)
         for new in found:
-            if new is not None and new.text != text and (key := hashlib.blake2b(new.text.encode("utf-8", "surrogatepass"), digest_size=16).digest()) not in seen:
-                seen.add(key)
-                work.append(new)
+            if new is not None and new.text != text:
+                key = (hashlib.blake2b(new.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), new.to_root(0, len(new.text)))
+                if key not in seen:
+                    seen.add(key)
+                    work.append(new)
     return base, sorted(spans)
 
 

@@ -135,6 +135,15 @@ def test_base_rules_and_cycles():
     assert secrets.scan("") == ([], [])
 
 
+@pytest.mark.parametrize("pack", [bytes, gzip.compress, zlib.compress])
+def test_repeated_blobs(pack):
+    blob = base64.b64encode(pack(b"password=hunter22secret"))
+    text = f"a {blob.decode()} b\n" * 3
+    _, spans = secrets.scan(text)
+    line = len(text) // 3
+    assert len(spans) == 3 and [s % line for s, _, _ in spans] == [spans[0][0]] * 3
+
+
 def test_find_secrets(spark, docs, empty):
     got = secrets.find_secrets(spark.createDataFrame([(None, "token=abcdefgh", 1), (9007199254740993, None, 2), (3, "", 3)], "doc_id long, text string, spans int")).collect()
     assert [(r.doc_id, len(r.base), len(r.spans)) for r in got] == [(None, 1, 1), (9007199254740993, 0, 0), (3, 0, 0)]
