@@ -1,7 +1,8 @@
 """Secret scans with a worklist of decoded layers.
 
 A text is layer 0. Each layer is scanned for the base kinds; then its encoded stretches (percent
-escapes, Unicode escapes, base64, and gzip or zlib data inside base64) are unwrapped into new
+escapes, Unicode escapes, base64 (also wrapped over lines, or with other characters before or
+after it), and gzip or zlib data inside base64, however often packed) are unwrapped into new
 layers that join the worklist, until no layer gives a new one. A layer whose content was met
 before at the same span of the text is not opened again, so cycles end. Every position of a layer maps to a
 stretch of the layer above, so a find at any depth is reported as a span of the whole text.
@@ -16,7 +17,6 @@ still scanned as text. Rows keep their ids, repeated or null; other columns are
 from __future__ import annotations
 
 import base64
-import binascii
 import hashlib
 import re
 import zlib
@@ -36,7 +36,14 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KEYWORD = re.compile(r"passw|secret|token|api_?key", re.IGNORECASE | re.ASCII)
 PERCENT = re.compile(r"%[0-9A-Fa-f]{2}")
 UNICODE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#x[0-9A-Fa-f]{1,6};")
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+# Runs that lines end or fill are one candidate: base64 wrapped at any width. The last line may be short.
+BASE64 = re.compile(
+    r"[A-Za-z0-9+/_-]{16,}+(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]{16,}+(?=[ \t]*(?:\r?\n|$)|=))*+(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]++(?=[ \t]*(?:\r?\n|$)|=))?={0,2}"
+)
+LINE = re.compile(r"[A-Za-z0-9+/_-]+")
+#: Least bytes of text in a run that is not text as a whole: those of 16 characters.
+LEAST = 12
+MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
 MAX_LAYER = 64 << 20
 
 
@@ -119,47 +126,110 @@ def _unicode(layer: Layer) -> Layer | None:
     return _substituted(layer, pieces) if pieces else None
 
 
-def _inflate(data: bytes) -> bytes:
-    """``data``, or what it holds if it is one gzip or zlib stream of bounded size."""
-    if data[:2] == b"\x1f\x8b" or (data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0):
+def _inflate(data: bytes) -> tuple[bytes, int] | None:
+    """What the gzip members or the zlib stream at the start of ``data`` hold, if of bounded size, and the bytes read."""
+    out, size, at = [], 0, 0
+    while data[at : at + 2] == b"\x1f\x8b" or not at and data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0:
         try:
             stream = zlib.decompressobj(47)
-            out = stream.decompress(data, MAX_LAYER)
-            if stream.eof:
-                return out
+            new = stream.decompress(memoryview(data)[at:], MAX_LAYER - size + 1)
         except zlib.error:
-            pass
-    return data
+            break
+        size += len(new)
+        if size > MAX_LAYER:
+            return None
+        if not stream.eof:
+            break
+        out.append(new)
+        at = len(data) - len(stream.unused_data)
+    return (b"".join(out), at) if at else None
+
+
+def _unpacked(data: bytes) -> tuple[bytes, int] | None:
+    """``_inflate`` until what comes out is no stream any more; a stream that gives itself ends it."""
+    first = found = _inflate(data)
+    met: set[bytes] = set()
+    while found is not None and (key := hashlib.blake2b(found[0], digest_size=16).digest()) not in met:
+        met.add(key)
+        first = found[0], first[1]
+        found = _inflate(found[0])
+    return first
 
 
 def _printable(text: str) -> bool:
     return bool(text) and sum(c.isprintable() or c in "\r\n\t" for c in text) >= 0.95 * len(text)
 
 
+def _stretches(data: bytes) -> Iterator[tuple[int, str]]:
+    """Start and text of each stretch of printable UTF-8 of at least ``LEAST`` bytes."""
+    at, held, size = 0, [], 0
+    for c in data.decode("utf-8", "surrogateescape"):
+        width = 1 if "\udc80" <= c <= "\udcff" else len(c.encode())
+        if c.isprintable() or c in "\r\n\t":
+            held.append(c)
+            size += width
+        else:
+            if size >= LEAST:
+                yield at - size, "".join(held)
+            held, size = [], 0
+        at += width
+    if size >= LEAST:
+        yield at - size, "".join(held)
+
+
 def _base64(layer: Layer) -> Iterator[Layer]:
-    """Each candidate is read whole; a stretch whose bytes are no text gives no layer."""
+    """A candidate that is text, or a stream, as a whole is one layer. In others each of the four places
+    where base64 may begin is tried, so that what stands before or after it does not hide it; each stream
+    and each stretch of text found is a layer."""
     for m in BASE64.finditer(layer.text):
-        blob = m[0].rstrip("=")
-        if len(blob) % 4 == 1 or blob.isalpha() and (blob.islower() or blob.istitle()) or HEX.fullmatch(blob):
-            continue
-        try:
-            data = base64.b64decode(blob.replace("-", "+").replace("_", "/") + "=" * (-len(blob) % 4), validate=True)
-        except (binascii.Error, ValueError):
-            continue
-        plain = _inflate(data)
-        text = _utf8(plain)
-        if text is None or not _printable(text):
-            continue
-        if plain is not data:
-            yield Layer(text, [0], [(m.start(), m.end(), False)], layer)
+        runs = list(LINE.finditer(layer.text, m.start(), m.end()))
+        blob = "".join(r[0] for r in runs)
+        if all(r[0].isalpha() and (r[0].islower() or r[0].istitle()) or HEX.fullmatch(r[0]) for r in runs):
             continue
-        starts, sources, byte = [], [], 0
-        for i, c in enumerate(text):
-            width = len(c.encode())
-            starts.append(i)
-            sources.append((m.start() + byte * 4 // 3, min(m.end(), m.start() + -(-(byte + width) * 4 // 3)), False))
-            byte += width
-        yield Layer(text, starts, sources, layer)
+        firsts, shifts, n = [], [], 0
+        for r in runs:
+            firsts.append(n)
+            shifts.append(r.start() - n)
+            n += len(r[0])
+
+        def place(at: int) -> int:
+            return m.end() if at >= n else at + shifts[bisect_right(firsts, at) - 1]  # noqa: B023
+
+        def mapped(text: str, byte: int, skip: int) -> Layer:
+            """The layer of ``text``, whose bytes begin at ``byte`` of those read from character ``skip``."""
+            starts, sources = [], []
+            for i, c in enumerate(text):
+                width = len(c.encode())
+                end = skip - (-(byte + width) * 4 // 3)
+                starts.append(i)
+                sources.append((place(skip + byte * 4 // 3), place(end - 1) + 1 if end < n else m.end(), False))  # noqa: B023
+                byte += width
+            return Layer(text, starts, sources, layer)
+
+        symbols = blob.replace("-", "+").replace("_", "/")
+        whole = _decoded(symbols)
+        plain = _unpacked(whole) if len(blob) % 4 != 1 else None
+        text = None if len(blob) % 4 == 1 else _utf8(whole if plain is None else plain[0])
+        if text is not None and _printable(text):
+            yield Layer(text, [0], [(m.start(), m.end(), False)], layer) if plain is not None else mapped(text, 0, 0)
+            if plain is None or plain[1] == len(whole):
+                continue
+        for skip in range(4):
+            data, end = _decoded(symbols[skip:]), 0
+            for head in MAGIC.finditer(data):
+                if head.start() % 3 == 0 and head.start() >= end and (inner := _unpacked(data[head.start() :])) is not None:
+                    low, end = head.start(), head.start() + inner[1]
+                    source = (place(skip + low * 4 // 3), place(min(n, skip - (-end * 4 // 3)) - 1) + 1, False)
+                    for _, part in [(0, t)] if (t := _utf8(inner[0])) is not None and _printable(t) else _stretches(inner[0]):
+                        yield Layer(part, [0], [source], layer)
+            for byte, part in _stretches(data):
+                yield mapped(part, byte, skip)
+
+
+def _decoded(symbols: str) -> bytes:
+    """Standard base64 without padding; a last character that gives no byte is left out."""
+    symbols = symbols[: len(symbols) - (len(symbols) % 4 == 1)]
+    return base64.b64decode(symbols + "=" * (-len(symbols) % 4))
 
 
 def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:

@@ -144,6 +144,35 @@ def test_repeated_blobs(pack):
     assert len(spans) == 3 and [s % line for s, _, _ in spans] == [spans[0][0]] * 3
 
 
+def _wrapped(data: bytes, width: int, end: str = "\n") -> str:
+    blob = base64.b64encode(data).decode()
+    return end.join(blob[i : i + width] for i in range(0, len(blob), width))
+
+
+NOISE = "".join(chr(97 + random.Random(5).randrange(26)) if i % 7 else " " for i in range(300))
+
+
+@pytest.mark.parametrize("blob", [
+    *[glue + base64.b64encode(pack(b"password=hunter22secret")).decode() for glue in ("/v1/cb/", "key-", "x_", "ab+", "/v1/c/", "/v1/cbd/") for pack in (bytes, gzip.compress, zlib.compress)],
+    base64.b64encode(gzip.compress(gzip.compress(b"password=hunter22secret"))).decode(),
+    base64.b64encode(zlib.compress(gzip.compress(zlib.compress(b"password=hunter22secret")))).decode(),
+    base64.b64encode(gzip.compress(b"first") + gzip.compress(b" password=hunter") + gzip.compress(b"22secret")).decode(),
+    *[_wrapped(pack((NOISE[:k] + "password=hunter22secret" + NOISE).encode()), width, end) for pack in (bytes, gzip.compress) for width in (64, 76) for end in ("\n", "\r\n  ") for k in (20, 39, 48)],
+])
+def test_unwrapped_to_the_end(blob):
+    text = f"Ünï before\n{blob}\nafter"
+    start = text.index(blob)
+    whole = [(low, high) for low, kind, high in secrets.scan(text)[1] if kind == 0 and low >= start and high <= start + len(blob)]
+    assert whole
+    # The span covers all of the secret: 23 bytes of base64, or the whole stream.
+    assert max(high - low for low, high in whole) >= 31
+
+
+def test_unwrapping_ends():
+    for text in (base64.b64encode(zlib.compress(bytes(secrets.MAX_LAYER + 1))).decode(), "A/" * 5000, "x_eJ" * 3000, ("Abcd" * 19 + "\n") * 200):
+        assert secrets.scan(text) == ([], [])
+
+
 def test_find_secrets(spark, docs, empty):
     got = secrets.find_secrets(spark.createDataFrame([(None, "token=abcdefgh", 1), (9007199254740993, None, 2), (3, "", 3)], "doc_id long, text string, spans int")).collect()
     assert [(r.doc_id, len(r.base), len(r.spans)) for r in got] == [(None, 1, 1), (9007199254740993, 0, 0), (3, 0, 0)]
