@@ -1,10 +1,11 @@
 """Licence scans by sentence rules.
 
-A text is cut into sentences at line breaks and after . ; ! ? with white space; each sentence is
-normalised (ASCII letters and digits in lower case, everything else one space) and looked up in
-a table of known licence sentences. The identifiers found, in the order of the text, are matched
-against ordered rules: a rule is a run of identifiers and names a licence; what it matches is
-consumed before the next rule. Copyright lines are recognised by their form.
+A text is cut into sentences at line breaks and after . ; ! ? with white space, and normalised
+(ASCII letters and digits in lower case, everything else, comment leaders too, one space). Known
+licence sentences are found where they begin and end at a cut; a single line break may stand for
+any of their spaces, so wrapped texts count, but a blank line always ends one. The identifiers
+found, in the order of the text, are matched against ordered rules: a rule is a run of
+identifiers and names a licence; what it matches is consumed before the next rule. Copyright lines are recognised by their form.
 
 Everything is built-in column functions within a row: nothing is shuffled. Null and empty texts
 have no sentences and no licences. Repeated rows and null ids each give a row. Extra columns of
@@ -13,7 +14,7 @@ the input are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
@@ -63,21 +64,46 @@ RULES = [
 #: Every known sentence holds one of these, so texts without them need no cutting.
 ANCHORS = "licen|copyright|permission|redistribution|provided as is|all rights reserved|without any warranty"
 COPYRIGHT = "^(copyright )(c |[0-9]{4}).*$"
+#: What stands for the end of a sentence and for a blank line in a marked text; a line feed is a single line break.
+END, BLANK = "\x01", "\x02"
+#: Usual texts have an end mark after these words of a known sentence.
+INNER = ("without any warranty without even", "license v 2 0")
 
 
 def run_text(ids: list[str]) -> str:
     return "".join(f" {i} " for i in ids)
 
 
+def _pattern() -> str:
+    """Any known sentence between cuts, the longest first."""
+    forms = [f"copyright (?:c |[0-9]{{4}})[^\n{END}{BLANK}]*"]
+    for sentence in sorted(SENTENCES.values(), key=len, reverse=True):
+        for inner in INNER:
+            before, space, after = inner.partition(" without " if "without even" in inner else " 2 ")
+            sentence = sentence.replace(inner, f"{before}{END}{space[1:]}{after}")
+        forms.append(sentence.replace(" ", "[ \n]").replace(END, f"[ \n{END}]"))
+    cut = f"[\n{END}{BLANK}]"
+    return f"(?<={cut})(?:{'|'.join(forms)})(?={cut})"
+
+
+def marked(text: Column) -> Column:
+    """The normalised text with its cuts as single marks, and one at either end."""
+    out = F.lower(F.translate(text, END + BLANK, "--"))
+    for pattern, new in (
+        ("\r\n?", "\n"), ("[.;!?][ \t\n]+", END), (f"[^a-z0-9\n{END}]+", " "), (f" *{END}[ \n{END}]*", END), (" *\n *\n[ \n]*", BLANK), (" *\n *", "\n"),
+    ):
+        out = F.regexp_replace(out, pattern, new)
+    return F.concat(F.lit(BLANK), F.trim(out), F.lit(BLANK))
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, sentence_ids, licences): both arrays, in the order of the text and of the rules."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    gaps = F.regexp_replace(text, r"([.;!?])[ \t\r\n]+", "$1\n")
-    cut = F.when(F.lower(F.regexp_replace(text, "[^A-Za-z0-9]+", " ")).rlike(ANCHORS), F.split(gaps, "[\r\n]+")).otherwise(F.array().cast("array<string>"))
-    normal = F.transform(cut, lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
-    formed = F.transform(normal, lambda s: F.regexp_replace(s, COPYRIGHT, "copyright"))
+    held = F.lower(F.regexp_replace(text, "[^A-Za-z0-9]+", " ")).rlike(ANCHORS)
+    hits = F.when(held, F.regexp_extract_all(marked(text), F.lit(_pattern()), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    formed = F.transform(hits, lambda s: F.regexp_replace(F.translate(s, f"\n{END}", "  "), COPYRIGHT, "copyright"))
     known = F.create_map(*[F.lit(x) for i, s in SENTENCES.items() for x in (s, i)])
-    found = docs.select(F.col(id_col).alias("doc_id"), F.array_compact(F.transform(F.filter(formed, lambda s: s.isin(list(SENTENCES.values()))), lambda s: F.try_element_at(known, s))).alias("sentence_ids"))
+    found = docs.select(F.col(id_col).alias("doc_id"), F.array_compact(F.transform(formed, lambda s: F.try_element_at(known, s))).alias("sentence_ids"))
     rest, named = F.array_join(F.transform("sentence_ids", lambda i: F.concat(F.lit(" "), i, F.lit(" "))), ""), []
     step = found.withColumn("_0", rest)
     for k, (licence, ids) in enumerate(RULES):

@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import math
 import random
+import textwrap
 import urllib.parse
 import zlib
 from collections import defaultdict
@@ -110,6 +111,39 @@ def test_licences(spark):
     assert all(re.search(licences.ANCHORS, s) for s in licences.SENTENCES.values())
 
 
+MIT = """Copyright (c) 2020 A. Person
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE."""
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."""
+GPL = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU General Public License for more details."""
+MPL = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one."
+
+
+def test_wrapped_licences(spark):
+    want = {
+        MIT: (["copyright", "mit_grant", "mit_notice", "as_is"], ["MIT"]), BSD: (["bsd_redistribution", "bsd_source", "bsd_binary", "bsd_name"], ["BSD-3-Clause"]),
+        GPL: (["gpl3_program", "gpl_warranty"], ["GPL-3.0-or-later"]), MPL: (["mpl2_source"], ["MPL-2.0"]),
+    }
+    rows, expected = [], []
+    for text, found in want.items():
+        for leader, end, width in (("", "\n", 72), (" * ", "\n", 78), ("# ", "\r\n", 70), ("// ", "\n", 76), ("", "\n", 10000)):
+            lines_of = [part for line in text.split("\n") for part in textwrap.wrap(line, width) or [""]]
+            rows.append((len(rows), end.join((leader + line).rstrip() for line in ["Some words", "", *lines_of, "", "more"])))
+            expected.append(found)
+    rows += [(len(rows), "Released under\n\nthe MIT License."), (len(rows) + 1, "Released under. The MIT License."), (len(rows) + 2, "It was released under\nthe MIT License.")]
+    got = sorted(licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert [(r.sentence_ids, r.licences) for r in got] == [*expected, *[([], [])] * 3]
+
+
 # 3. secrets
 
 
