@@ -10,6 +10,9 @@ from ..functions import text as T
 from ..sources import transcripts
 from ..sources.derived import ENTRIES_SQL, entries, read
 
+#: Words drawn from the pool for each item.
+DRAWN = 2
+
 
 def ag05_language_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG-05 and FN-08: de or en per document by weighted votes."""
@@ -97,11 +100,30 @@ def ag20_common_and_rare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.join(F.broadcast(common.select("word")), "word", "left_anti")
 
 
-def ag21_rare_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AG-21 and SE-03: per benchmark item its words outside the common ones, with two drawn from a pool in hash order."""
+def _rare_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(item_id, rare): the words of each benchmark item without the 20 most frequent."""
     common = read(spark, sf_dir, "benchmark").select(F.explode(T.plain_words(F.col("text"))).alias("w")).groupBy("w").count().orderBy(F.desc("count"), "w").limit(20).agg(F.array_sort(F.collect_list("w")).alias("common"))
-    rows = read(spark, sf_dir, "benchmark").crossJoin(F.broadcast(common)).select("item_id", F.array_except(T.plain_words(F.col("text")), F.col("common")).alias("rare"))
-    return rows.select("item_id", F.array_join(F.array_sort("rare"), " ").alias("rare"), F.size("rare").alias("n_rare"))
+    return read(spark, sf_dir, "benchmark").crossJoin(F.broadcast(common)).select("item_id", F.array_except(T.plain_words(F.col("text")), F.col("common")).alias("rare"))
+
+
+def ag21_rare_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AG-21: per benchmark item its words outside the common ones; ``se03_biasing_words`` adds the draw."""
+    return _rare_words(spark, sf_dir).select("item_id", F.array_join(F.array_sort("rare"), " ").alias("rare"), F.size("rare").alias("n_rare"))
+
+
+def se03_biasing_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AG-21 and SE-03: per benchmark item its rare words and ``DRAWN`` of the pool of all rare words, from the item's own place on in hash order, round the end."""
+    rare = _rare_words(spark, sf_dir)
+    pool = rare.select(F.explode("rare").alias("word")).distinct()
+    placed = pool.withColumn("place", F.row_number().over(W.orderBy(F.md5("word"), "word")) - 1)
+    size = pool.agg(F.count(F.lit(1)).alias("size"))
+    first = F.conv(F.substring(F.md5(F.concat(F.lit("item:"), F.col("item_id").cast("string"))), 1, 8), 16, 10).cast("long")
+    slots = rare.crossJoin(F.broadcast(size)).where("size > 0").select("item_id", F.explode(F.transform(F.sequence(F.lit(0), F.least(F.lit(DRAWN), "size") - 1), lambda j: (first + j) % F.col("size"))).alias("place"))
+    drawn = slots.join(placed, "place").groupBy("item_id").agg(F.collect_set("word").alias("drawn"))
+    none = F.array().cast("array<string>")
+    joined = rare.join(drawn, "item_id", "left").select("item_id", F.coalesce("rare", none).alias("rare"), F.coalesce("drawn", none).alias("drawn"))
+    words = lambda column: F.array_join(F.array_sort(column), " ")
+    return joined.select("item_id", words(F.col("drawn")).alias("drawn"), words(F.array_union("rare", "drawn")).alias("biasing"))
 
 
 def se01_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,7 +212,7 @@ _CLOCK = "(CASE WHEN start_us // 1000000 >= 3600 THEN CAST(start_us // 360000000
 _CORE = "regexp_extract(token, '^[^\\p{L}\\p{N}]*(.*?)[^\\p{L}\\p{N}]*$', 1)"
 QUERIES = {f.__name__: f for f in (
     ag05_language_vote, ev25_mixed_language, snk01_markdown, snk02_plain, snk03_json, snk04_srt, snk05_vtt, fn01_subtitle_times, fn05_punctuation, fn06_plain_words, fn15_surface_forms,
-    fn18_meeting_time, fn19_slug, ag20_common_and_rare, ag21_rare_words, se01_vocabulary, se04_subset, so04_latest, so07_round_robin, so09_every_nth, prj12_resolved, ag22_relative_change,
+    fn18_meeting_time, fn19_slug, ag20_common_and_rare, ag21_rare_words, se03_biasing_words, se01_vocabulary, se04_subset, so04_latest, so07_round_robin, so09_every_nth, prj12_resolved, ag22_relative_change,
     ag16_density, ev24_channel_words,
 )}
 ORACLE_SQL = {
@@ -212,6 +234,11 @@ SELECT page_id, CASE WHEN n = 1 THEN base ELSE base || ' (' || n || ')' END AS n
     "ag20_common_and_rare": f"WITH w AS (SELECT unnest({_WORDS}) AS word FROM conversations), c AS (SELECT word, count(*) AS n FROM w GROUP BY word) SELECT word, n FROM c WHERE word NOT IN (SELECT word FROM c ORDER BY n DESC, word LIMIT 20)",
     "ag21_rare_words": f"""WITH w AS (SELECT item_id, unnest({_WORDS}) AS w FROM benchmark), c AS (SELECT w FROM w GROUP BY w ORDER BY count(*) DESC, w LIMIT 20), r AS (SELECT DISTINCT item_id, w FROM w WHERE w NOT IN (SELECT w FROM c))
 SELECT b.item_id, coalesce(string_agg(w, ' ' ORDER BY w), '') AS rare, count(w) AS n_rare FROM benchmark b LEFT JOIN r USING (item_id) GROUP BY b.item_id""",
+    "se03_biasing_words": f"""WITH w AS (SELECT item_id, unnest({_WORDS}) AS w FROM benchmark), c AS (SELECT w FROM w GROUP BY w ORDER BY count(*) DESC, w LIMIT 20), r AS (SELECT DISTINCT item_id, w FROM w WHERE w NOT IN (SELECT w FROM c)),
+p AS (SELECT w, row_number() OVER (ORDER BY md5(w), w) - 1 AS place, count(*) OVER () AS size FROM (SELECT DISTINCT w FROM r)),
+d AS (SELECT item_id, w FROM (SELECT item_id, CAST('0x' || substring(md5('item:' || item_id), 1, 8) AS BIGINT) AS first FROM benchmark) b JOIN p ON (p.place - b.first % p.size + p.size) % p.size < {DRAWN}),
+x AS (SELECT item_id, string_agg(w, ' ' ORDER BY w) AS drawn FROM d GROUP BY item_id), u AS (SELECT item_id, string_agg(w, ' ' ORDER BY w) AS biasing FROM (SELECT * FROM r UNION SELECT * FROM d) GROUP BY item_id)
+SELECT b.item_id, coalesce(drawn, '') AS drawn, coalesce(biasing, '') AS biasing FROM benchmark b LEFT JOIN x USING (item_id) LEFT JOIN u USING (item_id)""",
     "se01_vocabulary": """WITH u AS (SELECT 0 AS list, lower(role) AS term FROM conversations UNION ALL SELECT 1, lower(event_type) FROM events UNION ALL SELECT 2, lower(source) FROM documents UNION ALL SELECT 3, lower(lang) FROM documents)
 SELECT term, min(list) AS list FROM u WHERE term IS NOT NULL GROUP BY term""",
     "se04_subset": "SELECT conv_id, coalesce(bool_and(role IN ('user', 'assistant')), true) AS inside FROM conversations GROUP BY conv_id",

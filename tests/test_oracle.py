@@ -40,6 +40,16 @@ def test_same_as_sql(spark, duck, name):
     assert rows_of(queries.QUERIES[name](spark, DATA).toPandas()) == rows_of(duck.sql(queries.ORACLE_SQL[name]).df())
 
 
+def test_drawn_words(spark):
+    rows = queries.QUERIES["se03_biasing_words"](spark, DATA).collect()
+    own = {r.item_id: r.rare.split() for r in queries.QUERIES["ag21_rare_words"](spark, DATA).collect()}
+    pool = {w for ws in own.values() for w in ws}
+    assert len(rows) == len(own) and len({r.drawn for r in rows}) > 1
+    for r in rows:
+        drawn = r.drawn.split()
+        assert len(drawn) == 2 and set(drawn) <= pool and r.biasing.split() == sorted({*own[r.item_id], *drawn})
+
+
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLE_SQL)))
 def test_runs(spark, name):
     frame = queries.QUERIES[name](spark, DATA)
