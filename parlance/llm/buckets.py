@@ -5,7 +5,8 @@ is first compared with a pivot, the member that shares most buckets with others.
 found so far are joined to components, only pairs across two components can still matter; those
 are found exactly by comparing, block by block, the members outside the bucket's main component
 with all its members. So no pair that shares a bucket is lost unless its ends are already
-connected, and the blocks bound what one task holds.
+connected, and the blocks bound what one task holds. Where unlike texts may share a large bucket, a
+second key divides it first.
 """
 
 from __future__ import annotations
@@ -23,10 +24,14 @@ from .components import components
 SMALL, BLOCK = 16, 512
 
 
-def candidate_pairs(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From (key, node): the first candidate pairs (a < b), and the members of large buckets."""
+def sized(members: DataFrame) -> DataFrame:
+    """(key, node, size) of the keys that several rows of (key, node) have. Hot keys are counted by partial sums, and their join can be split."""
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = cut(members.join(sizes, "key"))
+    return members.join(sizes, "key")
+
+
+def candidate_pairs(shared: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From (key, node, size): the first candidate pairs (a < b), and the members of large buckets."""
     small = shared.where(F.col("size") <= SMALL).groupBy("key").agg(F.array_sort(F.collect_set("node")).alias("xs"))
     each = "flatten(transform(xs, (x, i) -> transform(slice(xs, i + 2, size(xs)), y -> struct(x as a, y as b))))"
     pairs = small.select(F.explode(F.expr(each)).alias("p")).select("p.a", "p.b")
@@ -84,9 +89,21 @@ def rest_of_large(large: DataFrame, found: DataFrame, payload: Callable[[DataFra
     return outside.unionByName(inside).groupBy("key", "i", "j").applyInPandas(run, "a long, b long")
 
 
-def link(members: DataFrame, verify: Callable[[DataFrame, DataFrame], DataFrame], payload: Callable[[DataFrame], DataFrame], compare: Callable, check: Callable | None = None) -> DataFrame:
-    """(node, component) of all nodes with a verified link. ``verify`` keeps the true pairs of (a, b); it also gets the nodes of large buckets."""
-    pairs, large = candidate_pairs(members)
+def link(
+    shared: DataFrame, verify: Callable[[DataFrame, DataFrame], DataFrame], payload: Callable[[DataFrame], DataFrame], compare: Callable, check: Callable | None = None,
+    second: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
+    """(node, component) of all nodes with a verified link.
+
+    ``shared`` has the materialised (key, node, size) of all buckets of two members or more.
+    ``verify`` keeps the true pairs of (a, b); it also gets the nodes of large buckets.
+    ``second`` turns the (key, node) of large buckets into those of the smaller buckets that take
+    their place.
+    """
+    if second is not None:
+        oversize = shared.where(F.col("size") > SMALL).select("key", "node")
+        shared = shared.where(F.col("size") <= SMALL).unionByName(cut(sized(second(oversize))))
+    pairs, large = candidate_pairs(shared)
     large = cut(large)
     found = components(verify(cut(pairs), large.select("node").distinct()))
     if large.isEmpty():

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from itertools import pairwise
 
@@ -20,18 +21,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and drop its lineage."""
-    spark = df.sparkSession
+def _shared_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
         if shared is None and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared checkpoint folder and drop its lineage."""
+    _shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``cut`` as a Parquet table in the same folder: smaller, and read by column."""
+    path = f"{_shared_folder(df.sparkSession)}/table-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Bits of the filter of ``marked``: its table has at most a 64th as many rows of two longs, 8 MB.
+MARKS = 1 << 25
+
+
+def marked(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """``df`` with ``_marked``: false only where ``column`` is none of the values of ``keys`` (one column), or null.
+
+    The keys are folded into a bitmap of ``MARKS`` bits, which is broadcast, so the filter never
+    grows with the data. With many more keys than bits it lets most rows pass, and the join that
+    follows it has more to do.
+    """
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(MARKS))
+    bit = lambda x: F.expr(f"shiftleft(1L, cast({x} % 64 as int))")
+    masks = keys.select(slot(keys.columns[0]).alias("_slot")).groupBy(F.expr("_slot div 64").alias("_word")).agg(F.bit_or(bit("_slot")).alias("_mask"))
+    joined = df.withColumn("_slot", slot(column)).withColumn("_at", F.expr("_slot div 64")).join(F.broadcast(masks), F.col("_at") == F.col("_word"), "left")
+    return joined.select(*df.columns, (F.col(column).isNotNull() & F.coalesce(F.col("_mask").bitwiseAND(bit("_slot")) != 0, F.lit(False))).alias("_marked"))
+
+
 def _cuts(batch: pa.RecordBatch, rows: int, size: int) -> list[int]:
     """Where to cut a batch so that a part has at most ``rows`` rows and, but for a single row, about ``size`` bytes of text."""
     texts = [pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False) for c in batch.columns if pa.types.is_string(c.type) or pa.types.is_binary(c.type)]
@@ -45,7 +75,7 @@ def _cuts(batch: pa.RecordBatch, rows: int, size: int) -> list[int]:
     return [*cuts, batch.num_rows]
 
 
-def map_chunks(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], ddl: str, rows: int = 128, size: int = 1 << 20) -> DataFrame:
+def map_chunks(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame | pa.RecordBatch], ddl: str, rows: int = 128, size: int = 1 << 20) -> DataFrame:
     """``df`` through ``fn`` in runs of a few rows, so that a worker never holds a whole Arrow batch as Python strings."""
     schema = StructType.fromDDL(ddl)
     arrow = to_arrow_schema(schema)
@@ -55,7 +85,8 @@ def map_chunks(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], ddl: s
         for batch in batches:
             for at, to in pairwise(_cuts(batch, rows, size)):
                 if to > at:
-                    yield pa.RecordBatch.from_pandas(fn(batch.slice(at, to - at).to_pandas(types_mapper=nullable)), schema=arrow, preserve_index=False)
+                    out = fn(batch.slice(at, to - at).to_pandas(types_mapper=nullable))
+                    yield out if isinstance(out, pa.RecordBatch) else pa.RecordBatch.from_pandas(out, schema=arrow, preserve_index=False)
 
     return df.mapInArrow(run, schema)
 

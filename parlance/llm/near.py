@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .buckets import link
+from .buckets import link, sized
 from .common import cut, map_chunks, mix, shingle_hashes, table, word_hashes
 
 ROWS = 4
@@ -148,7 +148,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         union = np.array([len(v) for v in x])[:, None] + np.array([len(v) for v in y])[None, :] - both
         return 100 * both >= percent * union
 
-    found = link(members, verify, payload, compare)
+    found = link(cut(sized(members)), verify, payload, compare)
     out = mine.join(found.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.coalesce("component", "rep", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

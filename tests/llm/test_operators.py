@@ -395,19 +395,39 @@ def test_edit_distance():
         assert lines.edit_distance(a, b) == row[-1]
 
 
-def hash_of(line):
-    r = lines.line_table([line]).iloc[0]
-    return int(r.s1) & (2**64 - 1), int(r.s2) & (2**64 - 1)
-
-
-def test_simhash_votes():
-    rng = np.random.default_rng(1)
-    words, weight, begins = rng.integers(0, 2**62, 200).astype(np.uint64), rng.integers(1, 16, 200).astype(np.uint8), np.array([0, 1, 7, 60, 61, 90, 120, 130, 140, 180])
-    got = lines.simhash(words, weight, begins)
-    bits = np.unpackbits(np.stack([near.mix(words + np.uint64(7)), near.mix(words + np.uint64(11))], axis=1).view(np.uint8), axis=1)
-    for k, (a, b) in enumerate(zip(begins, [*begins[1:], 200])):
-        want = 2 * (bits[a:b] * weight[a:b, None].astype(int)).sum(axis=0) > weight[a:b].sum()
-        assert (np.packbits(want).view(np.int64) == got[k]).all()
+def blocks(line):
+    return lines.line_table([line]).column("blocks")[0].as_py()
+
+
+def test_blocks():
+    """A long line's block is the majority of three words' bits; a short line's that of all words but one."""
+    short = "alpha beta gamma delta epsilon zeta".split()
+    whole = blocks(" ".join(short))
+    assert len(set(whole)) == 7
+    for i in range(6):
+        changed, fewer = [*short[:i], "other", *short[i + 1 :]], [*short[:i], *short[i + 1 :]]
+        assert whole[i] in blocks(" ".join(changed)) and whole[i] in blocks(" ".join(fewer))
+    for n, many in ((7, 8), (8, 12 + 9), (9, 12 + 10), (10, 12), (19, 12), (20, 9), (300, 9)):
+        assert len(blocks(" ".join(f"word{k}" for k in range(n)))) == many
+    assert blocks("the the the the the") and blocks(" ".join(["a"] * 40))  # fewer than three words to vote
+    assert not len(lines.line_table(["too short to count"]))
+
+
+@pytest.mark.parametrize("n, changed", [(5, 1), (7, 1), (8, 1), (10, 2), (12, 1), (15, 3), (20, 1), (20, 4), (50, 1), (50, 10), (100, 1), (100, 20)])
+def test_recall_of_similar_lines(n, changed):
+    """Of pairs at the least similarity that is wanted, nine of ten become candidates: no shared block is presupposed."""
+    rng, words = random.Random(n + changed), vocabulary("en", 4000)
+    found, tries = 0, 600
+    for _ in range(tries):
+        a = rng.choices(words, k=n)
+        b = list(a)
+        for at in rng.sample(range(n), changed):
+            b[at] = rng.choice(words)
+        x, y = blocks(" ".join(a)), blocks(" ".join(b))
+        assert lines.similar(a, b)
+        near_enough = n < lines.LONG or sum(((p ^ q) & 0xFFFFFFFF).bit_count() for p, q in zip(x[:8], y[:8])) <= lines.BITS
+        found += bool(set(x) & set(y)) and near_enough
+    assert found >= (0.9 if n > lines.SHORT else 1.0) * tries
 
 
 def test_lines(spark, empty):
@@ -433,9 +453,7 @@ def test_lines(spark, empty):
                 first.setdefault(tuple(words), (i, k))
                 keyed[i, k] = tuple(words)
     kinds = list(first)
-    halves = [hash_of(b" ".join(w).decode()) for w in kinds]
-    cut = [(a & 0xFFFFFFFF, a >> 32, b & 0xFFFFFFFF, b >> 32) for a, b in halves]
-    links = [(x, y) for x in range(len(kinds)) for y in range(x) if any(p == q for p, q in zip(cut[x], cut[y])) and lines.similar(list(kinds[x]), list(kinds[y]))]
+    links = [(x, y) for x in range(len(kinds)) for y in range(x) if lines.similar(list(kinds[x]), list(kinds[y]))]
     root = least_reachable(range(len(kinds)), links)
     place = {w: n for n, w in enumerate(kinds)}
     keep = {}
