@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from itertools import pairwise
 
 import numpy as np
@@ -31,16 +32,33 @@ def _shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+@contextmanager
+def _tidied(spark: SparkSession) -> Iterator[None]:
+    """What is materialised in here leaves no shuffle files behind: nobody reads them again, and the disk holds those of one step at a time."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and drop its lineage."""
     _shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with _tidied(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)
 
 
 def written(df: DataFrame) -> DataFrame:
     """``cut`` as a Parquet table in the same folder: smaller, and read by column."""
     path = f"{_shared_folder(df.sparkSession)}/table-{uuid.uuid4()}"
-    df.write.parquet(path)
+    with _tidied(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

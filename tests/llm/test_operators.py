@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import textwrap
+import time
 import urllib.parse
 import zlib
 from collections import defaultdict
@@ -96,6 +97,28 @@ def test_fingerprints_merge(spark, docs):
     assert fingerprints.compare_with_edits(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("ids", [[*range(2000), 10**15], [-(2**62) - 5, 2**62 + 5, 0, -(2**63), 2**63 - 1], [7] * 900 + [8, 9]])
+def test_order_by_id_is_cut_evenly(spark, ids):
+    """Outlying, extreme and repeated ids: every row meets its next, and no range holds more than a small share."""
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(i, f"text {k} of the row") for k, i in enumerate(ids)], "doc_id long, text string")
+    got = fingerprints.compare_with_edits(rows).collect()
+    assert sorted(r.doc_id for r in got) == sorted(ids)
+    texts = {hashlib.sha256(t.encode()).hexdigest() for t in edited(rows.withColumn("h", F.xxhash64("text")).collect())}
+    assert {r.edited_sha256 for r in got} == texts
+    placed = fingerprints.with_neighbours(rows.withColumn("_h", F.xxhash64("text")))
+    assert placed.where("not _copy").groupBy("_bucket").count().agg(F.max("count")).head()[0] <= max(4, len(ids) // 50)
+
+
+def edited(rows):
+    """Each text with its second half replaced by the beginning of the next one's, in the operator's order."""
+    rows = sorted(rows, key=lambda r: (-r.doc_id, r.h))
+    for r, after in zip(rows, [*rows[1:], rows[0]]):
+        half = len(r.text) // 2
+        yield r.text[: len(r.text) - half] + after.text[:half]
+
+
 # 2. licences
 
 
@@ -207,6 +230,15 @@ def test_unwrapping_ends():
         assert secrets.scan(text) == ([], [])
 
 
+@pytest.mark.parametrize("sign", ["%" + "25" * 50_000 + "3D", "\\" + "u005c" * 20_000 + "u003d", "&" + "#38;" * 25_000 + "#61;"])
+def test_long_chains_of_escapes(sign):
+    """The whole chain stands for one character, and its length costs no layers."""
+    began = time.time()
+    text = f"password{sign}hunter22secret"
+    assert (0, 0, len(text)) in secrets.scan(text)[1]
+    assert time.time() - began < 5
+
+
 def test_find_secrets(spark, docs, empty):
     got = secrets.find_secrets(spark.createDataFrame([(None, "token=abcdefgh", 1), (9007199254740993, None, 2), (3, "", 3)], "doc_id long, text string, spans int")).collect()
     assert [(r.doc_id, len(r.base), len(r.spans)) for r in got] == [(None, 1, 1), (9007199254740993, 0, 0), (3, 0, 0)]
@@ -326,6 +358,39 @@ def test_leaks(spark, empty):
     assert leaks.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench.where("false")).count() == 0
 
 
+def leaked_tokens(doc, item):
+    """Equal tokens of the best run over all alignments, by brute force."""
+    run = min(leaks.WINDOW, len(item))
+    best = 0
+    for offset in range(-len(item), len(doc)):
+        same = [0 <= offset + i < len(doc) and doc[offset + i] == w for i, w in enumerate(item)]
+        best = max(best, max(sum(same[s : s + run]) for s in range(len(item) - run + 1)))
+    return best, run
+
+
+def test_leaks_against_all_alignments(spark):
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(500)]
+    items = [(n * 10 + k, rng.choices(words, k=n)) for n in range(1, 24) for k in range(2)]
+    docs = []
+    for i, (_, item) in enumerate(items * 3):
+        quoted = list(item)
+        for at in rng.sample(range(len(item)), min(len(item), rng.randint(0, 1 + len(item) // 4))):
+            quoted[at] = "changed"
+        body = rng.choices(words, k=rng.randint(0, 20))
+        at = rng.randint(0, len(body))
+        docs.append((None if i % 7 == 0 else i, [*body[:at], *quoted, *body[at:]]))
+    want = set()
+    for i, doc in docs:
+        for k, item in items:
+            best, run = leaked_tokens(doc, item)
+            if len(item) >= leaks.SHORTEST and (best == run if len(item) < leaks.WHOLE else 100 * best >= leaks.PERCENT * run):
+                want.add((i, k))
+    made = spark.createDataFrame([(i, " ".join(d)) for i, d in docs], "doc_id long, text string")
+    got = leaks.find_leaks(made, spark.createDataFrame([(k, " ".join(t)) for k, t in items], "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want and len(want) > 60
+
+
 # 8. pieces
 
 
