@@ -7,7 +7,9 @@ distinct shingles; with fewer than ``K`` shingles the estimates are exact.
 
 Everything is built-in column functions. Null texts count as empty; texts without words have an
 empty fingerprint, and two empty fingerprints are fully alike. Equal texts have equal
-fingerprints. Repeated rows each get a row. Extra columns of the input are not read.
+fingerprints. Repeated rows each get a row. Extra columns of the input are not read. Ids may be
+any integers: the order by id is cut where a sample of the rows says, not by arithmetic on ids, so
+that neither gaps nor clusters of ids nor a repeated id fill one task.
 """
 
 from __future__ import annotations
@@ -20,7 +22,8 @@ from .common import table
 
 WORDS, K, DIGITS = 5, 128, 12
 HASH_RANGE = float(1 << 48)
-BUCKETS = 2048
+#: Ranges of the order by id: four for each shuffle partition, but this many at least; sampled rows for each.
+LEAST_PARTS, SAMPLE_A_PART = 512, 64
 
 
 def with_fingerprint(df: DataFrame, text: Column, name: str) -> DataFrame:
@@ -72,33 +75,57 @@ def as_text(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda x: F.lpad(F.lower(F.hex(x)), DIGITS, "0")), "")
 
 
-def with_neighbours(docs: DataFrame, low: int, high: int) -> DataFrame:
-    """Rows of (doc_id, text) in groups such that a window by ``_copy`` and descending id leads to the next document.
+def _parts(docs: DataFrame) -> int:
+    return max(LEAST_PARTS, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
-    Ids are split into ``BUCKETS`` equal ranges; each group also gets the first row of the range
-    after it (flag ``_copy``; after the last range comes the first), so that no row needs a
-    neighbour of another group.
+
+def range_starts(docs: DataFrame, parts: int) -> list[tuple[int, int]]:
+    """Up to ``parts`` - 1 rows (id, hash of the text) that cut the order by descending id into ranges of like size, from a bounded sample."""
+    n = docs.count()
+    rows = docs.sample(min(1.0, SAMPLE_A_PART * parts / max(n, 1)), seed=1).select("doc_id", "_h").collect()  # about SAMPLE_A_PART * parts rows of two numbers
+    rows = sorted({(-r["doc_id"], r["_h"]) for r in rows})
+    step = max(1, -(-len(rows) // parts))
+    return [(-i, h) for i, h in rows[step::step]]
+
+
+def with_neighbours(docs: DataFrame) -> DataFrame:
+    """Rows of (doc_id, text, _h) in groups such that a window by ``_copy``, descending id and ``_h`` leads to the next document.
+
+    The rows in order are cut into ranges; each range also gets the first row of the one after it
+    (flag ``_copy``; after the last range comes the first), so that no row needs a neighbour of
+    another range.
     """
-    width = max(1, -(-(high - low + 1) // BUCKETS))
-    bucket = F.floor((F.lit(high) - F.col("doc_id")) / width).cast("int")
-    tops = sorted((r[0], r[1]) for r in docs.groupBy(bucket).agg(F.max("doc_id")).collect())  # one row a range
-    earlier = [0] * BUCKETS
-    for i, (b, _) in enumerate(tops):
-        earlier[b] = tops[i - 1][0]
-    copy = F.when(F.col("doc_id").isin([t for _, t in tops]), F.struct(F.element_at(F.lit(earlier), bucket + 1).alias("b"), F.lit(True).alias("c")))
-    places = F.array_compact(F.array(F.struct(bucket.alias("b"), F.lit(False).alias("c")), copy))
-    return docs.select("doc_id", "text", F.explode(places).alias("p")).select("doc_id", "text", F.col("p.b").alias("_bucket"), F.col("p.c").alias("_copy"))
+    starts = range_starts(docs, _parts(docs))
+    ids, hashes = (F.lit([x[k] for x in starts]) if starts else F.array().cast("array<bigint>") for k in (0, 1))
+    steps = [1 << k for k in reversed(range(len(starts).bit_length()))]
+
+    def further(at: Column, step: Column) -> Column:
+        """Binary search: past ``step`` more starts, if the last of them does not come after the row."""
+        i = at + step - 1
+        after = (F.get(ids, i) < F.col("doc_id")) | ((F.get(ids, i) == F.col("doc_id")) & (F.get(hashes, i) > F.col("_h")))
+        return F.when((i < len(starts)) & ~after, at + step).otherwise(at)
+
+    bucket = F.aggregate(F.lit(steps), F.lit(0), further) if steps else F.lit(0)
+    placed = docs.withColumn("_bucket", bucket)
+    firsts = placed.groupBy("_bucket").agg(F.max(F.struct("doc_id", (-F.shiftright("_h", 1)).alias("g"))).alias("x")).collect()  # one row a range
+    order = sorted((r["_bucket"], r["x"]["doc_id"], -r["x"]["g"]) for r in firsts)
+    per_range = {b: (order[k - 1][0], i, g) for k, (b, i, g) in enumerate(order)}
+    earlier, first_id, first_g = (F.lit([per_range.get(b, (0, 0, 0))[k] for b in range(len(starts) + 1)])[F.col("_bucket")] for k in range(3))
+    first = (F.col("doc_id") == first_id) & (F.shiftright("_h", 1) == first_g)
+    copy = F.when(first, F.struct(earlier.alias("b"), F.lit(True).alias("c")))
+    places = F.array_compact(F.array(F.struct(F.col("_bucket").alias("b"), F.lit(False).alias("c")), copy))
+    return placed.select("doc_id", "text", "_h", F.explode(places).alias("p")).select("doc_id", "text", "_h", F.col("p.b").alias("_bucket"), F.col("p.c").alias("_copy"))
 
 
 def compare_with_edits(docs: DataFrame) -> DataFrame:
     """Each document's fingerprint, that of its edited text, and their likeness and that to the next document's.
 
-    Documents follow one another by descending id, then by text. A row without an id has no
-    place in this order; its next document is the first.
+    Documents follow one another by descending id; of those with one id the order is that of a hash
+    of their texts. A row without an id has no place in this order; its next document is the first.
     """
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    low, high, without = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count_if(F.col("doc_id").isNull())).head()
-    order = W.partitionBy("_bucket").orderBy("_copy", F.desc("doc_id"), "text")
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_h", F.xxhash64("text"))
+    high, without = docs.agg(F.max("doc_id"), F.count_if(F.col("doc_id").isNull())).head()
+    order = W.partitionBy("_bucket").orderBy("_copy", F.desc("doc_id"), "_h")
     half = "cast(floor(char_length(text) / 2) as int)"
 
     def compared(rows: DataFrame, after) -> DataFrame:
@@ -109,16 +136,15 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
         return after(rows).select(
             "doc_id", "n_chars", "edited_sha256", as_text(F.col("_own")).alias("fingerprint"), as_text(F.col("_changed")).alias("edited_fingerprint"),
             resemblance(F.col("_own"), F.col("_changed")).alias("near_edited"), resemblance(F.col("_own"), F.col("_after")).alias("near_next"),
-            distinct_shingles(F.col("_own")).alias("distinct_shingles"),
+            containment(F.col("_own"), F.col("_changed")).alias("contained_in_edited"), distinct_shingles(F.col("_own")).alias("distinct_shingles"),
         )
 
     parts = []
-    if low is not None:
-        rows = with_neighbours(docs.where("doc_id is not null"), low, high).withColumn("_next", F.lead("text").over(order)).withColumn("_text", F.col("text"))
-        by_text = W.partitionBy("_bucket").orderBy("_copy", F.desc("doc_id"), "_text")
-        parts.append(compared(rows, lambda r: r.withColumn("_after", F.lead("_own").over(by_text)).where("not _copy")))
-    if without or low is None:
-        first = "" if low is None else docs.where(F.col("doc_id") == high).agg(F.min("text")).head()[0]
+    if high is not None:
+        rows = with_neighbours(docs.where("doc_id is not null")).withColumn("_next", F.lead("text").over(order))
+        parts.append(compared(rows, lambda r: r.withColumn("_after", F.lead("_own").over(order)).where("not _copy")))
+    if without or high is None:
+        first = "" if high is None else docs.where(F.col("doc_id") == high).agg(F.min_by("text", "_h")).head()[0]
         rows = docs.where("doc_id is null").withColumn("_next", F.lit(first))
         parts.append(compared(rows, lambda r: with_fingerprint(r, F.col("_next"), "_after")))
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
