@@ -1,10 +1,14 @@
-"""Secret scans with a worklist of decoded layers.
+r"""Secret scans with a worklist of decoded layers.
 
 A text is layer 0. Each layer is scanned for the base kinds; then its encoded stretches (percent
 escapes, Unicode escapes, base64 (also wrapped over lines, or with other characters before or
 after it), and gzip or zlib data inside base64, however often packed) are unwrapped into new
 layers that join the worklist, until no layer gives a new one. A layer whose content was met
-before at the same span of the text is not opened again, so cycles end. Every position of a layer maps to a
+before at the same span of the text is not opened again, so cycles end. A chain of escaped escape
+signs (``%252525..``, ``\u005cu005c..``, ``&#38;#38;..``) is undone in one step, so that its length
+costs no layers; a layer's text is dropped once it has been scanned. Words of lower-case letters
+only (or of title case) and runs of hexadecimal digits are not opened as base64: the chance that 16
+characters of base64 look like that is under one in a million. Every position of a layer maps to a
 stretch of the layer above, so a find at any depth is reported as a span of the whole text.
 
 Base kinds, each leftmost and non-overlapping: ``assign`` (group 2 of 6 characters or more),
@@ -34,8 +38,13 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KEYWORD = re.compile(r"passw|secret|token|api_?key", re.IGNORECASE | re.ASCII)
-PERCENT = re.compile(r"%[0-9A-Fa-f]{2}")
-UNICODE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#x[0-9A-Fa-f]{1,6};")
+# An escape's own sign may be escaped any number of times: (?:25)*, (?:u005c|...)* and (?:#38;|...)* are such chains.
+PERCENT = re.compile(r"%(?:25)*([0-9A-Fa-f]{2})")
+PERCENTS = re.compile(rf"(?:{PERCENT.pattern.replace('(?:25)*(', '(?:25)*(?:')})+")
+UNICODE = re.compile(
+    r"\\(?:u005[Cc]|x5[Cc]|u\{0{0,4}5[Cc]\})*(?:u([0-9A-Fa-f]{4})|u\{([0-9A-Fa-f]{1,6})\}|x([0-9A-Fa-f]{2}))"
+    r"|&(?:#38;|#[xX]26;)*(?:#([0-9]{1,7});|#[xX]([0-9A-Fa-f]{1,6});)"
+)
 # Runs that lines end or fill are one candidate: base64 wrapped at any width. The last line may be short.
 BASE64 = re.compile(
     r"[A-Za-z0-9+/_-]{16,}+(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]{16,}+(?=[ \t]*(?:\r?\n|$)|=))*+(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]++(?=[ \t]*(?:\r?\n|$)|=))?={0,2}"
@@ -99,12 +108,14 @@ def _substituted(layer: Layer, pieces: list[tuple[int, int, str]]) -> Layer:
 def _percent(layer: Layer) -> Layer | None:
     """Runs of escapes are decoded as UTF-8 one character at a time; broken bytes become U+FFFD."""
     pieces: list[tuple[int, int, str]] = []
-    for run in re.finditer(r"(?:%[0-9A-Fa-f]{2})+", layer.text):
-        data = bytes.fromhex(run[0].replace("%", ""))
+    for run in PERCENTS.finditer(layer.text):
+        escapes = list(PERCENT.finditer(run[0]))
+        data = bytes.fromhex("".join(m[1] for m in escapes))
         at = 0
         while at < len(data):
             width = next((w for w in (1, 2, 3, 4) if _utf8(data[at : at + w]) is not None), 0)
-            pieces.append((run.start() + 3 * at, run.start() + 3 * (at + max(1, width)), _utf8(data[at : at + width]) if width else "�"))
+            last = escapes[at + max(1, width) - 1]
+            pieces.append((run.start() + escapes[at].start(), run.start() + last.end(), _utf8(data[at : at + width]) if width else "�"))
             at += max(1, width)
     return _substituted(layer, pieces) if pieces else None
 
@@ -119,8 +130,7 @@ def _utf8(data: bytes) -> str | None:
 def _unicode(layer: Layer) -> Layer | None:
     pieces = []
     for m in UNICODE.finditer(layer.text):
-        s = m[0]
-        code = int(s[3:-1], 16) if s[:3] == "&#x" else int(s[2:-1]) if s[0] == "&" else int(s[2:].strip("{}"), 16)
+        code = int(m[4]) if m[4] else int(m[1] or m[2] or m[3] or m[5], 16)
         if code <= 0x10FFFF:
             pieces.append((m.start(), m.end(), chr(code)))
     return _substituted(layer, pieces) if pieces else None
@@ -253,6 +263,7 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
                 if key not in seen:
                     seen.add(key)
                     work.append(new)
+        layer.text = ""  # the layers below it only need its pieces
     return base, sorted(spans)
 
 
