@@ -5,9 +5,9 @@ Features are hashed counts of the 1- to 4-byte sequences of the lower-cased UTF-
 rooted and scaled to length 1. Machines are fitted by gradient steps on the squared hinge loss.
 
 Training rows are those whose id's crc32 modulo 5 is not 0, with a language and a text with
-letters; at most ``PER_LANGUAGE`` of them for each of the ``LANGUAGES`` most frequent languages
-are used, chosen by the smallest hash of id and text. Predictions read the whole text and
-nothing else.
+letters; at most ``PER_LANGUAGE`` of them for each language are used, and ``TRAINING`` in all (fewer
+of each where there are many languages; none is left out), chosen by the smallest hash of id and
+text. Predictions read the whole text and nothing else.
 
 Null texts and texts without letters are ``und`` with score 0, as is everything when there are
 no training rows. A null id is neither held out nor learned from. Repeated rows each get a row.
@@ -26,8 +26,10 @@ from pyspark.sql import functions as F
 
 from .common import id_fold, map_chunks, table
 
-DIMENSIONS, PER_LANGUAGE, LANGUAGES, SEED = 1 << 13, 400, 48, 4
+DIMENSIONS, PER_LANGUAGE, TRAINING, SEED = 1 << 13, 400, 12_000, 4
 UNDECIDED = "und"
+#: Languages up to which their table is broadcast.
+MANY = 10_000
 LETTER = re.compile(r"[^\W\d_]")
 # Language families by ISO 639-1 code. A code that is missing here is a family of its own.
 FAMILIES = {
@@ -44,6 +46,11 @@ FAMILIES = {
 FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
 
 
+def has_letter(text: str | None) -> bool:
+    """Digits of any form, such as fractions and circled numbers, are no letters."""
+    return bool(text) and any(m[0].isalpha() for m in LETTER.finditer(text))
+
+
 def counts(text: str) -> np.ndarray:
     """Hashed counts of the byte sequences of a text."""
     x = np.frombuffer(f" {text.lower()} ".encode("utf-8", "replace"), dtype=np.uint8).astype(np.uint32)
@@ -96,7 +103,7 @@ class Model:
         self.weights = np.array(rows, dtype=np.float32).reshape(len(rows), x.shape[1] if len(x) else DIMENSIONS)
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.families or not LETTER.search(text):
+        if not self.families or not has_letter(text):
             return UNDECIDED, 0.0
         margins = self.weights @ features(counts(text)) if len(self.weights) else np.zeros(0)
         sure = lambda m: 1.0 / (1.0 + np.exp(-6.0 * m))
@@ -118,21 +125,27 @@ class Model:
 def fit(docs: DataFrame) -> Model:
     """The model learned from a bounded sample of ``docs`` (doc_id, text, lang)."""
     usable = docs.where(F.col("lang").isNotNull() & (id_fold("doc_id", 5) != 0))
-    found = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not found:
+    found = usable.groupBy("lang").count()
+    languages = found.count()
+    if not languages:
         return Model(np.zeros((0, DIMENSIONS), dtype=np.float32), [])
-    share = {r["lang"]: min(1.0, 1.5 * PER_LANGUAGE / r["count"]) for r in found}
-    limits = F.create_map(*[F.lit(v) for kv in share.items() for v in kv])
+    each = max(1, min(PER_LANGUAGE, TRAINING // languages))
+    limits = found.select("lang", (1.5 * each / F.col("count")).alias("share"))
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "doc_id", "text"), 11) / float(1 << 53)
-    chosen = usable.where(F.col("text").isNotNull()).withColumn("draw", draw).where(F.col("draw") < limits[F.col("lang")])
+    drawn = usable.where(F.col("text").isNotNull()).select("lang", draw.alias("draw"), "text")
+    chosen = (drawn.join(F.broadcast(limits), "lang") if languages <= MANY else drawn.join(limits, "lang")).where("draw < share")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf[[bool(LETTER.search(t)) for t in pdf["text"]]]
+        pdf = pdf[[has_letter(t) for t in pdf["text"]]]
         packed = [np.minimum(counts(t), 65535).astype("<u2").tobytes() for t in pdf["text"]]
         return pd.DataFrame({"lang": pdf["lang"], "draw": pdf["draw"], "packed": packed})
 
     rows = map_chunks(chosen.select("lang", "draw", "text"), run, "lang string, draw double, packed binary").collect()
-    kept = [r for lang in sorted(share) for r in sorted((r for r in rows if r["lang"] == lang), key=lambda r: (r["draw"], bytes(r["packed"])))[:PER_LANGUAGE]]
+    per: dict[str, list] = defaultdict(list)
+    for r in sorted(rows, key=lambda r: (r["draw"], bytes(r["packed"]))):
+        if len(per[r["lang"]]) < each:
+            per[r["lang"]].append(r)
+    kept = [r for lang in sorted(per) for r in per[lang]]
     x = np.array([features(np.frombuffer(r["packed"], dtype="<u2").astype(np.int64)) for r in kept], dtype=np.float32).reshape(len(kept), DIMENSIONS)
     return Model(x, [r["lang"] for r in kept])
 
