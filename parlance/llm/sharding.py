@@ -7,7 +7,8 @@ row number, the seed and N alone.
 
 Row numbers follow a seeded hash of (id, size, checksum), so that no pattern of ids makes a
 range of numbers hot. Equal rows are counted before the shuffle and numbered by expanding the
-count. The text itself never moves: only id, size and checksum do.
+count, in stretches of ``STRETCH`` so that many copies of a row are the work of many tasks. The
+number of ranges grows with the table. The text itself never moves: only id, size and checksum do.
 
 Null ids, null texts (size 8, checksum of the empty string), repeated rows and empty tables
 are handled; each input row gives one output row. Clashing extra columns are not read.
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import mix, table
 
-SEED, ROUNDS, BUCKETS = 20, 6, 1024
+SEED, ROUNDS, STRETCH = 20, 6, 1 << 16
 
 
 def _round_keys(seed: int) -> np.ndarray:
@@ -72,19 +73,29 @@ def row_at(shard: np.ndarray, slot: np.ndarray, n: int, shards: int, seed: int =
     return permute(np.asarray(slot) * shards + np.asarray(shard), n, seed, inverse=True)
 
 
+def bucket_bits(n: int) -> int:
+    """Ranges of about 2**17 rows: 2**10 at least, and 2**14 at most, so that their counts stay few."""
+    return min(14, max(10, (n >> 17).bit_length()))
+
+
 def number_rows(rows: DataFrame, seed: int = SEED) -> tuple[DataFrame, int]:
     """``rows`` with a gapless ``row_number`` from 0, and their count."""
     names = rows.columns
     key = F.xxhash64(F.lit(seed), *[F.col(c) for c in names])
+    bits = bucket_bits(rows.count())
     counted = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("_n")).withColumn("_h", key)
-    counted = counted.withColumn("_b", F.shiftrightunsigned("_h", 54).cast("int"))
-    sizes = dict(counted.groupBy("_b").agg(F.sum("_n")).collect())  # BUCKETS rows at most
-    per_bucket = [sizes.get(b, 0) for b in range(BUCKETS)]
+    counted = counted.withColumn("_b", F.shiftrightunsigned("_h", 64 - bits).cast("int"))
+    sizes = dict(counted.groupBy("_b").agg(F.sum("_n")).collect())  # 2**bits rows at most
+    per_bucket = [sizes.get(b, 0) for b in range(1 << bits)]
     before = [0, *accumulate(per_bucket)]
     order = W.partitionBy("_b").orderBy("_h", *names).rowsBetween(W.unboundedPreceding, W.currentRow)
     last = F.sum("_n").over(order) + F.element_at(F.lit(before), F.col("_b") + 1)
     numbered = counted.select(*names, (last - F.col("_n")).alias("_from"), last.alias("_to"))
-    return numbered.select(*names, F.explode(F.sequence("_from", F.col("_to") - 1)).alias("row_number")), before[-1]
+    stretches = numbered.select(*names, "_to", F.explode(F.sequence("_from", F.col("_to") - 1, F.lit(STRETCH))).alias("_at"))
+    once = (F.col("_to") - F.col("_at")) == 1
+    spread = stretches.where(~once).repartition("_at")
+    each = F.explode(F.sequence("_at", F.least(F.col("_at") + STRETCH, F.col("_to")) - 1)).alias("row_number")
+    return stretches.where(once).select(*names, F.col("_at").alias("row_number")).unionByName(spread.select(*names, each)), before[-1]
 
 
 def shard(docs: DataFrame, shards: int, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
