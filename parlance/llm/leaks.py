@@ -7,11 +7,16 @@ the document token by token, and the pair is a leak if some run of ``WINDOW`` al
 (the whole item if it is shorter) agrees in at least ``PERCENT`` of them. So substituted tokens
 are tolerated both by the masks and by the check.
 
+The two masks of weight six meet every 13 tokens of which two are substituted. Items of fewer than
+``WINDOW`` tokens have two masks of weight four instead, which meet every item of 8 tokens or more
+that agrees in enough of them; those masks are only laid on the documents if there are such items.
+An item of ``SHORTEST`` to 7 tokens must be quoted whole, and one of fewer matches nothing.
+
 Everything is built-in column functions. The seeds of the benchmark are broadcast only while
-their number is at most ``BROADCAST``; beyond that they are joined by a shuffle. Null and empty
-texts and items match nothing, nor do items with fewer tokens than the shortest mask spans.
-Equal items count as one, under their least id. Rows that repeat an id give one leak per item;
-rows with a null id are found under the null id. Extra columns of the inputs are not read.
+their number is at most ``BROADCAST``; beyond that they are joined by a shuffle. Only texts with a
+hit are shuffled. Null and empty texts and items match nothing. Equal items count as one, under
+their least id. Rows that repeat an id give one leak per item; rows with a null id are found under
+the null id, and are told apart by their texts. Extra columns of the inputs are not read.
 """
 
 from __future__ import annotations
@@ -19,10 +24,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import marked, table, written
 
-MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 3, 4, 7, 9))
-WINDOW, PERCENT = 13, 80
+MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 4, 5, 6, 7))
+SHORT_MASKS = ((0, 1, 2, 3), (0, 1, 2, 4))
+WINDOW, PERCENT, WHOLE, SHORTEST = 13, 80, 8, 4
 BROADCAST = 500_000
 
 
@@ -30,41 +36,50 @@ def tokens(text: Column) -> Column:
     return F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")
 
 
-def with_seeds(df: DataFrame, words: str) -> DataFrame:
+def with_seeds(df: DataFrame, words: str, masks: tuple[tuple[int, ...], ...]) -> DataFrame:
     """A row per position and mask that fits: ``seed`` and ``at``; the other columns but ``words`` stay."""
     kept = [c for c in df.columns if c != words]
     hashed = df.select(*kept, F.transform(words, lambda w: F.xxhash64(w)).alias("_h"))
     sized = hashed.select(*kept, "_h", F.size("_h").alias("_n"))
-    per_mask = []
-    for k, (_, *others) in enumerate(MASKS):
+    per_mask, before, at = [], "0", ""
+    for _, *others in masks:
         fits = f"greatest(0, _n - {others[-1]})"
-        per_mask.append(F.expr(f"transform(slice(_h, 1, {fits}), (x, i) -> xxhash64({k}, x, {', '.join(f'get(_h, i + {j})' for j in others)}))"))
-    seeds = sized.select(*kept, F.expr(f"greatest(0, _n - {MASKS[0][-1]})").alias("_first"), F.posexplode(F.concat(*per_mask)).alias("_pos", "seed"))
-    return seeds.select(*kept, "seed", F.expr("if(_pos >= _first, _pos - _first, _pos)").alias("at"))
+        kind = ", ".join(map(str, others))
+        per_mask.append(F.expr(f"transform(slice(_h, 1, {fits}), (x, i) -> xxhash64({kind}, x, {', '.join(f'get(_h, i + {j})' for j in others)}))"))
+        at += f" when _pos < {before} + {fits} then _pos - ({before})"
+        before += f" + {fits}"
+    seeds = sized.select(*kept, "_n", F.posexplode(F.concat(*per_mask)).alias("_pos", "seed"))
+    return seeds.select(*kept, "seed", F.expr(f"case{at} end").alias("at"))
 
 
 def items_of(benchmark: DataFrame) -> DataFrame:
     """Distinct items as (item_id, item_words)."""
     words = benchmark.select("item_id", F.filter(tokens(F.col("text")), lambda w: w != "").alias("item_words"))
-    return words.where(F.size("item_words") > min(m[-1] for m in MASKS)).groupBy("item_words").agg(F.min("item_id").alias("item_id")).select("item_id", "item_words")
+    return words.where(F.size("item_words") >= SHORTEST).groupBy("item_words").agg(F.min("item_id").alias("item_id")).select("item_id", "item_words")
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, item_words, matched, best) of every leaked item: tokens of the item, equal tokens on the best alignment, and in its best run."""
-    docs = docs.select("doc_id", tokens(F.col("text")).alias("words"))
+    docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("_row"))
     items = items_of(benchmark)
-    small = (items.agg(F.sum(F.size("item_words"))).head()[0] or 0) * len(MASKS) <= BROADCAST
-    sized = F.broadcast if small else (lambda df: df)
-    seeds = with_seeds(items.select("item_id", "item_words"), "item_words").withColumnRenamed("at", "item_at")
-    hits = with_seeds(docs, "words").join(sized(seeds), "seed")
-    aligned = hits.groupBy("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("offset")).agg(F.count(F.lit(1)).alias("hits"))
-    pairs = aligned.alias("h").join(docs.alias("d"), F.col("h.doc_id").eqNullSafe(F.col("d.doc_id"))).select("h.*", "d.words").join(sized(items), "item_id")
+    n = F.size("item_words")
+    count, short = items.agg(F.coalesce(F.sum(n), F.lit(0)), F.count_if(n < WINDOW)).head()
+    masks = MASKS + SHORT_MASKS if short else MASKS
+    sized = F.broadcast if count * len(MASKS) <= BROADCAST else (lambda df: df)
+    seeds = with_seeds(items.where(n >= WINDOW), "item_words", MASKS)
+    if short:
+        seeds = seeds.unionByName(with_seeds(items.where(n < WINDOW), "item_words", SHORT_MASKS))
+    hits = with_seeds(docs.select("doc_id", "_row", tokens(F.col("text")).alias("words")), "words", masks).join(sized(seeds.withColumnRenamed("at", "item_at")), "seed")
+    aligned = written(hits.select("doc_id", "_row", "item_id", (F.col("at") - F.col("item_at")).alias("offset")).distinct())
+    texts = marked(docs, "_row", aligned.select("_row")).where("_marked").select("_row", "text").dropDuplicates(["_row"])
+    pairs = aligned.join(texts.select("_row", tokens(F.col("text")).alias("words")), "_row").join(sized(items), "item_id")
     same = pairs.withColumn("same", F.expr("transform(item_words, (w, i) -> int(coalesce(get(words, i + offset) = w, false)))"))
-    runs = same.withColumn("run", F.least(F.lit(WINDOW), F.size("item_words"))).withColumn(
+    runs = same.withColumn("run", F.least(F.lit(WINDOW), n)).withColumn(
         "best", F.expr("array_max(transform(sequence(0, size(same) - run), s -> aggregate(slice(same, s + 1, run), 0, (a, x) -> a + x)))")
     )
-    leaks = runs.where(100 * F.col("best") >= PERCENT * F.col("run")).select(
-        "doc_id", "item_id", F.size("item_words").alias("item_words"), F.struct(F.expr("aggregate(same, 0, (a, x) -> a + x)").alias("matched"), "best").alias("s")
+    least = F.when(n < WHOLE, 100).otherwise(PERCENT)
+    leaks = runs.where(100 * F.col("best") >= least * F.col("run")).select(
+        "doc_id", "item_id", n.alias("item_words"), F.struct(F.expr("aggregate(same, 0, (a, x) -> a + x)").alias("matched"), "best").alias("s")
     )
     return leaks.groupBy("doc_id", "item_id", "item_words").agg(F.max("s").alias("s")).select("doc_id", "item_id", "item_words", "s.matched", "s.best")
 
