@@ -5,9 +5,11 @@ after, and from its neighbours' labels. Forward and backward passes give each li
 probability of good; the mean weighted by line length, calibrated on the training documents,
 is the document's score.
 
-Training documents are those with a label whose id's crc32 modulo 3 is not 1; at most ``SAMPLE``
-of them are used, chosen by the smallest hash of the id. All lines of a training document carry
-its label. Scores read whole texts and nothing else.
+Training documents are those with a label whose id's crc32 modulo 3 is not 1, that no other row
+shares the id of, and that have at most ``DOC_LINES`` lines; at most ``SAMPLE`` of them are used,
+chosen by the smallest hash of the id, and no more than have ``LINES`` lines together. All lines
+of a training document carry its label. Scores read whole texts, however many lines they have,
+and nothing else.
 
 Null and empty texts are one empty line and get the score of that. Without training rows every
 score is 0.5. A null id is neither held out nor learned from. Repeated rows each get a row;
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import id_fold, map_chunks, mix, table, word_hashes
 
-SAMPLE, SEED = 3000, 9
+SAMPLE, DOC_LINES, LINES, SEED = 3000, 256, 150_000, 9
 LETTERS, CAPITALS, DIGITS, SPACES, COMMON, MARKS, HIGH = range(7)
 _CLASS = np.full(256, MARKS, dtype=np.int64)
 _CLASS[[ord(c) for c in "abcdefghijklmnopqrstuvwxyz"]] = LETTERS
@@ -39,7 +42,7 @@ _FEED = np.uint8(10)
 
 
 def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of all lines of some texts: features with those of both neighbours, length in bytes, and each text's first line (with the total at the end)."""
+    """Of all lines of some texts: their own features, length in bytes, and each text's first line (with the total at the end)."""
     data = np.frombuffer("\n".join(texts).encode("utf-8", "replace"), dtype=np.uint8)
     first = np.zeros(len(texts) + 1, dtype=np.int64)
     np.cumsum([t.count("\n") + 1 for t in texts], out=first[1:])
@@ -72,15 +75,20 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
         kinds[:, MARKS] / size * 5, np.minimum(kinds[:, MARKS] / count, 3), kinds[:, SPACES] / size, kinds[:, HIGH] / size,
         again / count, distinct / count, fresh / count, (fresh / count < 0.4) & (words > 4), times > 1, np.minimum(times - 1, 10) / 5,
     ]).astype(np.float64)
+    return own, size, first
+
+
+def with_neighbours(own: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The features of every line beside those of the line before and after it, a constant, and flags for a text's first and last line."""
     before, after = np.zeros_like(own), np.zeros_like(own)
     before[1:], after[:-1] = own[:-1], own[1:]
     before[first[:-1]] = 0
     after[first[1:] - 1] = 0
-    edge = np.zeros((n, 3))
+    edge = np.zeros((len(own), 3))
     edge[:, 0] = 1
     edge[first[:-1], 1] = 1
     edge[first[1:] - 1, 2] = 1
-    return np.hstack([own, before, after, edge]), size, first
+    return np.hstack([own, before, after, edge])
 
 
 def _step(x: np.ndarray, stay: tuple[float, float]) -> np.ndarray:
@@ -114,9 +122,22 @@ class Model:
     def __init__(self, weights: np.ndarray, stay: tuple[float, float], mean: np.ndarray, scale: np.ndarray, calibration: tuple[float, float]):
         self.weights, self.stay, self.mean, self.scale, self.calibration = weights, stay, mean, scale, calibration
 
-    def raw(self, x: np.ndarray, size: np.ndarray, first: np.ndarray) -> np.ndarray:
+    def line_scores(self, own: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Each line's log odds of good from its features and its neighbours', without a table of both."""
+        w, n = self.weights / self.scale, own.shape[1]
+        out = own @ w[:n] + (w[-3] - self.mean @ w)
+        from_before, from_after = (own @ w[n : 2 * n])[:-1], (own @ w[2 * n : 3 * n])[1:]
+        from_before[first[1:-1] - 1] = 0
+        from_after[first[1:-1] - 1] = 0
+        out[1:] += from_before
+        out[:-1] += from_after
+        out[first[:-1]] += w[-2]
+        out[first[1:] - 1] += w[-1]
+        return out
+
+    def raw(self, own: np.ndarray, size: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Length-weighted log odds of good per document."""
-        scores = (((x - self.mean) / self.scale) @ self.weights).tolist()
+        scores = self.line_scores(own, first).tolist()
         out = np.zeros(len(first) - 1)
         for k, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
             p = float(np.average(marginals(scores[a:b], self.stay), weights=size[a:b]))
@@ -168,8 +189,9 @@ def _gradient(scores: np.ndarray, lengths: np.ndarray, labels: np.ndarray, stay:
     return p, edges
 
 
-def fit_arrays(x: np.ndarray, size: np.ndarray, first: np.ndarray, labels: np.ndarray, steps: int = 120) -> Model:
+def fit_arrays(own: np.ndarray, size: np.ndarray, first: np.ndarray, labels: np.ndarray, steps: int = 120) -> Model:
     """Weights by gradient steps on the log likelihood, then a calibration of the document score."""
+    x = with_neighbours(own, first)
     mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-3)
     mean[-3], scale[-3] = 0, 1
     z = np.clip((x - mean) / scale, -8, 8)
@@ -193,7 +215,7 @@ def fit_arrays(x: np.ndarray, size: np.ndarray, first: np.ndarray, labels: np.nd
         move = 0.08 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         w, stay = w - move[:-2], np.clip(stay - move[-2:], -3, 3)
     model = Model(w, (float(stay[0]), float(stay[1])), mean, scale, (1.0, 0.0))
-    raw = model.raw(x, size, first)
+    raw = model.raw(own, size, first)
     a, b = 1.0, 0.0
     for _ in range(50):  # Newton steps of a logistic regression with a small ridge
         p = 1 / (1 + np.exp(-(a * raw + b)))
@@ -215,18 +237,23 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         made = [line_features([t or ""]) for t in pdf["text"]]
         pack = lambda arrays: [x.astype("<f4").tobytes() for x in arrays]
-        return pdf[["doc_id", "quality"]].assign(lines=[len(m[1]) for m in made], x=pack(m[0] for m in made), size=pack(m[1] for m in made))
-
-    # The sample has at most ``sample`` rows of two numbers, so it can be broadcast.
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
-    found = sorted(map_chunks(rows, run, "doc_id long, quality int, lines int, x binary, size binary").collect(), key=lambda r: (r["doc_id"], r["quality"], bytes(r["x"])))
+        return pdf[["doc_id", "quality", "draw"]].assign(lines=[len(m[1]) for m in made], x=pack(m[0] for m in made), size=pack(m[1] for m in made))
+
+    # The sample has at most ``sample`` rows of a few numbers, so it can be broadcast.
+    single = docs.select("doc_id").join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id").groupBy("doc_id").count().where("count = 1").select("doc_id")
+    chosen = chosen.join(single, "doc_id").select("doc_id", "quality", "draw")
+    lines = F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where(F.coalesce(lines, F.lit(1)) <= DOC_LINES).select("doc_id", "quality", "draw", "text")
+    found = map_chunks(rows, run, "doc_id long, quality int, draw double, lines int, x binary, size binary").collect()
+    found = sorted(found, key=lambda r: (r["draw"], r["doc_id"], r["quality"]))
+    found = [r for r, held in zip(found, accumulate(r["lines"] for r in found)) if held <= LINES]
     width = line_features([""])[0].shape[1]
     if len({r["quality"] for r in found}) < 2:
-        return Model(np.zeros(width), (0.0, 0.0), np.zeros(width), np.ones(width), (1.0, 0.0))
-    x = np.concatenate([np.frombuffer(r["x"], dtype="<f4").reshape(-1, width) for r in found]).astype(np.float64)
+        return Model(np.zeros(3 * width + 3), (0.0, 0.0), np.zeros(3 * width + 3), np.ones(3 * width + 3), (1.0, 0.0))
+    own = np.concatenate([np.frombuffer(r["x"], dtype="<f4").reshape(-1, width) for r in found]).astype(np.float64)
     size = np.concatenate([np.frombuffer(r["size"], dtype="<f4") for r in found]).astype(np.float64)
     first = np.concatenate([[0], np.cumsum([r["lines"] for r in found])])
-    return fit_arrays(x, size, first, np.array([r["quality"] for r in found]))
+    return fit_arrays(own, size, first, np.array([r["quality"] for r in found]))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
