@@ -5,14 +5,16 @@ from __future__ import annotations
 import difflib
 import re
 import unicodedata
+from collections import Counter, defaultdict
 from itertools import permutations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .intervals import bin_of
+from .intervals import bin_of, merge_gaps, overlap
 
 MATCH, INSERT, DELETE, REPLACE = 0, 3, 3, 4
 ECHO_WINDOW_US, ECHO_COVERAGE, ECHO_MIN_WORDS = 2_000_000, 0.8, 3
@@ -110,38 +112,65 @@ def norm(text: str) -> str:
 _EDGES = re.compile(r"^(\W*)(.*?)(\W*)$", re.DOTALL)
 
 
-def corrected(words: list[str], terms: list[str], threshold: float = CORRECTION) -> list[str]:
-    """Runs of words that nearly spell a term are replaced by it: left to right, the most words first, the best score; outer punctuation stays.
+class Glossary:
+    """Terms by their number of words, with what is needed to reject most candidates without comparing them letter by letter."""
+
+    def __init__(self, terms: list[str], threshold: float = CORRECTION):
+        self.threshold, known = threshold, {}
+        for t in terms:
+            if len(norm(t)) >= SHORTEST_TERM:
+                known.setdefault(norm(t), t)
+        self.by_size: dict[int, list[tuple[str, Counter, list[str], bool]]] = defaultdict(list)
+        for key, t in known.items():
+            self.by_size[len(t.split())].append((key, Counter(key), t.split(), t.islower()))
+        self.sizes = sorted(self.by_size, reverse=True)
+        self.met: dict[tuple[int, str], tuple[list[str], bool] | None] = {}
+
+    def best(self, size: int, heard: str) -> tuple[list[str], bool] | None:
+        """The term of ``size`` words most like ``heard``, the first of equals, if it reaches the threshold."""
+        if (size, heard) not in self.met:
+            found, top, letters = None, 0.0, Counter(heard)
+            for key, counts, tokens, lower in self.by_size[size]:
+                total = len(heard) + len(key)
+                bound = 2 * min(len(heard), len(key)) / total
+                if bound < self.threshold or bound <= top or 2 * (letters & counts).total() < self.threshold * total:
+                    continue
+                score = difflib.SequenceMatcher(None, heard, key).ratio()
+                if score >= self.threshold and score > top:
+                    found, top = (tokens, lower), score
+            self.met[size, heard] = found
+        return self.met[size, heard]
+
+    def corrected(self, words: list[str]) -> list[str]:
+        """Runs of words that nearly spell a term of as many words get its spelling, word by word: left to right, the most words first, the best score.
+
+        Outer punctuation and the number of words stay, so timings do too. A term in lower case
+        keeps the capital of each word that it replaces.
+        """
+        parts = [_EDGES.match(w).groups() for w in words]
+        norms, out, at = [norm(core) for _, core, _ in parts], list(words), 0
+        while at < len(words):
+            for size in self.sizes:
+                heard = "".join(norms[at : at + size])
+                if at + size <= len(words) and heard and (found := self.best(size, heard)):
+                    for k, token in enumerate(found[0], at):
+                        lead, core, trail = parts[k]
+                        if found[1] and core[:1].isupper():
+                            token = token[:1].upper() + token[1:]
+                        out[k] = lead + token + trail
+                    at += size
+                    break
+            else:
+                at += 1
+        return out
 
-    A term in lower case keeps the capital of what it replaces. A run of several words becomes one item.
-    """
-    known: dict[str, str] = {}
-    for t in terms:
-        if len(norm(t)) >= SHORTEST_TERM:
-            known.setdefault(norm(t), t)
-    most = max((len(t.split()) for t in known.values()), default=0)
-    out, at = [], 0
-    while at < len(words):
-        for size in range(min(most + 1, len(words) - at), 0, -1):
-            lead, core, trail = _EDGES.match(" ".join(words[at : at + size])).groups()
-            heard = norm(core)
-            scored = [(difflib.SequenceMatcher(None, heard, n).ratio(), t) for n, t in known.items() if heard and abs(len(t.split()) - size) <= 1]
-            best = max(scored, key=lambda x: x[0], default=(0.0, ""))
-            if best[0] >= threshold:
-                term = best[1]
-                if term == term.lower() and core[:1].isupper():
-                    term = term[:1].upper() + term[1:]
-                out.append(lead + term + trail)
-                at += size
-                break
-        else:
-            out.append(words[at])
-            at += 1
-    return out
+
+def corrected(words: list[str], terms: list[str], threshold: float = CORRECTION) -> list[str]:
+    return Glossary(terms, threshold).corrected(words)
 
 
 def correct(rows: DataFrame, words: str, terms: str, threshold: float = CORRECTION) -> DataFrame:
-    """``rows`` with the array of words corrected by the row's own array of terms."""
+    """``rows`` with the array of words corrected by the row's own array of terms. Texts are corrected apart from words, as arrays of their own."""
 
     @F.pandas_udf("array<string>")
     def run(ws: pd.Series, ts: pd.Series) -> pd.Series:
@@ -195,32 +224,61 @@ def assignment(gain: list[list[int]]) -> list[int]:
 FRAME_US, COLLAR_US = 10_000, 250_000
 
 
-def frames(turns: DataFrame) -> DataFrame:
-    """Distinct active 10 ms frames (channel, speaker, frame) of turns."""
+FRAME_BIN = 3_000
+
+
+def frame_spans(turns: DataFrame) -> DataFrame:
+    """Active 10 ms frames of turns as disjoint half-open spans (channel, speaker, low, high); bounds are rounded half to even."""
     at = lambda c: F.greatest(F.lit(0), F.bround(F.col(c) / float(FRAME_US)).cast("long"))
     spans = turns.select("channel", "speaker", at("start_us").alias("low"), at("end_us").alias("high")).where("high > low")
-    return spans.select("channel", "speaker", F.explode(F.sequence("low", F.col("high") - 1)).alias("frame")).distinct()
+    return merge_gaps(spans, ["channel", "speaker"], "low", "high", 0)
 
 
-def scored_frames(ref: DataFrame, active: DataFrame, collar_us: int = COLLAR_US) -> DataFrame:
-    """``active`` without frames within the collar of a reference boundary."""
+def collar_spans(ref: DataFrame, collar_us: int = COLLAR_US) -> DataFrame:
+    """Frames within the collar of a reference boundary, as disjoint spans (channel, low, high)."""
     half = collar_us // FRAME_US
     bounds = ref.select("channel", F.explode(F.array("start_us", "end_us")).alias("t")).select("channel", F.bround(F.col("t") / float(FRAME_US)).cast("long").alias("b")).distinct()
-    masked = bounds.select("channel", F.explode(F.sequence(F.col("b") - half, F.col("b") + half - 1)).alias("frame")).distinct()
-    return active.join(masked, ["channel", "frame"], "left_anti")
+    spans = bounds.select("channel", (F.col("b") - half).alias("low"), (F.col("b") + half).alias("high")).where("high > low")
+    return merge_gaps(spans, ["channel"], "low", "high", 0)
+
+
+def diarization_sums(r: DataFrame, h: DataFrame, masked: DataFrame) -> DataFrame:
+    """Per channel the frames outside the mask: of reference speakers, missed, false alarms, and of pairs that could match; from one sweep over the spans' bounds."""
+    kinds = [("r", r), ("h", h), ("m", masked)]
+    parts = [df.select("channel", "low", "high", *[F.lit(int(k == name)).alias(k) for k, _ in kinds]) for name, df in kinds]
+    spans = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    edge = lambda t, sign: F.struct(F.col(t).alias("t"), *[(F.col(k) * sign).alias(k) for k, _ in kinds])
+    edges = spans.select("channel", F.explode(F.array(edge("low", 1), edge("high", -1))).alias("e")).groupBy("channel", F.col("e.t").alias("t")).agg(*[F.sum(f"e.{k}").alias(k) for k, _ in kinds])
+    order = W.partitionBy("channel").orderBy("t")
+    active = edges.select("channel", (F.lead("t").over(order) - F.col("t")).alias("n"), *[F.sum(k).over(order).alias(k) for k, _ in kinds]).where("n is not null and m = 0")
+    zero = F.lit(0)
+    return active.groupBy("channel").agg(
+        F.sum(F.col("n") * F.col("r")).alias("ref_frames"), F.sum(F.col("n") * F.greatest(F.col("r") - F.col("h"), zero)).alias("missed"),
+        F.sum(F.col("n") * F.greatest(F.col("h") - F.col("r"), zero)).alias("false_alarm"), F.sum(F.col("n") * F.least("r", "h")).alias("paired"),
+        F.sum(F.col("n") * (F.col("r") + F.col("h"))).alias("_all"),
+    ).where("_all > 0").drop("_all")
+
+
+def shared_frames(r: DataFrame, h: DataFrame, masked: DataFrame) -> DataFrame:
+    """(channel, ref_speaker, hyp_speaker, n): frames outside the mask in which both are active."""
+    left = r.select("channel", F.col("speaker").alias("ref_speaker"), F.col("low").alias("r_low"), F.col("high").alias("r_high"))
+    right = h.select("channel", F.col("speaker").alias("hyp_speaker"), F.col("low").alias("h_low"), F.col("high").alias("h_high"))
+    both = overlap(left, right, ["channel"], ("r_low", "r_high"), ("h_low", "h_high"), FRAME_BIN).select(
+        "channel", "ref_speaker", "hyp_speaker", F.greatest("r_low", "h_low").alias("low"), F.least("r_high", "h_high").alias("high"), "shared"
+    )
+    mask = masked.select("channel", F.col("low").alias("m_low"), F.col("high").alias("m_high"))
+    hidden = overlap(both.drop("shared"), mask, ["channel"], ("low", "high"), ("m_low", "m_high"), FRAME_BIN).select("channel", "ref_speaker", "hyp_speaker", (-F.col("shared")).alias("shared"))
+    total = both.select("channel", "ref_speaker", "hyp_speaker", "shared").unionByName(hidden)
+    return total.groupBy("channel", "ref_speaker", "hyp_speaker").agg(F.sum("shared").alias("n")).where("n > 0")
 
 
 def diarization_errors(ref: DataFrame, hyp: DataFrame, collar_us: int = COLLAR_US) -> DataFrame:
-    """Per channel: reference, missed, false-alarm and confused frames under the best one-to-one naming, and their rate."""
-    r, h = (scored_frames(ref, frames(t), collar_us) for t in (ref, hyp))
-    per = lambda df, name: df.groupBy("channel", "frame").agg(F.count(F.lit(1)).alias(name))
-    both = per(r, "n_ref").join(per(h, "n_hyp"), ["channel", "frame"], "full").fillna(0, ["n_ref", "n_hyp"])
-    sums = both.groupBy("channel").agg(
-        F.sum("n_ref").alias("ref_frames"), F.sum(F.greatest(F.col("n_ref") - F.col("n_hyp"), F.lit(0))).alias("missed"),
-        F.sum(F.greatest(F.col("n_hyp") - F.col("n_ref"), F.lit(0))).alias("false_alarm"), F.sum(F.least("n_ref", "n_hyp")).alias("paired"),
-    )
-    pairs = r.withColumnRenamed("speaker", "ref_speaker").join(h.withColumnRenamed("speaker", "hyp_speaker"), ["channel", "frame"])
-    shared = pairs.groupBy("channel", "ref_speaker", "hyp_speaker").agg(F.count(F.lit(1)).alias("n"))
+    """Per channel: reference, missed, false-alarm and confused frames under the best one-to-one naming, and their rate.
+
+    The work follows the number of turns, not their length in frames.
+    """
+    r, h, masked = frame_spans(ref), frame_spans(hyp), collar_spans(ref, collar_us)
+    sums, shared = diarization_sums(r, h, masked), shared_frames(r, h, masked)
 
     def best(pdf: pd.DataFrame) -> pd.DataFrame:
         table = pdf.pivot_table(index="ref_speaker", columns="hyp_speaker", values="n", fill_value=0, aggfunc="sum")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -48,16 +50,36 @@ def prompt(title: Column, language: Column, names: Column, body: Column) -> Colu
     return F.concat_ws("\n", line("Title", title), line("Language", language), line("Attendees", F.array_join(names, ", ")), F.lit("Transcript:"), body)
 
 
+_FENCE, _BARE, _TITLE = re.compile(r"\s*(```|~~~)"), re.compile(r"\s*(```|~~~)\s*$"), re.compile(r"#\s+(.+?)\s*#*\s*$")
+_THOUGHT, _CUT_THOUGHT = re.compile(r"<think>.*?</think>", re.DOTALL), re.compile(r"<think>.*", re.DOTALL)
+
+
 def unwrapped(text: str) -> tuple[str | None, str]:
-    """Title (of a leading first-level heading, or null) and body of notes, without a code fence around the whole."""
-    lines = text.strip().split("\n")
-    if len(lines) > 1 and lines[0].lstrip().startswith("```") and lines[-1].strip() == "```" and not any(x.lstrip().startswith("```") for x in lines[1:-1]):
-        lines = lines[1:-1]
-    while lines and not lines[0].strip():
-        lines.pop(0)
-    if lines and lines[0].startswith("# "):
-        return lines[0][2:].strip(), "\n".join(lines[1:]).strip()
-    return None, "\n".join(lines).strip()
+    """Title (of the first first-level heading, or null) and body of the note inside a response.
+
+    Think blocks go. What stands before the first such heading outside code fences goes; without
+    one, the first fenced block that holds one is the note (to the end, if its fence never closes).
+    A fence without a partner at the end goes too.
+    """
+    lines = _CUT_THOUGHT.sub("", _THOUGHT.sub("", text)).splitlines()
+    fences = [i for i, x in enumerate(lines) if _FENCE.match(x)]
+    blocks = list(zip(fences[::2], [*fences[1::2], len(lines)]))
+    titles = [i for i, x in enumerate(lines) if _TITLE.match(x)]
+    outside = [i for i in titles if not any(a <= i <= b for a, b in blocks)]
+    inside = [(a, b) for a, b in blocks if any(a < i < b for i in titles)]
+    if outside:
+        lines = lines[outside[0] :]
+    elif inside:
+        lines = lines[inside[0][0] + 1 : inside[0][1]]
+    while lines and not lines[-1].strip():
+        lines.pop()
+    if lines and _BARE.match(lines[-1]) and sum(bool(_FENCE.match(x)) for x in lines) % 2:
+        lines.pop()
+    lines = "\n".join(lines).rstrip().split("\n")
+    head = next((i for i, x in enumerate(lines) if x.strip()), None)
+    if head is not None and (found := _TITLE.match(lines[head].strip())):
+        return found[1], "\n".join(lines[head + 1 :]).strip("\n")
+    return None, "\n".join(lines).strip("\n")
 
 
 _NOTE = T.StructType([T.StructField("title", T.StringType()), T.StructField("body", T.StringType())])

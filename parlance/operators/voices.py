@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-GALLERY = 200_000
+#: Trials that are broadcast at once (64 coordinates each: about 30 MB), and parts of the profiles beyond that.
+QUERIES, SALTS = 50_000, 256
 ACCEPT, COLLAPSE, FOLD = 0.56, 0.6, 0.8
 
 
@@ -28,10 +29,17 @@ def unit(v: str | Column) -> Column:
 def scores(trials: DataFrame, profiles: DataFrame) -> DataFrame:
     """The cosine of each trial (model, trial, v) with each profile (model, profile, p) of the same model.
 
-    A gallery of profiles is small; it is broadcast only while it has at most ``GALLERY`` rows.
+    Trials are the query set. Up to ``QUERIES`` of them are broadcast to the profiles; more are
+    dealt to blocks of that size, and profiles to ``SALTS`` parts, so that no model is one task.
     """
-    small = profiles.count() <= GALLERY
-    return trials.join(F.broadcast(profiles) if small else profiles, "model").select("trial", "profile", dot("v", "p").alias("score"))
+    blocks = -(-trials.count() // QUERIES)
+    if blocks <= 1:
+        both = profiles.join(F.broadcast(trials), "model")
+    else:
+        dealt = trials.withColumn("_block", F.pmod(F.xxhash64("trial"), F.lit(blocks))).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        parts = profiles.withColumn("_salt", F.pmod(F.xxhash64("profile"), F.lit(SALTS)).cast("int")).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+        both = parts.join(dealt, ["model", "_block", "_salt"])
+    return both.select("trial", "profile", dot("v", "p").alias("score"))
 
 
 def best_match(scored: DataFrame, threshold: float = ACCEPT) -> DataFrame:

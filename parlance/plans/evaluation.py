@@ -12,7 +12,7 @@ from ..sources.derived import ENTRIES_SQL, EVENTS_SQL, entries, read, turns, wor
 from .scoring import _pairs
 from .speech import _MERGED
 from .voices import _SQL as VOICES_SQL
-from .voices import _profiles, _scored, _trials
+from .voices import _scored
 
 
 def _two_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,12 +53,10 @@ def ev11_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ev14_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """EV-14: score by one vector, by the mean, and by the best of a profile's two vectors."""
-    pair = _profiles(spark, sf_dir).withColumn("second", F.expr("profile % 2")).withColumn("profile", F.expr("profile div 2"))
-    rows = _trials(spark, sf_dir).join(F.broadcast(pair), "model").select("trial", "profile", "second", voices.dot("v", "p").alias("score"))
-    return rows.groupBy("trial", "profile").agg(
-        F.round(F.max(F.when(F.col("second") == 0, F.col("score"))), 6).alias("single"), F.round(F.avg("score"), 6).alias("average"), F.round(F.max("score"), 6).alias("best")
-    )
+    """EV-14: per trial the best score by one vector, by the mean, and by the best of a profile's two vectors."""
+    rows = _scored(spark, sf_dir).withColumn("second", F.expr("profile % 2")).withColumn("profile", F.expr("profile div 2"))
+    arms = rows.groupBy("trial", "profile").agg(F.max(F.when(F.col("second") == 0, F.col("score"))).alias("single"), F.avg("score").alias("average"), F.max("score").alias("best"))
+    return arms.groupBy("trial").agg(*[F.round(F.max(c), 6).alias(c) for c in ("single", "average", "best")])
 
 
 def ev16_duration_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,9 +76,10 @@ def ev17_weighted_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ev20_clean_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EV-20: frames where one speaker talks alone, for speakers of a channel with ten such frames or more."""
-    active = matching.frames(turns(spark, sf_dir))
-    alone = active.groupBy("channel", "frame").agg(F.count(F.lit(1)).alias("n"), F.min("speaker").alias("speaker")).where("n = 1")
-    return alone.groupBy("channel", "speaker").agg(F.count(F.lit(1)).alias("frames")).where("frames >= 10")
+    spans = matching.frame_spans(turns(spark, sf_dir))
+    alone = intervals.depth(spans, ["channel"], "low", "high").where("depth = 1").select("channel", "start_us", "end_us")
+    own = intervals.overlap(spans, alone, ["channel"], ("low", "high"), ("start_us", "end_us"), matching.FRAME_BIN)
+    return own.groupBy("channel", "speaker").agg(F.sum("shared").alias("frames")).where("frames >= 10")
 
 
 def ev22_echo_path(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,10 +143,18 @@ def nt04_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("meeting", F.md5(notes.prompt(title, F.lit("en"), F.col("names"), F.col("n"))).alias("digest"))
 
 
+#: Responses around a note's title T and body B, and whether a title is found: plain, fenced, with chatter, a think block, a fence among prose, a fence cut off, no title.
+_RESPONSES = [
+    ("# {T}\n{B}", True), ("```markdown\n# {T}\n{B}\n```", True), ("Here are your notes!\n\n# {T}\n{B}", True), ("<think>\n# Not this\n</think>\n# {T}\n{B}", True),
+    ("Sure:\n```\n# {T}\n{B}\n```\nAnything else?", True), ("~~~\n# {T}\n{B}", True), ("{B}\n<think>cut off\n# Not this", False), ("```\nno heading\n```\n# {T} #\n{B}\n```", True),
+]
+
+
 def fn21_unwrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FN-21: title and body of notes, every other one in a fence."""
-    fenced = F.when(F.col("meeting") % 2 == 0, F.concat(F.lit("```markdown\n# Notes\n"), F.lit("body "), F.col("meeting").cast("string"), F.lit("\n```"))).otherwise(F.concat(F.lit("body "), F.col("meeting").cast("string")))
-    rows = entries(spark, sf_dir).select("meeting").distinct().select("meeting", notes.unwrap(fenced).alias("n"))
+    """FN-21 and FN-20: title and body of notes in eight kinds of responses."""
+    fill = lambda form: F.replace(F.replace(F.lit(form), F.lit("{T}"), F.concat(F.lit("Notes "), F.col("meeting").cast("string"))), F.lit("{B}"), F.concat(F.lit("- body "), F.col("meeting").cast("string")))
+    response = F.get(F.array(*[fill(form) for form, _ in _RESPONSES]), (F.col("meeting") % len(_RESPONSES)).cast("int"))
+    rows = entries(spark, sf_dir).select("meeting").distinct().select("meeting", notes.unwrap(response).alias("n"))
     return rows.select("meeting", "n.title", "n.body")
 
 
@@ -201,7 +208,7 @@ ORACLE_SQL = {
 SELECT conv_id, count(p.w) AS fixes, count(*) - count(p.w) AS insertions FROM m LEFT JOIN p USING (w) GROUP BY conv_id""",
     "ev11_gate": """WITH p AS (SELECT lang, CAST(regexp_extract(source, '(\\d+)', 1) AS INT) AS n, avg(n_chars) AS mean FROM documents WHERE lang IS NOT NULL GROUP BY ALL), f AS (SELECT *, mean < lag(mean) OVER (PARTITION BY lang ORDER BY n) AS falls FROM p)
 SELECT lang, arg_min(n, (mean, n)) AS best, count(*) FILTER (falls) = 0 AS monotone FROM f GROUP BY lang""",
-    "ev14_arms": VOICES_SQL + " SELECT trial, profile // 2 AS profile, round(max(score) FILTER (profile % 2 = 0), 6) AS single, round(avg(score), 6) AS average, round(max(score), 6) AS best FROM scored GROUP BY trial, profile // 2",
+    "ev14_arms": VOICES_SQL + ", a AS (SELECT trial, profile // 2 AS profile, max(score) FILTER (profile % 2 = 0) AS single, avg(score) AS average, max(score) AS best FROM scored GROUP BY ALL) SELECT trial, round(max(single), 6) AS single, round(max(average), 6) AS average, round(max(best), 6) AS best FROM a GROUP BY trial",
     "ev16_duration_gate": VOICES_SQL + " SELECT trial, CASE WHEN abs(trial) % 4 = 0 THEN -1.0 ELSE round(score, 6) END AS score FROM best",
     "ev17_weighted_naming": _W + """, p AS (SELECT t.speaker, sum(least(w.end_us, t.end_us) - greatest(w.start_us, t.start_us)) AS total, sum(CASE WHEN w.text = t.speaker THEN least(w.end_us, t.end_us) - greatest(w.start_us, t.start_us) ELSE 0 END) AS rgt
 FROM words w JOIN turns t ON w.channel = t.channel AND w.start_us < t.end_us AND t.start_us < w.end_us GROUP BY t.speaker) SELECT round(sum(rgt) / sum(total), 6) AS by_time, round(avg(rgt / total), 6) AS by_speaker FROM p""",
@@ -214,7 +221,7 @@ SELECT user_id, CASE WHEN share < 0.2 OR share = 1 OR gain IS NULL THEN 'inconcl
 p AS (SELECT w.seq, m.start_us AS t, least(w.end_us, m.end_us) - greatest(w.start_us, m.start_us) AS shared FROM words w JOIN m ON w.channel = m.channel AND w.start_us < m.end_us AND m.start_us < w.end_us),
 b AS (SELECT seq, arg_min(t, (-shared, t)) AS window_us FROM p GROUP BY seq) SELECT w.seq, b.window_us FROM words w LEFT JOIN b USING (seq)""",
     "jn10_region_words": _W + " SELECT t.seq AS turn, string_agg(w.text, ' ' ORDER BY w.start_us, w.seq) AS words FROM words w JOIN turns t ON w.channel = t.channel AND w.mid_us BETWEEN t.start_us - 250000 AND t.end_us + 250000 GROUP BY t.seq",
-    "fn21_unwrap": "SELECT DISTINCT conv_id AS meeting, CASE WHEN conv_id % 2 = 0 THEN 'Notes' END AS title, 'body ' || conv_id AS body FROM conversations",
+    "fn21_unwrap": f"SELECT DISTINCT conv_id AS meeting, CASE WHEN [{', '.join(str(titled) for _, titled in _RESPONSES)}][conv_id % {len(_RESPONSES)} + 1] THEN 'Notes ' || conv_id END AS title, '- body ' || conv_id AS body FROM conversations",
     "ev13_galleries": _W + """, p AS (SELECT w.channel, w.text, t.speaker, CAST(sum(least(w.end_us, t.end_us) - greatest(w.start_us, t.start_us)) AS BIGINT) AS shared FROM words w JOIN turns t ON w.channel = t.channel AND w.start_us < t.end_us AND t.start_us < w.end_us GROUP BY w.channel, w.text, t.speaker),
 o AS (SELECT channel, text, arg_min(speaker, (-shared, speaker)) AS speaker, max(shared) AS shared FROM p GROUP BY channel, text) SELECT channel, speaker, string_agg(text, ',' ORDER BY text) AS texts, CAST(sum(shared) AS BIGINT) AS shared FROM o GROUP BY channel, speaker""",
     "fn22_headings": _FENCED + " SELECT meeting, line, 2 AS level, content[4:] AS title FROM h WHERE head",

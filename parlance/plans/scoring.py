@@ -79,7 +79,9 @@ def ag12_diarization_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ag12_missed_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG-12 without the naming: reference, missed and false-alarm frames per channel."""
-    return matching.diarization_errors(turns(spark, sf_dir), _heard_turns(spark, sf_dir)).select("channel", "ref_frames", "missed", "false_alarm")
+    ref = turns(spark, sf_dir)
+    sums = matching.diarization_sums(matching.frame_spans(ref), matching.frame_spans(_heard_turns(spark, sf_dir)), matching.collar_spans(ref))
+    return sums.select("channel", "ref_frames", "missed", "false_alarm")
 
 
 def ag13_word_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,7 +120,7 @@ def wn05_wrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def wn10_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WN-10 and EV-21: runs of active frames per channel and speaker."""
-    return windows.islands(matching.frames(turns(spark, sf_dir)).withColumn("on", F.lit(True)), ["channel", "speaker"], "frame", "on")
+    return matching.frame_spans(turns(spark, sf_dir)).select("channel", "speaker", F.col("low").alias("start"), F.col("high").alias("end"))
 
 
 def wn15_padded_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,9 +137,18 @@ def wn17_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def wn19_top_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WN-18 and WN-19: per channel and second, as many speakers with most frames as talk at once on average (half rounds up)."""
-    active = matching.frames(turns(spark, sf_dir)).withColumn("second", F.floor(F.col("frame") / 100).cast("long"))
-    votes = active.groupBy("channel", "second", "speaker").agg(F.count(F.lit(1)).alias("votes"))
-    wanted = active.groupBy("channel", "second", "frame").agg(F.count(F.lit(1)).alias("n")).groupBy("channel", "second").agg(F.floor(F.avg("n") + 0.5).cast("int").alias("k"))
+    spans = matching.frame_spans(turns(spark, sf_dir))
+
+    def per_second(rows: DataFrame, *key: str) -> DataFrame:
+        """Active frames of each second that a span touches."""
+        second = F.explode(F.sequence(F.floor(F.col("low") / 100).cast("long"), F.floor((F.col("high") - 1) / 100).cast("long"))).alias("second")
+        n = F.least("high", F.col("second") * 100 + 100) - F.greatest("low", F.col("second") * 100)
+        return rows.select(*key, "low", "high", second).groupBy(*key, "second").agg(F.sum(n).alias("votes"))
+
+    votes = per_second(spans, "channel", "speaker")
+    some = per_second(intervals.merge_gaps(spans.select("channel", "low", "high"), ["channel"], "low", "high", 0), "channel").withColumnRenamed("votes", "frames")
+    talk = votes.groupBy("channel", "second").agg(F.sum("votes").alias("votes"))
+    wanted = talk.join(some, ["channel", "second"]).select("channel", "second", F.floor(F.col("votes") / F.col("frames") + 0.5).cast("int").alias("k"))
     rank = F.row_number().over(W.partitionBy("channel", "second").orderBy(F.desc("votes"), "speaker"))
     return votes.withColumn("rank", rank).join(wanted, ["channel", "second"]).where("rank <= k").select("channel", "second", "speaker", "votes")
 

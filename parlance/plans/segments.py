@@ -11,7 +11,7 @@ from ..sources.derived import EVENTS_SQL, read, words
 from .voices import _SQL as VOICES_SQL
 from .voices import _scored
 
-SEGMENT_US, OFFSET_US, GROUP = 40_000_000, 5_000_000, 5
+SEGMENT_US, OFFSET_US, GROUP = 40_000_000, 5_000_000, 100
 FAR_TARGETS = (0.0, 0.1)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import intervals, speech
+from ..operators import intervals, matching, speech
 from ..sources.derived import EVENTS_SQL, turns, words
 
 COVER_SQL = f"""WITH {EVENTS_SQL},
@@ -158,10 +158,8 @@ def st10_clean_speech(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def st13_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST-13: active 10 ms frames per channel and speaker, frames rounded half to even, the last one excluded."""
-    frame = lambda c: F.bround(F.col(c) / 10_000.0).cast("long")
-    spans = turns(spark, sf_dir).select("channel", "speaker", frame("start_us").alias("low"), frame("end_us").alias("high")).where("high > low")
-    frames = spans.select("channel", "speaker", F.explode(F.sequence("low", F.col("high") - 1)).alias("frame"))
-    return frames.distinct().groupBy("channel", "speaker").agg(F.count(F.lit(1)).alias("frames"))
+    spans = matching.frame_spans(turns(spark, sf_dir))
+    return spans.groupBy("channel", "speaker").agg(F.sum(F.col("high") - F.col("low")).alias("frames"))
 
 
 def ev04_sanity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,8 @@ from ..sources.derived import ENTRIES_SQL, entries, read
 
 #: Words drawn from the pool for each item.
 DRAWN = 2
+#: Parts of a role in the round-robin draw, and conversations in a stretch of the numbering.
+PARTS, STRETCH = 256, 1000
 
 
 def ag05_language_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,14 +44,26 @@ def snk03_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transcripts.json_documents(entries(spark, sf_dir))
 
 
+def _timed_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries with timed words: each turn's time is shared by its characters; every fifth turn has no words."""
+    rows = entries(spark, sf_dir).withColumn("_ws", F.split("text", " "))
+    rate = (F.col("end_us") - F.col("start_us")) / F.greatest(F.char_length("text"), F.lit(1))
+    step = lambda acc, w: F.struct((acc["at"] + F.char_length(w) + 1).alias("at"), F.concat(acc["ws"], F.array(F.struct(acc["at"].alias("at"), w.alias("text")))).alias("ws"))
+    placed = F.aggregate("_ws", F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at: int, text: string>>").alias("ws")), step)["ws"]
+    at = lambda n: F.col("start_us") + F.floor(n * F.col("_rate")).cast("long")
+    timed = F.transform("_placed", lambda w: F.struct(at(w["at"]).alias("start_us"), at(w["at"] + F.char_length(w["text"])).alias("end_us"), w["text"].alias("text")))
+    with_words = rows.withColumn("_rate", rate).withColumn("_placed", placed).withColumn("ws", F.when((F.col("seq") % 5 > 0) & (F.col("text") != ""), timed))
+    return with_words.select("meeting", "seq", "speaker", "text", "start_us", "end_us", "ws")
+
+
 def snk04_srt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SNK-04, FN-01 and WN-05: each meeting as SRT."""
-    return transcripts.srt(entries(spark, sf_dir))
+    """SNK-04, FN-01, SO-02, WN-04 and WN-05: each meeting as SRT, turns with timed words cut into short cues."""
+    return transcripts.srt(_timed_entries(spark, sf_dir))
 
 
 def snk05_vtt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK-05 and FN-03: each meeting as WebVTT."""
-    return transcripts.vtt(entries(spark, sf_dir))
+    return transcripts.vtt(_timed_entries(spark, sf_dir))
 
 
 def fn01_subtitle_times(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,8 +159,10 @@ def se04_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def so07_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SO-07: 50 conversation turns, round-robin over roles, then in order."""
+    rows = read(spark, sf_dir, "conversations").withColumn("part", F.pmod(F.xxhash64("conv_id"), F.lit(PARTS)))
+    few = rows.withColumn("n", F.row_number().over(W.partitionBy("role", "part").orderBy("conv_id", "turn"))).where("n <= 50")  # no more of a part can be picked
     n = F.row_number().over(W.partitionBy("role").orderBy("conv_id", "turn"))
-    picked = read(spark, sf_dir, "conversations").withColumn("n", n).orderBy("n", "role").limit(50)
+    picked = few.withColumn("n", n).orderBy("n", "role").limit(50)
     return picked.select("conv_id", "turn", "role")
 
 
@@ -157,9 +173,13 @@ def so04_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def so09_every_nth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SO-09: every 10th turn of each conversation's role by order."""
-    n = F.row_number().over(W.partitionBy("role").orderBy("conv_id", "turn"))
-    return read(spark, sf_dir, "conversations").withColumn("n", n).where("n % 10 = 1").select("conv_id", "turn")
+    """SO-09: every 10th turn of each role by order; turns are numbered within stretches of conversations first, so that a role is not one task."""
+    rows = read(spark, sf_dir, "conversations").withColumn("stretch", F.expr(f"conv_id div {STRETCH}"))
+    sizes = rows.groupBy("role", "stretch").agg(F.count(F.lit(1)).alias("size"))
+    before = F.coalesce(F.sum("size").over(W.partitionBy("role").orderBy("stretch").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    within = F.row_number().over(W.partitionBy("role", "stretch").orderBy("conv_id", "turn"))
+    numbered = rows.withColumn("n", within).join(sizes.select("role", "stretch", before.alias("before")), ["role", "stretch"])
+    return numbered.where("(n + before) % 10 = 1").select("conv_id", "turn")
 
 
 def prj12_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Queries on voice embeddings. Profiles are every 20th vector; a known trial mixes its profile with another vector, a stranger is a vector of its own."""
+"""Queries on voice embeddings. The query set is every vector whose id is divisible by 20; all others are profiles. Every other trial is known: it mixes its vector with the next, whose profile is meant; the rest are strangers."""
 
 from __future__ import annotations
 
@@ -11,16 +11,17 @@ from ..sources.derived import vectors
 
 
 def _profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors(spark, sf_dir).where("vec_id % 20 = 0").select(F.lit("m").alias("model"), F.expr("vec_id div 20").alias("profile"), voices.unit("v").alias("p"))
+    return vectors(spark, sf_dir).where("vec_id % 20 <> 0").select(F.lit("m").alias("model"), F.col("vec_id").alias("profile"), voices.unit("v").alias("p"))
 
 
 def _trials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    all_rows = vectors(spark, sf_dir)
-    other = all_rows.where("vec_id % 20 = 2").select(F.expr("vec_id div 20").alias("profile"), F.col("v").alias("o"))
-    base = all_rows.where("vec_id % 20 = 0").select(F.expr("vec_id div 20").alias("profile"), "v")
-    known = base.join(other, "profile").select(F.lit("m").alias("model"), F.col("profile").alias("trial"), voices.unit(F.zip_with("v", "o", lambda x, y: 0.8 * x + 0.6 * y)).alias("v"))
-    strangers = all_rows.where("vec_id % 20 = 1").select(F.lit("m").alias("model"), F.expr("-(vec_id div 20) - 1").alias("trial"), voices.unit("v").alias("v"))
-    return known.unionByName(strangers)
+    """A known trial has the id of its profile, a stranger a negative one."""
+    rows = vectors(spark, sf_dir)
+    asked = rows.where("vec_id % 20 = 0")
+    meant = rows.where("vec_id % 20 = 1").select((F.col("vec_id") - 1).alias("vec_id"), F.col("v").alias("o"))
+    mixed = asked.where("vec_id % 40 = 0").join(meant, "vec_id").select((F.col("vec_id") + 1).alias("trial"), F.zip_with("o", "v", lambda x, y: 0.8 * x + 0.6 * y).alias("v"))
+    both = mixed.unionByName(asked.where("vec_id % 40 <> 0").select((-F.col("vec_id") - 1).alias("trial"), "v"))
+    return both.select(F.lit("m").alias("model"), "trial", voices.unit("v").alias("v"))
 
 
 def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,16 +55,17 @@ def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ag07_mean_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AG-07: the mean cosine of strangers with each profile and its neighbour, as a profile of two vectors."""
-    pair = _profiles(spark, sf_dir).withColumn("profile", F.expr("profile div 2"))
-    return voices.scores(_trials(spark, sf_dir), pair).groupBy("trial", "profile").agg(F.round(F.avg("score"), 6).alias("score"))
+    """AG-07: per trial the profile with the greatest mean cosine, of profiles of up to eight vectors each."""
+    wide = _profiles(spark, sf_dir).withColumn("profile", F.expr("profile div 8"))
+    mean = voices.scores(_trials(spark, sf_dir), wide).groupBy("trial", "profile").agg(F.round(F.avg("score"), 6).alias("score"))
+    return voices.best_match(mean, -2.0)
 
 
 def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Channels of four clusters: a profile, its two mixtures, and a stranger."""
-    rows = vectors(spark, sf_dir).where("vec_id % 20 in (0, 2)").select(F.expr("vec_id div 20").alias("channel"), (F.col("vec_id") % 20).alias("k"), "v")
+    """Channels of four clusters: a vector, its two mixtures with the next, and the next."""
+    rows = vectors(spark, sf_dir).select(F.expr("vec_id div 2").alias("channel"), (F.col("vec_id") % 2).alias("k"), "v")
     base = rows.where("k = 0").select("channel", F.col("v").alias("b"))
-    other = rows.where("k = 2").select("channel", F.col("v").alias("o"))
+    other = rows.where("k = 1").select("channel", F.col("v").alias("o"))
     both = base.join(other, "channel")
     mixes = F.array(*[F.struct(F.lit(f"S{i}").alias("label"), F.lit(float(s)).alias("seconds"), F.lit(x).alias("x"), F.lit(y).alias("y")) for i, (s, x, y) in enumerate(((30, 1.0, 0.0), (20, 0.9, 0.3), (5, 0.6, 0.7), (9, 0.0, 1.0)))])
     mixed = both.select("channel", "b", "o", F.explode(mixes).alias("m"))
@@ -93,9 +95,9 @@ def ag15_threshold_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def jn09_cross_group_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JN-09: trials against profiles of the same and of other groups of ten profiles: how many, and their mean score."""
+    """JN-09: trials against profiles of the same and of other groups of 200 ids: how many, and their mean score."""
     scored = _scored(spark, sf_dir).where("trial >= 0")
-    same = (F.expr("trial div 10") == F.expr("profile div 10")).alias("same_group")
+    same = (F.expr("trial div 200") == F.expr("profile div 200")).alias("same_group")
     return scored.groupBy(same).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 5).alias("mean_score"))
 
 
@@ -107,10 +109,9 @@ def so05_evict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SQL = """WITH vs AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-nv AS (SELECT vec_id, vec_id // 20 AS i, vec_id % 20 AS k, v FROM vs),
-profiles AS (SELECT i AS profile, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS p FROM nv WHERE k = 0),
-mixed AS (SELECT a.i AS trial, list_transform(list_zip(a.v, b.v), lambda z: 0.8 * z[1] + 0.6 * z[2]) AS v FROM nv a JOIN nv b ON a.i = b.i AND a.k = 0 AND b.k = 2),
-raw AS (SELECT trial, v FROM mixed UNION ALL SELECT -i - 1, v FROM nv WHERE k = 1),
+profiles AS (SELECT vec_id AS profile, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS p FROM vs WHERE vec_id % 20 <> 0),
+raw AS (SELECT b.vec_id AS trial, list_transform(list_zip(b.v, a.v), lambda z: 0.8 * z[1] + 0.6 * z[2]) AS v FROM vs a JOIN vs b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 40 = 0
+UNION ALL SELECT -vec_id - 1, v FROM vs WHERE vec_id % 40 = 20),
 trials AS (SELECT trial, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM raw),
 scored AS (SELECT trial, profile, list_dot_product(v, p) AS score FROM trials, profiles),
 best AS (SELECT trial, arg_min(profile, (-score, profile)) AS profile, max(score) AS score FROM scored GROUP BY trial)"""
@@ -122,10 +123,10 @@ ORACLE_SQL = {
     "so06_strangers_above": _SQL + " SELECT trial, profile, round(score, 6) AS score FROM best WHERE trial < 0 AND round(score, 6) > 0.3",
     "ag02_weighted_mean": """WITH e AS (SELECT CAST(label AS VARCHAR) AS label, CAST(vec_id % 7 + 1 AS DOUBLE) AS s, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
 m AS (SELECT label, i, sum(x * s) AS x FROM e GROUP BY label, i) SELECT label, round(max(x) FILTER (i = 1) / sqrt(sum(x * x)), 5) AS first, 1.0::DOUBLE AS length2 FROM m GROUP BY label""",
-    "ag07_mean_score": _SQL + " SELECT trial, profile // 2 AS profile, round(avg(score), 6) AS score FROM scored GROUP BY trial, profile // 2",
-    "ag08_collapse": """WITH nv AS (SELECT vec_id // 20 AS channel, vec_id % 20 AS k, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+    "ag07_mean_score": _SQL + ", m AS (SELECT trial, profile // 8 AS profile, round(avg(score), 6) AS score FROM scored GROUP BY ALL) SELECT trial, arg_min(profile, (-score, profile)) AS profile, max(score) AS score FROM m GROUP BY trial",
+    "ag08_collapse": """WITH nv AS (SELECT vec_id // 2 AS channel, vec_id % 2 AS k, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 mix(label, x, y) AS (VALUES ('S0', 1.0::DOUBLE, 0.0::DOUBLE), ('S1', 0.9, 0.3), ('S2', 0.6, 0.7), ('S3', 0.0, 1.0)),
-m AS (SELECT a.channel, label, list_transform(list_zip(a.v, b.v), lambda z: z[1] * x + z[2] * y) AS v FROM nv a JOIN nv b ON a.channel = b.channel AND a.k = 0 AND b.k = 2, mix),
+m AS (SELECT a.channel, label, list_transform(list_zip(a.v, b.v), lambda z: z[1] * x + z[2] * y) AS v FROM nv a JOIN nv b ON a.channel = b.channel AND a.k = 0 AND b.k = 1, mix),
 c AS (SELECT channel, label, list_transform(v, lambda q: q / sqrt(list_dot_product(v, v))) AS v FROM m WHERE label <> 'S3' OR channel % 2 = 0),
 p AS (SELECT a.channel, min(list_dot_product(a.v, b.v)) AS least FROM c a JOIN c b ON a.channel = b.channel AND a.label < b.label GROUP BY a.channel),
 n AS (SELECT channel, count(*) AS n FROM c GROUP BY channel)
@@ -135,6 +136,6 @@ round(avg(CASE WHEN trial < 0 THEN CAST(score >= 0.56 AS INT) END), 6) AS far, r
     "ag15_threshold_curve": _SQL + """, r AS (SELECT round(score, 4) AS score, count(*) FILTER (trial >= 0 AND profile = trial) AS rgt, count(*) FILTER (trial >= 0) AS known, count(*) FILTER (trial < 0) AS strangers FROM best GROUP BY 1),
 t AS (SELECT sum(known) AS ak, sum(strangers) AS ast FROM r)
 SELECT score, round(sum(rgt) OVER o / ak, 6) AS dir, round(sum(strangers) OVER o / ast, 6) AS far, round(1 - sum(known) OVER o / ak, 6) AS frr FROM r, t WINDOW o AS (ORDER BY score DESC ROWS UNBOUNDED PRECEDING)""",
-    "jn09_cross_group_trials": _SQL + " SELECT trial // 10 = profile // 10 AS same_group, count(*) AS n, round(avg(score), 5) AS mean_score FROM scored WHERE trial >= 0 GROUP BY 1",
+    "jn09_cross_group_trials": _SQL + " SELECT trial // 200 = profile // 200 AS same_group, count(*) AS n, round(avg(score), 5) AS mean_score FROM scored WHERE trial >= 0 GROUP BY 1",
     "so05_evict": """SELECT vec_id, label FROM (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY CASE WHEN vec_id % 3 > 0 THEN vec_id % 11 END DESC NULLS LAST, vec_id DESC) AS place FROM embeddings) WHERE place > 8""",
 }

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import clock, escape_vtt, subtitle_time, wrap
+from ..operators.windows import cues
 
 VERSION = 1
 WORD = "struct<text: string, start: double, end: double, confidence: double>"
@@ -91,20 +92,34 @@ def json_documents(entries: DataFrame, key: str = "meeting") -> DataFrame:
     return rows.select(key, F.to_json(F.struct(F.lit(VERSION).alias("version"), "entries")).alias("text"))
 
 
-def numbered(cues: DataFrame, key: str) -> DataFrame:
-    return cues.withColumn("number", F.row_number().over(W.partitionBy(key).orderBy("start_us", "end_us", "seq")))
+def subtitle_cues(entries: DataFrame, key: str = "meeting") -> DataFrame:
+    """(key, speaker, start_us, end_us, seq, text) of short cues, in order of start and end.
 
+    Entries (key, seq, speaker, text, start_us, end_us) with an array ``ws`` of timed words are cut
+    into cues; one without words, or a table without that column, gives one cue over its span.
+    """
+    whole = entries
+    if "ws" in entries.columns:
+        timed = F.coalesce(F.size("ws"), F.lit(0)) > 0
+        whole = entries.where(~timed)
+    made = whole.select(key, "speaker", "start_us", "end_us", F.col("seq").alias("_entry"), F.lit(0).alias("_cue"), "text")
+    if "ws" in entries.columns:
+        cut = cues(entries.where(timed).select(key, F.col("seq").alias("_entry"), "speaker", "ws"), [key, "_entry"])
+        made = made.unionByName(cut.select(key, "speaker", "start_us", "end_us", "_entry", F.col("seq").alias("_cue"), "text"))
+    number = F.row_number().over(W.partitionBy(key).orderBy("start_us", "end_us", "_entry", "_cue"))
+    return made.withColumn("seq", number).drop("_entry", "_cue")
 
-def srt(cues: DataFrame, key: str = "meeting") -> DataFrame:
+
+def srt(entries: DataFrame, key: str = "meeting") -> DataFrame:
     times = F.concat(subtitle_time(F.col("start_us"), ","), F.lit(" --> "), subtitle_time(F.col("end_us"), ","))
     body = wrap(F.concat("speaker", F.lit(": "), "text"))
-    return in_order(numbered(cues, key), key, F.concat(F.col("number").cast("string"), F.lit("\n"), times, F.lit("\n"), body, F.lit("\n")), "\n")
+    return in_order(subtitle_cues(entries, key), key, F.concat(F.col("seq").cast("string"), F.lit("\n"), times, F.lit("\n"), body, F.lit("\n")), "\n")
 
 
-def vtt(cues: DataFrame, key: str = "meeting") -> DataFrame:
+def vtt(entries: DataFrame, key: str = "meeting") -> DataFrame:
     times = F.concat(subtitle_time(F.col("start_us"), "."), F.lit(" --> "), subtitle_time(F.col("end_us"), "."))
-    body = F.concat(F.lit("<v "), escape_vtt(F.col("speaker")), F.lit(">"), escape_vtt(wrap(F.col("text"))), F.lit("</v>"))
-    made = in_order(cues, key, F.concat(times, F.lit("\n"), body, F.lit("\n")), "\n")
+    body = F.concat(F.lit("<v "), escape_vtt(F.col("speaker")), F.lit(">"), wrap(escape_vtt(F.col("text"))), F.lit("</v>"))
+    made = in_order(subtitle_cues(entries, key), key, F.concat(times, F.lit("\n"), body, F.lit("\n")), "\n")
     return made.withColumn("text", F.concat(F.lit("WEBVTT\n\n"), "text"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import tempfile
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -27,14 +28,29 @@ def stream_events(spark: SparkSession, folder: str, pattern: str = "events.parqu
     return raw.select(F.col("event_id").alias("seq"), F.col("user_id").alias("channel"), start.alias("start_us"), (start + length).alias("end_us"), F.col("event_type").alias("label"), F.col("ts").cast("timestamp").alias("ts"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a temporary one only in local mode, where none is set."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return shared or tempfile.mkdtemp(prefix="streams-")
+
+
 def run_to_end(stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """All that a finite stream gives, as a table of the session."""
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    shared = stream.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        writer = writer.option("checkpointLocation", f"{shared}/stream-{name}")
-    writer.start().awaitTermination()
-    return stream.sparkSession.table(name)
+    """All that a finite stream gives: every micro-batch is written as a Parquet folder of its own, which a batch that is run again replaces. In complete mode the last one counts."""
+    folder = f"{shared_folder(stream.sparkSession)}/{name}"
+    done: list[int] = []
+
+    def keep(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={n}")
+        done.append(n)
+
+    query = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{folder}-state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    batches = sorted(set(done))[-1:] if mode == "complete" else sorted(set(done))
+    if not batches:
+        return stream.sparkSession.createDataFrame([], stream.schema)
+    return stream.sparkSession.read.schema(stream.schema).parquet(*[f"{folder}/batch={n}" for n in batches])
 
 
 def watermarks(stream: DataFrame) -> DataFrame:

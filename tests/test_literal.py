@@ -72,7 +72,7 @@ def test_echo(spark):
 
 @pytest.mark.parametrize(("heard", "terms", "threshold", "want"), [
     (["Grafswald,"], ["Greifswald"], 0.8, ["Greifswald,"]), (["Grafswald,"], ["Greifswald"], 0.95, ["Grafswald,"]), (["Danjel"], ["Daniel"], 0.8, ["Daniel"]),
-    (["Kubernets"], ["kubernetes"], 0.9, ["Kubernetes"]), (["the", "Mett", "Unie", "is"], ["Met Uni"], 0.8, ["the", "Met Uni", "is"]), (["abc"], ["abd"], 0.5, ["abc"]),
+    (["Kubernets"], ["kubernetes"], 0.9, ["Kubernetes"]), (["the", "Mett", "Unie,", "is"], ["Met Uni"], 0.8, ["the", "Met", "Uni,", "is"]), (["metuni"], ["Met Uni"], 0.8, ["metuni"]), (["in", "Grafswald", "bei"], ["greifswald"], 0.8, ["in", "Greifswald", "bei"]), (["abc"], ["abd"], 0.5, ["abc"]),
 ])
 def test_corrections(heard, terms, threshold, want):
     assert matching.corrected(heard, terms, threshold) == want

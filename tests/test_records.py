@@ -80,3 +80,30 @@ def test_cuts_and_unwrapping():
     assert notes.unwrapped("```md\n# T\n\nbody\n```") == ("T", "body")
     assert notes.unwrapped("a\n```\ncode\n```") == (None, "a\n```\ncode\n```")
     assert notes.unwrapped("") == (None, "")
+
+
+@pytest.mark.parametrize(("response", "want"), [
+    ("Here are your notes!\n# Title\nbody", ("Title", "body")), ("Sure:\n```\n# T ##\n\nbody\n```\nBye", ("T", "body")), ("<think>\n# no\n</think>\n# T\nb", ("T", "b")),
+    ("b\n<think># no", (None, "b")), ("# T\nb\n```", ("T", "b")), ("# T\n```\ncode\n```", ("T", "```\ncode\n```")), ("~~~\n# T\nb", ("T", "b")), ("```\n# in\n```\n# T\nb", ("T", "b")), ("## only\ntext", (None, "## only\ntext")),
+])
+def test_notes_in_responses(response, want):
+    assert notes.unwrapped(response) == want
+
+
+def _turn(seq, who, start, words, step=0.6, length=0.5):
+    ws = [(int((start + step * k) * 1e6), int((start + step * k + length) * 1e6), w) for k, w in enumerate(words)]
+    return (1, seq, who, " ".join(words), ws[0][0], ws[-1][1], ws)
+
+
+def test_subtitles(spark):
+    """A long turn is cut into cues, one without words is one cue, cues of all speakers are in order, and characters are escaped before lines are wrapped."""
+    rows = [_turn(1, "Local-1", 0.0, [f"wort{k:02d}" for k in range(20)]), _turn(2, "Remote-1", 3.0, ["ja", "genau"]), (1, 3, "Local-2", "a < b & c " + "x" * 31, 3_661_000_000, 3_662_500_000, None)]
+    df = spark.createDataFrame(rows, "meeting long, seq long, speaker string, text string, start_us long, end_us long, ws array<struct<start_us: long, end_us: long, text: string>>")
+    blocks = [b.splitlines() for b in transcripts.srt(df).head().text.strip().split("\n\n")]
+    assert [b[0] for b in blocks] == [str(k + 1) for k in range(len(blocks))] and len(blocks) == 4
+    assert blocks[0][1] == "00:00:00,000 --> 00:00:05,900" and blocks[0][2].startswith("Local-1: ")
+    assert all(len(line) <= 42 for b in blocks for line in b[2:])
+    assert [b[1][:12] for b in blocks] == sorted(b[1][:12] for b in blocks) and blocks[1][1].startswith("00:00:03,000")
+    vtt = transcripts.vtt(df).head().text
+    assert vtt.startswith("WEBVTT\n\n") and "01:01:01.000 --> 01:01:02.500\n<v Local-2>a &lt; b &amp; c\n" + "x" * 31 + "</v>" in vtt
+    assert len(transcripts.srt(df.drop("ws")).head().text.strip().split("\n\n")) == 3
