@@ -50,11 +50,13 @@ def rest_of_large(large: DataFrame, found: DataFrame, payload: Callable[[DataFra
     block returns a spanning forest of what it ties, so no more rows than it has members.
     """
     named = large.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    per = named.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    per = named.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("members"))
     main = per.groupBy("key").agg(
         F.count(F.lit(1)).alias("parts"), F.expr("max(struct(n, component)).component").alias("main"), F.sum("n").alias("all"),
-        (F.sum("n") - F.max("n")).alias("outside"),
+        (F.sum("n") - F.max("n")).alias("outside"), F.bit_xor("members").alias("members"),
     ).where("parts > 1")
+    # Buckets with the same members need only be compared once.
+    main = main.groupBy("members", "all").agg(F.min("key").alias("key"), F.min("main").alias("main"), F.min("outside").alias("outside")).drop("members")
     open_rows = cut(named.join(main, "key"))
     if open_rows.isEmpty():
         return open_rows.select(F.col("node").alias("a"), F.col("node").alias("b"))

@@ -32,6 +32,13 @@ def _shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def without(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose ``column`` is null or not among ``keys`` (one column, materialised). Only rows that may be among them are joined."""
+    flagged = marked(df, column, keys)
+    some = flagged.where("_marked").join(keys.select(F.col(keys.columns[0]).alias("_key")).distinct(), F.col(column) == F.col("_key"), "left_anti")
+    return flagged.where("not _marked").unionByName(some).select(*df.columns)
+
+
 @contextmanager
 def _tidied(spark: SparkSession) -> Iterator[None]:
     """What is materialised in here leaves no shuffle files behind: nobody reads them again, and the disk holds those of one step at a time."""
@@ -147,16 +154,20 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word of UTF-8 bytes, and the words' starts."""
+def hashed_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word of UTF-8 bytes, and the words' starts and ends."""
     starts, ends = word_spans(data)
     if not len(starts):
-        return np.zeros(0, dtype=np.uint64), starts
+        return np.zeros(0, dtype=np.uint64), starts, ends
     p, q = _powers(len(data) + 1)
     total = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * p[: len(data)], out=total[1:])
     value = (total[ends] - total[starts]) * q[starts]
-    return mix(value ^ mix((ends - starts).astype(np.uint64))), starts
+    return mix(value ^ mix((ends - starts).astype(np.uint64))), starts, ends
+
+
+def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return hashed_words(data)[:2]
 
 
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
