@@ -9,8 +9,13 @@ letters; at most ``PER_LANGUAGE`` of them for each language are used, and ``TRAI
 of each where there are many languages; none is left out), chosen by the smallest hash of id and
 text. Predictions read the whole text and nothing else.
 
-Null texts and texts without letters are ``und`` with score 0, as is everything when there are
-no training rows. A null id is neither held out nor learned from. Repeated rows each get a row.
+A text of ``SURE_LENGTH`` characters or more is in no language that was learned if no family's machine
+comes near it: if the best margin is below ``SLACK`` times the ``LOW`` quantile of those that
+training texts of that length have (a quantile, as some of these may be junk). Such a text still gets a prediction, but ``lang_known`` is false. Shorter texts
+show too little to be rejected so.
+
+Null texts and texts without letters are ``und`` with score 0 and not known; when there are no
+training rows everything is ``und``, and known if it has letters. A null id is neither held out nor learned from. Repeated rows each get a row.
 """
 
 from __future__ import annotations
@@ -28,6 +33,7 @@ from .common import id_fold, map_chunks, table
 
 DIMENSIONS, PER_LANGUAGE, TRAINING, SEED = 1 << 13, 400, 12_000, 4
 UNDECIDED = "und"
+SURE_LENGTH, LOW, SLACK = 80, 0.05, 0.05
 #: Languages up to which their table is broadcast.
 MANY = 10_000
 LETTER = re.compile(r"[^\W\d_]")
@@ -84,7 +90,7 @@ def fit_machine(x: np.ndarray, y: np.ndarray, steps: int = 150, cost: float = 20
 class Model:
     """Families with a machine each (one against the rest), and a machine for each pair of languages within."""
 
-    def __init__(self, x: np.ndarray, langs: list[str]):
+    def __init__(self, x: np.ndarray, langs: list[str], sizes: list[int]):
         self.members: dict[str, list[str]] = defaultdict(list)
         for lang in sorted(set(langs)):
             self.members[FAMILY_OF.get(lang, lang)].append(lang)
@@ -102,15 +108,21 @@ class Model:
                 rows.append(fit_machine(x[both], sign(which[both] == a)))
         self.weights = np.array(rows, dtype=np.float32).reshape(len(rows), x.shape[1] if len(x) else DIMENSIONS)
 
-    def predict(self, text: str | None) -> tuple[str, float]:
+        sure = np.array(sizes) >= SURE_LENGTH
+        top = (x[sure] @ self.weights[: len(self.families)].T).max(axis=1) if len(rows) and len(self.families) > 1 and sure.any() else np.zeros(0)
+        self.floor = SLACK * float(np.quantile(top, LOW)) if len(top) else -np.inf
+
+    def predict(self, text: str | None) -> tuple[str, float, bool]:
+        """Language, score, and whether the text is in a language that was learned."""
         if not self.families or not has_letter(text):
-            return UNDECIDED, 0.0
+            return UNDECIDED, 0.0, not self.families and has_letter(text)
         margins = self.weights @ features(counts(text)) if len(self.weights) else np.zeros(0)
         sure = lambda m: 1.0 / (1.0 + np.exp(-6.0 * m))
-        family, score = self.families[0], 1.0
+        family, score, known = self.families[0], 1.0, True
         if len(self.families) > 1:
             best = int(np.argmax(margins[: len(self.families)]))
             family, score = self.families[best], float(sure(margins[best]))
+            known = bool(margins[best] >= self.floor) or len(text) < SURE_LENGTH
         votes = np.zeros(len(self.members[family]))
         for i, j, k in self.pairs[family]:
             votes[i] += 1 + np.tanh(margins[k]) if margins[k] >= 0 else 0
@@ -119,7 +131,7 @@ class Model:
         for i, j, k in self.pairs[family]:
             if top in (i, j):
                 score *= float(sure(margins[k] if top == i else -margins[k]))
-        return self.members[family][top], score
+        return self.members[family][top], score, known
 
 
 def fit(docs: DataFrame) -> Model:
@@ -128,7 +140,7 @@ def fit(docs: DataFrame) -> Model:
     found = usable.groupBy("lang").count()
     languages = found.count()
     if not languages:
-        return Model(np.zeros((0, DIMENSIONS), dtype=np.float32), [])
+        return Model(np.zeros((0, DIMENSIONS), dtype=np.float32), [], [])
     each = max(1, min(PER_LANGUAGE, TRAINING // languages))
     limits = found.select("lang", (1.5 * each / F.col("count")).alias("share"))
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "doc_id", "text"), 11) / float(1 << 53)
@@ -138,27 +150,27 @@ def fit(docs: DataFrame) -> Model:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf[[has_letter(t) for t in pdf["text"]]]
         packed = [np.minimum(counts(t), 65535).astype("<u2").tobytes() for t in pdf["text"]]
-        return pd.DataFrame({"lang": pdf["lang"], "draw": pdf["draw"], "packed": packed})
+        return pd.DataFrame({"lang": pdf["lang"], "draw": pdf["draw"], "size": pdf["text"].str.len(), "packed": packed})
 
-    rows = map_chunks(chosen.select("lang", "draw", "text"), run, "lang string, draw double, packed binary").collect()
+    rows = map_chunks(chosen.select("lang", "draw", "text"), run, "lang string, draw double, size int, packed binary").collect()
     per: dict[str, list] = defaultdict(list)
     for r in sorted(rows, key=lambda r: (r["draw"], bytes(r["packed"]))):
         if len(per[r["lang"]]) < each:
             per[r["lang"]].append(r)
     kept = [r for lang in sorted(per) for r in per[lang]]
     x = np.array([features(np.frombuffer(r["packed"], dtype="<u2").astype(np.int64)) for r in kept], dtype=np.float32).reshape(len(kept), DIMENSIONS)
-    return Model(x, [r["lang"] for r in kept])
+    return Model(x, [r["lang"] for r in kept], [r["size"] for r in kept])
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``lang_score``; columns of these names are replaced."""
+    """``docs`` with ``lang_pred``, ``lang_score`` and ``lang_known``; columns of these names are replaced."""
 
-    @F.pandas_udf("lang_pred string, lang_score double")
+    @F.pandas_udf("lang_pred string, lang_score double, lang_known boolean")
     def run(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([model.predict(t) for t in texts], columns=["lang_pred", "lang_score"])
+        return pd.DataFrame([model.predict(t) for t in texts], columns=["lang_pred", "lang_score", "lang_known"])
 
-    kept = docs.drop("lang_pred", "lang_score")
-    return kept.withColumn("_lang", run(F.col(text_col))).select(*kept.columns, "_lang.lang_pred", "_lang.lang_score")
+    kept = docs.drop("lang_pred", "lang_score", "lang_known")
+    return kept.withColumn("_lang", run(F.col(text_col))).select(*kept.columns, "_lang.*")
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:

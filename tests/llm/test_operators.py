@@ -260,7 +260,19 @@ def test_language(spark):
     assert [r.lang_pred for r in got if r.doc_id in (1000, 1001, 1002)] == ["und"] * 3
     assert all(0 <= r.lang_score <= 1 for r in got)
     nothing = language.fit(df.where("false"))
-    assert {r.lang_pred for r in language.predict(df, nothing).collect()} == {"und"}
+    assert {(r.lang_pred, r.lang_known) for r in language.predict(df, nothing).collect()} == {("und", True), ("und", False)}
+
+
+def test_unknown_languages_and_letters(spark):
+    """Long texts in no learned language are told, short ones get the benefit of the doubt; fractions and circled digits are no letters; no language is left out."""
+    rng = random.Random(13)
+    rows = [(i, sentence_doc(rng, vocabulary(lang), 60), lang) for i in range(200) for lang in [("en", "de", "fr", "es")[i % 4]]]
+    odd = ["привет как дела сегодня хорошо " * 8, "這是一個中文句子，沒有學過的語言。" * 6, "xqz vvk", "½ ² ①"]
+    got = language.predict(spark.createDataFrame([*rows, *[(1000 + k, t, None) for k, t in enumerate(odd)]], "doc_id long, text string, lang string"), language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    known = {r.doc_id: (r.lang_known, r.lang_pred) for r in got.collect()}
+    assert all(known[i][0] for i in range(200)) and [known[1000 + k][0] for k in range(4)] == [False, False, True, False] and known[1003][1] == "und"
+    many = [(i, f"word{i % 60} " * 5, f"l{i % 60:02d}") for i in range(300)]
+    assert len([m for f in language.fit(spark.createDataFrame(many, "doc_id long, text string, lang string")).members.values() for m in f]) == 60
 
 
 # 5. sharding
@@ -423,6 +435,26 @@ def test_marginals_are_exact():
         assert quality.marginals(scores, stay) == pytest.approx([g / total for g in good])
 
 
+def test_line_scores_equal_the_wide_table():
+    rng = np.random.default_rng(3)
+    texts = ["one line", "a\nb c\n\nd e f", "", "x\ny"]
+    own, size, first = quality.line_features(texts)
+    wide = quality.with_neighbours(own, first)
+    w, mean, scale = rng.normal(size=wide.shape[1]), rng.normal(size=wide.shape[1]), rng.uniform(1, 2, wide.shape[1])
+    mean[-3], scale[-3] = 0, 1
+    model = quality.Model(w, (0.0, 0.0), mean, scale, (1.0, 0.0))
+    assert np.allclose(model.line_scores(own, first), ((wide - mean) / scale) @ w)
+
+
+def test_long_and_repeated_training_texts_are_left_out(spark):
+    rows = [(i, "good words here\nand there" if i % 2 else "### $$$ ###\n%%%") for i in range(60)]
+    more = [(500, "\n".join(["line"] * (quality.DOC_LINES + 1))), *[(502, "same id")] * 30]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows] + [(500, 1), (502, 0)], "doc_id long, quality int")
+    a, b = (quality.fit(spark.createDataFrame(r, "doc_id long, text string"), labels) for r in (rows, rows + more))
+    assert np.allclose(a.weights, b.weights) and a.calibration == pytest.approx(b.calibration)
+    assert len(quality.Model.score(a, ["a b\n" * 200_000, ""])) == 2
+
+
 def test_quality(spark, empty):
     rng = random.Random(6)
     rows, labels = [], []
