@@ -1,9 +1,9 @@
 """The corpus pipeline: five stages, each on all that the one before it kept.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
-columns of ``documents``. A language is only rejected when none can be told; documents that line
-deduplication leaves without any text go, as do all but one of each near-duplicate group and
-every document with a leaked benchmark item.
+columns of ``documents``. Documents go whose language cannot be told or is none that was learned,
+those that line deduplication leaves without any text, all but one of each near-duplicate group
+(and of rows that repeat id and text), and every document with a leaked benchmark item.
 """
 
 from __future__ import annotations
@@ -12,16 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.llm import language, leaks, lines, near, pieces
-from parlance.llm.common import cut, table
+from parlance.llm.common import marked, table, without, written
 
 #: SQL cannot express the stages; tests compare them with brute force.
 ORACLE_SQL = None
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language cannot be told (null, or no letters)."""
-    found = language.predict(docs, language.fit(docs))
-    return found.where(F.col("lang_pred") != language.UNDECIDED).select(*docs.columns)
+    """Drops documents without letters and those that no family's machine comes near; a null language is filled with the predicted one."""
+    found = language.predict(docs, language.fit(docs)).where("lang_known")
+    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,15 +33,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each near-duplicate group."""
-    others = near.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_other"))
-    return docs.join(others.distinct(), docs["doc_id"] == F.col("_other"), "left_anti")
+    """Keeps the document with the least id of each near-duplicate group, and one row of those that repeat id and text."""
+    others = written(near.near_duplicates(docs).where("not kept and doc_id is not null").select("doc_id").distinct())
+    kept = without(docs, "doc_id", others)
+    repeated = written(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    flagged = marked(kept, "doc_id", repeated)
+    once = flagged.where("_marked").dropDuplicates(["doc_id", "text"])
+    return flagged.where("not _marked").unionByName(once).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item."""
-    leaked = leaks.find_leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(leaked, docs["doc_id"].eqNullSafe(F.col("_leaked")), "left_anti")
+    """Drops documents that hold a benchmark item. Rows are told apart by id and text, so that a null id drops no other row."""
+    named = docs.withColumn("_stage_row", F.xxhash64("doc_id", "text"))
+    leaked = written(leaks.find_leaks(named.select(F.col("_stage_row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select("doc_id").distinct())
+    return without(named, "_stage_row", leaked).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,5 +67,5 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs if k == 0 else cut(docs), sf_dir)
+        docs = stage(spark, docs if k == 0 else written(docs), sf_dir)
     return docs
