@@ -41,6 +41,21 @@ SENTENCES = {
     "gpl2_work": "this work is licensed under the gnu general public license version 2",
     "gpl3_program": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
     "gpl_warranty": "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    "gpl2_program": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+    "agpl3_program": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "lgpl21_library": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "lgpl3_library": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "lgpl_warranty": "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    "apache2_unless": "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
+    "apache2_see": "see the license for the specific language governing permissions and limitations under the license",
+    "isc_as_is": "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+    "bsd_as_is": "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+    "unlicense_free": "this is free and unencumbered software released into the public domain",
+    "unlicense_anyone": "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+    "zlib_as_is": "this software is provided as is without any express or implied warranty",
+    "zlib_grant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "boost_grant": "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following",
+    "mpl2_copy": "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0",
     "mpl2_source": "this source code form is subject to the terms of the mozilla public license v 2 0",
     "cc_by_nc_4": "licensed under cc by nc 4 0",
     "cc_by_4": "licensed under cc by 4 0",
@@ -53,21 +68,26 @@ SENTENCES = {
 # Rules in order: longer runs stand before the runs that they contain.
 RULES = [
     ("MIT", ["mit_grant", "mit_notice", "as_is"]), ("MIT", ["mit_grant", "mit_notice"]), ("MIT", ["mit_grant"]), ("MIT", ["mit_released"]),
-    ("MIT", ["mit_licensed"]), ("MIT", ["spdx_mit"]), ("ISC", ["isc_grant"]),
-    ("BSD-3-Clause", ["bsd_redistribution", "bsd_source", "bsd_binary", "bsd_name"]), ("BSD-2-Clause", ["bsd_redistribution", "bsd_source", "bsd_binary"]),
-    ("BSD", ["bsd_redistribution"]), ("Apache-2.0", ["apache2_under_the_license", "apache2_comply", "apache2_copy_at"]),
+    ("MIT", ["mit_licensed"]), ("MIT", ["spdx_mit"]), ("ISC", ["isc_grant", "isc_as_is"]), ("ISC", ["isc_grant"]),
+    ("Zlib", ["zlib_as_is", "zlib_grant"]), ("Zlib", ["zlib_grant"]), ("BSL-1.0", ["boost_grant"]), ("Unlicense", ["unlicense_free", "unlicense_anyone"]), ("Unlicense", ["unlicense_free"]),
+    ("BSD-3-Clause", ["bsd_redistribution", "bsd_source", "bsd_binary", "bsd_name", "bsd_as_is"]), ("BSD-3-Clause", ["bsd_redistribution", "bsd_source", "bsd_binary", "bsd_name"]),
+    ("BSD-2-Clause", ["bsd_redistribution", "bsd_source", "bsd_binary", "bsd_as_is"]), ("BSD-2-Clause", ["bsd_redistribution", "bsd_source", "bsd_binary"]),
+    ("BSD", ["bsd_redistribution"]),
+    ("Apache-2.0", ["apache2_under_the_license", "apache2_comply", "apache2_copy_at", "apache2_unless", "apache2_see"]), ("Apache-2.0", ["apache2_under_the_license", "apache2_comply", "apache2_copy_at"]),
     ("Apache-2.0", ["apache2_under_the_license"]), ("Apache-2.0", ["apache2_under"]), ("Apache-2.0", ["spdx_apache2"]),
     ("GPL-3.0-or-later", ["gpl3_program", "gpl_warranty"]), ("GPL-3.0-or-later", ["gpl3_program"]), ("GPL-3.0-or-later", ["spdx_gpl3"]),
-    ("GPL-3.0", ["gpl3_work"]), ("GPL-2.0", ["gpl2_work"]), ("MPL-2.0", ["mpl2_source"]), ("CC-BY-NC-4.0", ["cc_by_nc_4"]), ("CC-BY-SA-4.0", ["cc_by_sa_4"]),
+    ("GPL-2.0-or-later", ["gpl2_program", "gpl_warranty"]), ("GPL-2.0-or-later", ["gpl2_program"]), ("AGPL-3.0-or-later", ["agpl3_program", "gpl_warranty"]), ("AGPL-3.0-or-later", ["agpl3_program"]),
+    ("LGPL-2.1-or-later", ["lgpl21_library", "lgpl_warranty"]), ("LGPL-2.1-or-later", ["lgpl21_library"]), ("LGPL-3.0-or-later", ["lgpl3_library", "lgpl_warranty"]), ("LGPL-3.0-or-later", ["lgpl3_library"]),
+    ("GPL-3.0", ["gpl3_work"]), ("GPL-2.0", ["gpl2_work"]), ("MPL-2.0", ["mpl2_source", "mpl2_copy"]), ("MPL-2.0", ["mpl2_source"]), ("CC-BY-NC-4.0", ["cc_by_nc_4"]), ("CC-BY-SA-4.0", ["cc_by_sa_4"]),
     ("CC-BY-4.0", ["cc_by_4"]), ("CC0-1.0", ["cc0"]), ("Proprietary", ["copyright", "all_rights"]), ("Proprietary", ["all_rights"]),
 ]
 #: Every known sentence holds one of these, so texts without them need no cutting.
-ANCHORS = "licen|copyright|permission|redistribution|provided as is|all rights reserved|without any warranty"
+ANCHORS = "licen|copyright|permission|redistribution|provided as is|all rights reserved|without any warranty|unencumbered|anyone is free|mozilla org mpl"
 COPYRIGHT = "^(copyright )(c |[0-9]{4}).*$"
 #: What stands for the end of a sentence and for a blank line in a marked text; a line feed is a single line break.
 END, BLANK = "\x01", "\x02"
 #: Usual texts have an end mark after these words of a known sentence.
-INNER = ("without any warranty without even", "license v 2 0")
+INNER = (("without any warranty", "without even"), ("license v", "2 0"), ("free software", "you can"), ("software foundation", "either version"))
 
 
 def run_text(ids: list[str]) -> str:
@@ -78,9 +98,8 @@ def _pattern() -> str:
     """Any known sentence between cuts, the longest first."""
     forms = [f"copyright (?:c |[0-9]{{4}})[^\n{END}{BLANK}]*"]
     for sentence in sorted(SENTENCES.values(), key=len, reverse=True):
-        for inner in INNER:
-            before, space, after = inner.partition(" without " if "without even" in inner else " 2 ")
-            sentence = sentence.replace(inner, f"{before}{END}{space[1:]}{after}")
+        for before, after in INNER:
+            sentence = sentence.replace(f"{before} {after}", f"{before}{END}{after}")
         forms.append(sentence.replace(" ", "[ \n]").replace(END, f"[ \n{END}]"))
     cut = f"[\n{END}{BLANK}]"
     return f"(?<={cut})(?:{'|'.join(forms)})(?={cut})"

@@ -150,9 +150,26 @@ GPL = """This program is free software: you can redistribute it and/or modify it
 This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU General Public License for more details."""
 MPL = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one."
 
+LGPL = """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.
+
+This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and limitations under the License."""
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."""
+
 
 def test_wrapped_licences(spark):
     want = {
+        LGPL: (["lgpl21_library", "lgpl_warranty"], ["LGPL-2.1-or-later"]), UNLICENSE: (["unlicense_free", "unlicense_anyone"], ["Unlicense"]),
+        APACHE: (["apache2_under_the_license", "apache2_comply", "apache2_copy_at", "apache2_unless", "apache2_see"], ["Apache-2.0"]),
         MIT: (["copyright", "mit_grant", "mit_notice", "as_is"], ["MIT"]), BSD: (["bsd_redistribution", "bsd_source", "bsd_binary", "bsd_name"], ["BSD-3-Clause"]),
         GPL: (["gpl3_program", "gpl_warranty"], ["GPL-3.0-or-later"]), MPL: (["mpl2_source"], ["MPL-2.0"]),
     }
