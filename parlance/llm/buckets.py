@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from .common import cut
 from .components import components
 
-SMALL, BLOCK = 16, 512
+#: Members of a small bucket, members of a block of a large one, pairs that are checked together.
+SMALL, BLOCK, TOGETHER = 16, 512, 128
 
 
 def sized(members: DataFrame) -> DataFrame:
@@ -46,7 +47,7 @@ def rest_of_large(large: DataFrame, found: DataFrame, payload: Callable[[DataFra
     """Verified pairs of large buckets that tie components of ``found`` (node, component) together.
 
     ``payload`` turns (node) into (node, data binary). ``compare`` takes two lists of data and
-    gives a boolean matrix; where it is true, ``check`` (if any) decides on a pair of data. A
+    gives a boolean matrix; where it is true, ``check`` (if any) decides on lists of pairs of data. A
     block returns a spanning forest of what it ties, so no more rows than it has members.
     """
     named = large.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
@@ -81,11 +82,17 @@ def rest_of_large(large: DataFrame, found: DataFrame, payload: Callable[[DataFra
                     root[c] = c = root[root[c]]
                 return c
 
-            for x, y in np.argwhere(ok).tolist():
-                c, d = find(int(of_left[x])), find(int(of_right[y]))
-                if c != d and (check is None or check(data_left[x], data_right[y])):
-                    root[c] = d
-                    out.append((int(left["node"].iloc[x]), int(right["node"].iloc[y])))
+            node_left, node_right = left["node"].tolist(), right["node"].tolist()
+            maybe, at = np.argwhere(ok).tolist(), 0
+            while at < len(maybe):
+                some = [(x, y) for x, y in maybe[at : at + TOGETHER] if find(int(of_left[x])) != find(int(of_right[y]))]
+                at += TOGETHER
+                sure = [True] * len(some) if check is None or not some else check([data_left[x] for x, _ in some], [data_right[y] for _, y in some])
+                for (x, y), yes in zip(some, sure):
+                    c, d = find(int(of_left[x])), find(int(of_right[y]))
+                    if yes and c != d:
+                        root[c] = d
+                        out.append((node_left[x], node_right[y]))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return outside.unionByName(inside).groupBy("key", "i", "j").applyInPandas(run, "a long, b long")
