@@ -62,10 +62,10 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """``cut`` as a Parquet table in the same folder: smaller, and read by column."""
+    """``cut`` as a Parquet table in the same folder: smaller, and read by column. Most columns are hashes, so no dictionaries are tried."""
     path = f"{_shared_folder(df.sparkSession)}/table-{uuid.uuid4()}"
     with _tidied(df.sparkSession):
-        df.write.parquet(path)
+        df.write.option("parquet.enable.dictionary", "false").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
