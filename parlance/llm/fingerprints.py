@@ -22,8 +22,8 @@ from .common import table
 
 WORDS, K, DIGITS = 5, 128, 12
 HASH_RANGE = float(1 << 48)
-#: Ranges of the order by id: four for each shuffle partition, but this many at least; sampled rows for each.
-LEAST_PARTS, SAMPLE_A_PART = 512, 64
+#: Ranges of the order by id: four for each shuffle partition and one for each ``ROWS_A_PART`` rows, within these bounds; sampled rows for each.
+LEAST_PARTS, MOST_PARTS, ROWS_A_PART, SAMPLE_A_PART = 512, 1 << 14, 4096, 64
 
 
 def with_fingerprint(df: DataFrame, text: Column, name: str) -> DataFrame:
@@ -75,13 +75,10 @@ def as_text(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda x: F.lpad(F.lower(F.hex(x)), DIGITS, "0")), "")
 
 
-def _parts(docs: DataFrame) -> int:
-    return max(LEAST_PARTS, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-
-
-def range_starts(docs: DataFrame, parts: int) -> list[tuple[int, int]]:
-    """Up to ``parts`` - 1 rows (id, hash of the text) that cut the order by descending id into ranges of like size, from a bounded sample."""
+def range_starts(docs: DataFrame) -> list[tuple[int, int]]:
+    """Rows (id, hash of the text) that cut the order by descending id into ranges of like size, from a bounded sample."""
     n = docs.count()
+    parts = max(LEAST_PARTS, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_PARTS, n // ROWS_A_PART))
     rows = docs.sample(min(1.0, SAMPLE_A_PART * parts / max(n, 1)), seed=1).select("doc_id", "_h").collect()  # about SAMPLE_A_PART * parts rows of two numbers
     rows = sorted({(-r["doc_id"], r["_h"]) for r in rows})
     step = max(1, -(-len(rows) // parts))
@@ -95,7 +92,7 @@ def with_neighbours(docs: DataFrame) -> DataFrame:
     (flag ``_copy``; after the last range comes the first), so that no row needs a neighbour of
     another range.
     """
-    starts = range_starts(docs, _parts(docs))
+    starts = range_starts(docs)
     ids, hashes = (F.lit([x[k] for x in starts]) if starts else F.array().cast("array<bigint>") for k in (0, 1))
     steps = [1 << k for k in reversed(range(len(starts).bit_length()))]
 
