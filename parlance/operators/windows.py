@@ -6,6 +6,8 @@ with window functions; only the short stretches between breaks are folded in ord
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -25,21 +27,49 @@ def add_segment(open_windows: list[list[int]], start: int, end: int, longest: in
         open_windows.append([start, end])
 
 
-def pack_windows(segments: DataFrame, total_us: Column, longest: int = MAX_WINDOW_US, gap: int = MAX_GAP_US, pad: int = PAD_US) -> DataFrame:
-    """(channel, start_us, end_us) of decode windows over disjoint segments (channel, start_us, end_us), padded but still disjoint."""
-    order = W.partitionBy("channel").orderBy("start_us", "end_us")
-    breaks = F.coalesce(F.col("start_us") - F.lag("end_us").over(order) > gap, F.lit(True)).cast("int")
-    parted = segments.select("channel", "start_us", "end_us", breaks.alias("_b")).withColumn("_part", F.sum("_b").over(order))
+def fold_groups(rows: DataFrame, key: list[str], order: list[str], fold: Callable[[list[tuple]], list[tuple]], ddl: str) -> DataFrame:
+    """``fold`` of the rows of each key in order, as tuples, which gives the rows to return.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    Rows are dealt by key and sorted, and a task walks through its share once, so that small groups
+    cost no call of their own; it holds one group and one batch at a time.
+    """
+    names = [c.split()[0] for c in ddl.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple] = []
+        width = len(key)
+        for pdf in batches:
+            out: list[tuple] = []
+            for row in zip(*[pdf[c].tolist() for c in pdf.columns]):
+                if held and held[-1][:width] != row[:width]:
+                    out += fold(held)
+                    held = []
+                held.append(row)
+            yield pd.DataFrame(out, columns=names)
+        if held:
+            yield pd.DataFrame(fold(held), columns=names)
+
+    rest = [c for c in rows.columns if c not in key]
+    return rows.select(*key, *rest).repartition(*key).sortWithinPartitions(*key, *order).mapInPandas(run, ddl)
+
+
+def packed(segments: DataFrame, longest: int = MAX_WINDOW_US, gap: int = MAX_GAP_US) -> DataFrame:
+    """(channel, number, start_us, end_us) of decode windows over disjoint segments (channel, start_us, end_us), without padding."""
+
+    def fold(rows: list[tuple]) -> list[tuple]:
         made: list[list[int]] = []
-        for s, e in sorted(zip(pdf["start_us"], pdf["end_us"])):
-            add_segment(made, int(s), int(e), longest, gap)
-        return pd.DataFrame({"channel": pdf["channel"].iloc[0], "start_us": [w[0] for w in made], "end_us": [w[1] for w in made]})
+        for _, start, end in rows:
+            add_segment(made, start, end, longest, gap)
+        return [(rows[0][0], k, *w) for k, w in enumerate(made)]
+
+    return fold_groups(segments.select("channel", "start_us", "end_us"), ["channel"], ["start_us", "end_us"], fold, "channel long, number long, start_us long, end_us long")
+
 
-    raw = parted.groupBy("channel", "_part").applyInPandas(run, "channel long, start_us long, end_us long")
+def pack_windows(segments: DataFrame, total_us: Column, longest: int = MAX_WINDOW_US, gap: int = MAX_GAP_US, pad: int = PAD_US) -> DataFrame:
+    """(channel, start_us, end_us) of decode windows over disjoint segments (channel, start_us, end_us), padded but still disjoint."""
+    order = W.partitionBy("channel").orderBy("start_us", "end_us")
     limits = segments.groupBy("channel").agg(total_us.alias("_total"))
-    padded = raw.join(limits, "channel").withColumn("_end", F.least("_total", F.col("end_us") + pad))
+    padded = packed(segments, longest, gap).join(limits, "channel").withColumn("_end", F.least("_total", F.col("end_us") + pad))
     before = F.coalesce(F.lag("_end").over(order), F.lit(0))
     return padded.select("channel", F.greatest(F.lit(0), F.col("start_us") - pad, before).alias("start_us"), F.col("_end").alias("end_us"))
 

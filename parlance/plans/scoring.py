@@ -10,6 +10,7 @@ from ..functions import text as T
 from ..operators import intervals, matching, speech, windows
 from ..sources.derived import EVENTS_SQL, entries, read, turns, words
 from .speech import _MERGED
+from .streams import PADDED_SQL
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,6 +195,7 @@ QUERIES = {f.__name__: f for f in (
     wn03_pack_windows, wn04_cues, wn05_wrap, wn10_islands, wn15_padded_turns, wn17_chunks, wn19_top_votes, ag19_commit_latency, ag17_envelope_correlation, cl04_top_class, nt02_gate,
 )}
 ORACLE_SQL = {
+    "wn03_pack_windows": PADDED_SQL,
     "ag12_missed_frames": _W + """, heard AS (SELECT channel, CASE WHEN seq % 14 = 0 THEN 'other' ELSE 'h_' || speaker END AS speaker, start_us + 50000 AS start_us, end_us + 50000 AS end_us FROM turns WHERE seq % 20 <> 0),
 """ + _FRAMES.format(n="rf", src="turns") + ", " + _FRAMES.format(n="hf", src="heard") + """,
 b AS (SELECT DISTINCT channel, CAST(round_even(unnest([start_us, end_us]) / 10000.0, 0) AS BIGINT) AS b FROM turns), m AS (SELECT DISTINCT channel, unnest(range(b - 25, b + 25)) AS frame FROM b),
