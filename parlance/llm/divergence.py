@@ -179,9 +179,10 @@ def divergences(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
         " + (v - held - other_held) * abs(zero - other_zero) + coalesce(both, 0)"
     )
     pairs = pairs.join(both, ["lang", "source", "item"], "left").select("lang", "source", F.lit("pair").alias("part"), "item", F.expr(value).alias("value"))
-    ranked = pairs.unionByName(found.where("part = 'term'").select("lang", "source", "part", "item", "value"))
-    ranked = ranked.withColumn("rank", F.row_number().over(W.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item")))
-    return ranked.where((F.col("part") == "pair") | (F.col("rank") <= TOP))
+    rank = F.row_number().over(W.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item"))
+    # Ranked by itself, so that each task keeps its first terms only and no group grows with the number of shards.
+    first = found.where("part = 'term'").select("lang", "source", "part", "item", "value").withColumn("rank", rank).where(F.col("rank") <= TOP)
+    return pairs.withColumn("rank", rank).unionByName(first)
 
 
 def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
