@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -50,36 +48,62 @@ def prompt(title: Column, language: Column, names: Column, body: Column) -> Colu
     return F.concat_ws("\n", line("Title", title), line("Language", language), line("Attendees", F.array_join(names, ", ")), F.lit("Transcript:"), body)
 
 
-_FENCE, _BARE, _TITLE = re.compile(r"\s*(```|~~~)"), re.compile(r"\s*(```|~~~)\s*$"), re.compile(r"#\s+(.+?)\s*#*\s*$")
-_THOUGHT, _CUT_THOUGHT = re.compile(r"<think>.*?</think>", re.DOTALL), re.compile(r"<think>.*", re.DOTALL)
+def without_thoughts(text: str) -> str:
+    """The text without its think blocks; one that is never closed runs to the end."""
+    kept, rest = "", text
+    while rest:
+        before, opened, rest = rest.partition("<think>")
+        kept += before
+        if opened:
+            rest = rest.partition("</think>")[2]
+    return kept
+
+
+def heading_text(line: str) -> str | None:
+    """The text of a first-level heading, without the marks that may close it; null for other lines."""
+    if not line.startswith("#") or not line[1:2].isspace():
+        return None
+    return line[1:].strip().rstrip("#").strip() or None
+
+
+def is_fence(line: str) -> bool:
+    return line.lstrip()[:3] in ("```", "~~~")
 
 
 def unwrapped(text: str) -> tuple[str | None, str]:
     """Title (of the first first-level heading, or null) and body of the note inside a response.
 
-    Think blocks go. What stands before the first such heading outside code fences goes; without
-    one, the first fenced block that holds one is the note (to the end, if its fence never closes).
-    A fence without a partner at the end goes too.
+    Think blocks go. The note starts at the first such heading outside code fences. Where there is
+    none, it is what the first fenced block with such a heading holds (to the end, if its fence never closes), or
+    else the whole response. A bare fence at the end that opens nothing goes too.
     """
-    lines = _CUT_THOUGHT.sub("", _THOUGHT.sub("", text)).splitlines()
-    fences = [i for i, x in enumerate(lines) if _FENCE.match(x)]
-    blocks = list(zip(fences[::2], [*fences[1::2], len(lines)]))
-    titles = [i for i, x in enumerate(lines) if _TITLE.match(x)]
-    outside = [i for i in titles if not any(a <= i <= b for a, b in blocks)]
-    inside = [(a, b) for a, b in blocks if any(a < i < b for i in titles)]
-    if outside:
-        lines = lines[outside[0] :]
-    elif inside:
-        lines = lines[inside[0][0] + 1 : inside[0][1]]
-    while lines and not lines[-1].strip():
-        lines.pop()
-    if lines and _BARE.match(lines[-1]) and sum(bool(_FENCE.match(x)) for x in lines) % 2:
-        lines.pop()
-    lines = "\n".join(lines).rstrip().split("\n")
-    head = next((i for i, x in enumerate(lines) if x.strip()), None)
-    if head is not None and (found := _TITLE.match(lines[head].strip())):
-        return found[1], "\n".join(lines[head + 1 :]).strip("\n")
-    return None, "\n".join(lines).strip("\n")
+    lines = without_thoughts(text).splitlines()
+    opened, titled = None, False  # the line that opened the current block, and whether the block has a heading
+    outside = block = None
+    for i, line in enumerate(lines):
+        if is_fence(line):
+            if opened is None:
+                opened, titled = i, False
+            else:
+                block = block or ((opened + 1, i) if titled else None)
+                opened = None
+        elif heading_text(line):
+            if opened is not None:
+                titled = True
+            elif outside is None:
+                outside = i
+    if opened is not None and titled:
+        block = block or (opened + 1, len(lines))
+    if opened is not None and not "".join(lines[opened:]).strip().strip("`~"):
+        lines = lines[:opened]
+    if outside is not None:
+        lines = lines[outside:]
+    elif block:
+        lines = lines[slice(*block)]
+    body = "\n".join(lines).rstrip().lstrip("\n")
+    first, _, rest = body.lstrip().partition("\n")
+    title = heading_text(first.strip())
+    return (title, rest.strip("\n")) if title else (None, body)
 
 
 _NOTE = T.StructType([T.StructField("title", T.StringType()), T.StructField("body", T.StringType())])

@@ -151,11 +151,11 @@ _RESPONSES = [
 
 
 def fn21_unwrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FN-21 and FN-20: title and body of notes in eight kinds of responses."""
-    fill = lambda form: F.replace(F.replace(F.lit(form), F.lit("{T}"), F.concat(F.lit("Notes "), F.col("meeting").cast("string"))), F.lit("{B}"), F.concat(F.lit("- body "), F.col("meeting").cast("string")))
-    response = F.get(F.array(*[fill(form) for form, _ in _RESPONSES]), (F.col("meeting") % len(_RESPONSES)).cast("int"))
-    rows = entries(spark, sf_dir).select("meeting").distinct().select("meeting", notes.unwrap(response).alias("n"))
-    return rows.select("meeting", "n.title", "n.body")
+    """FN-21 and FN-20: title and body of notes on every conversation turn, in eight kinds of responses."""
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("Notes "), F.col("conv_id"), F.lit("."), F.col("turn")).alias("t"), F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), "[`#~<>]", ""), r"^\s+|\s+$", "").alias("b"))
+    fill = lambda form: F.replace(F.replace(F.lit(form), F.lit("{T}"), F.col("t")), F.lit("{B}"), F.col("b"))
+    response = F.get(F.array(*[fill(form) for form, _ in _RESPONSES]), ((F.col("conv_id") + F.col("turn")) % len(_RESPONSES)).cast("int"))
+    return rows.select("conv_id", "turn", notes.unwrap(response).alias("n")).select("conv_id", "turn", "n.title", "n.body")
 
 
 def wn20_hysteresis(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,7 +221,8 @@ SELECT user_id, CASE WHEN share < 0.2 OR share = 1 OR gain IS NULL THEN 'inconcl
 p AS (SELECT w.seq, m.start_us AS t, least(w.end_us, m.end_us) - greatest(w.start_us, m.start_us) AS shared FROM words w JOIN m ON w.channel = m.channel AND w.start_us < m.end_us AND m.start_us < w.end_us),
 b AS (SELECT seq, arg_min(t, (-shared, t)) AS window_us FROM p GROUP BY seq) SELECT w.seq, b.window_us FROM words w LEFT JOIN b USING (seq)""",
     "jn10_region_words": _W + " SELECT t.seq AS turn, string_agg(w.text, ' ' ORDER BY w.start_us, w.seq) AS words FROM words w JOIN turns t ON w.channel = t.channel AND w.mid_us BETWEEN t.start_us - 250000 AND t.end_us + 250000 GROUP BY t.seq",
-    "fn21_unwrap": f"SELECT DISTINCT conv_id AS meeting, CASE WHEN [{', '.join(str(titled) for _, titled in _RESPONSES)}][conv_id % {len(_RESPONSES)} + 1] THEN 'Notes ' || conv_id END AS title, '- body ' || conv_id AS body FROM conversations",
+    "fn21_unwrap": f"""SELECT conv_id, turn, CASE WHEN [{', '.join(str(titled) for _, titled in _RESPONSES)}][(conv_id + turn) % {len(_RESPONSES)} + 1] THEN 'Notes ' || conv_id || '.' || turn END AS title,
+regexp_replace(regexp_replace(coalesce(text, ''), '[`#~<>]', '', 'g'), '^\\s+|\\s+$', '', 'g') AS body FROM conversations""",
     "ev13_galleries": _W + """, p AS (SELECT w.channel, w.text, t.speaker, CAST(sum(least(w.end_us, t.end_us) - greatest(w.start_us, t.start_us)) AS BIGINT) AS shared FROM words w JOIN turns t ON w.channel = t.channel AND w.start_us < t.end_us AND t.start_us < w.end_us GROUP BY w.channel, w.text, t.speaker),
 o AS (SELECT channel, text, arg_min(speaker, (-shared, speaker)) AS speaker, max(shared) AS shared FROM p GROUP BY channel, text) SELECT channel, speaker, string_agg(text, ',' ORDER BY text) AS texts, CAST(sum(shared) AS BIGINT) AS shared FROM o GROUP BY channel, speaker""",
     "fn22_headings": _FENCED + " SELECT meeting, line, 2 AS level, content[4:] AS title FROM h WHERE head",
