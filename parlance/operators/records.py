@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .clusters import clustered_by
+
 SAMPLE_RATE, KEPT_VECTORS = 16_000, 8
 
 
@@ -137,21 +139,7 @@ def round_robin(rows: DataFrame, bucket: str, order: list[str], most: int) -> Da
 
 def clustered(points: DataFrame, threshold: float) -> DataFrame:
     """Average-link clusters of each key's few unit vectors (key, seq, v), merged while the mean cosine is at least the threshold, numbered by first appearance."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        vectors = [list(v) for v in pdf["v"]]
-        alike = [[sum(p * q for p, q in zip(x, y)) for y in vectors] for x in vectors]
-        groups = [[i] for i in range(len(vectors))]
-        while len(groups) > 1:
-            score, i, j = max((sum(alike[x][y] for x in a for y in b) / (len(a) * len(b)), -i, -j) for i, a in enumerate(groups) for j, b in enumerate(groups) if i < j)
-            if score < threshold:
-                break
-            groups[-i] = sorted(groups[-i] + groups.pop(-j))
-        label = {x: k for k, g in enumerate(sorted(groups)) for x in g}
-        return pdf[["key", "seq"]].assign(cluster=[label[i] for i in range(len(vectors))])
-
-    return points.select("key", "seq", "v").groupBy("key").applyInPandas(run, "key long, seq long, cluster int")
+    return clustered_by(points, "average", threshold=math.nextafter(1.0 - threshold, 3.0))
 
 
 def best_lag(frames: DataFrame, span: int) -> DataFrame:
