@@ -5,9 +5,7 @@ is first compared with a pivot, the member that shares most buckets with others.
 found so far are joined to components, only pairs across two components can still matter; those
 are found exactly by comparing, block by block, the members outside the bucket's main component
 with all its members. So no pair that shares a bucket is lost unless its ends are already
-connected, and the blocks bound what one task holds. Where unlike texts may share a large bucket, that
-comparison would grow with its square: there the bucket is divided by a second key, after its members have been compared with the
-pivot of the whole.
+connected, and the blocks bound what one task holds.
 """
 
 from __future__ import annotations
@@ -16,7 +14,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -34,18 +32,14 @@ def sized(members: DataFrame) -> DataFrame:
 
 def candidate_pairs(shared: DataFrame) -> tuple[DataFrame, DataFrame]:
     """From (key, node, size): the first candidate pairs (a < b), and the members of large buckets."""
-    small = shared.where(F.col("size") <= SMALL).select("key", "node").groupBy("key").agg(F.array_sort(F.collect_set("node")).alias("xs"))
+    small = shared.where(F.col("size") <= SMALL).groupBy("key").agg(F.array_sort(F.collect_set("node")).alias("xs"))
     each = "flatten(transform(xs, (x, i) -> transform(slice(xs, i + 2, size(xs)), y -> struct(x as a, y as b))))"
     pairs = small.select(F.explode(F.expr(each)).alias("p")).select("p.a", "p.b")
     large = shared.where(F.col("size") > SMALL)
-    return pairs.unionByName(stars(large)).distinct(), large.select("key", "node")
-
-
-def stars(large: DataFrame) -> DataFrame:
-    """(a, b): each member of (key, node, size) with its bucket's pivot."""
     centre = large.groupBy("node").agg(F.sum("size").alias("weight"))
     pivots = large.join(centre, "node").groupBy("key").agg(F.expr("min(struct(-weight, node)).node").alias("pivot"))
-    return large.join(pivots, "key").where("pivot <> node").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b"))
+    stars = large.join(pivots, "key").where("pivot <> node").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b"))
+    return pairs.unionByName(stars).distinct(), large.select("key", "node")
 
 
 def rest_of_large(large: DataFrame, found: DataFrame, payload: Callable[[DataFrame], DataFrame], compare: Callable, check: Callable | None) -> DataFrame:
@@ -103,24 +97,13 @@ def rest_of_large(large: DataFrame, found: DataFrame, payload: Callable[[DataFra
     return outside.unionByName(inside).groupBy("key", "i", "j").applyInPandas(run, "a long, b long")
 
 
-def link(
-    shared: DataFrame, verify: Callable[[DataFrame, DataFrame], DataFrame], payload: Callable[[DataFrame], DataFrame], compare: Callable, check: Callable | None = None,
-    second: Callable[[DataFrame], DataFrame] | None = None, mixed: Column | None = None,
-) -> DataFrame:
+def link(shared: DataFrame, verify: Callable[[DataFrame, DataFrame], DataFrame], payload: Callable[[DataFrame], DataFrame], compare: Callable, check: Callable | None = None) -> DataFrame:
     """(node, component) of all nodes with a verified link.
 
     ``shared`` has the materialised (key, node, size) of all buckets of two members or more.
     ``verify`` keeps the true pairs of (a, b); it also gets the nodes of large buckets.
-    ``second`` turns the (key, node) of those large buckets that are ``mixed`` into the smaller ones that they are divided into.
     """
-    whole = None
-    if second is not None:
-        divided = (F.col("size") > SMALL) & mixed
-        whole = shared.where(divided)
-        shared = shared.where(~divided).unionByName(cut(sized(second(whole.select("key", "node")))))
     pairs, large = candidate_pairs(shared)
-    if whole is not None:
-        pairs = pairs.unionByName(stars(whole)).distinct()
     large = cut(large)
     found = components(verify(cut(pairs), large.select("node").distinct()))
     if large.isEmpty():
