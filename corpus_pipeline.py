@@ -19,13 +19,19 @@ ORACLE_SQL = None
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without letters and those that no family's machine comes near; a null language is filled with the predicted one."""
+    """Drops documents without letters and those in no learned language; a null language is filled with the predicted one.
+
+    Short texts and those with few words of letters stay, as they cannot be told; long ones are judged as a whole. Rows that repeat are judged alike. A tie of languages goes to the one that sorts first.
+    """
     found = language.predict(docs, language.fit(docs)).where("lang_known")
     return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes repeated lines, and documents of which nothing is left."""
+    """Removes repeated lines, and documents of which nothing is left.
+
+    Of similar lines that of the least id (ties: the first in its text, then the least checksum of it) stays. Null and empty texts stay as they are, long ones lose lines like others.
+    """
     left = lines.deduplicate_lines(docs)
     blank = F.trim(F.regexp_replace("text", "[\\x09-\\x0D]", " ")) == ""
     kept = left.where((F.col("n_removed") == 0) | ~blank)
@@ -33,7 +39,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each near-duplicate group, and one row of those that repeat id and text."""
+    """Keeps the document with the least id of each near-duplicate group, and one row of those that repeat id and text.
+
+    Rows without an id, and null or empty texts, are linked with nothing and stay. Whole texts are compared, however long.
+    """
     others = written(near.near_duplicates(docs).where("not kept and doc_id is not null").select("doc_id").distinct())
     kept = without(docs, "doc_id", others)
     repeated = written(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
@@ -43,14 +52,17 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item. Rows are told apart by id and text, so that a null id drops no other row."""
+    """Drops documents that hold a benchmark item. Rows are told apart by id and text, so that a null id drops no other row.
+
+    Null and empty texts hold none; long ones are searched to their end; equal rows go or stay together.
+    """
     named = docs.withColumn("_stage_row", F.xxhash64("doc_id", "text"))
     leaked = written(leaks.find_leaks(named.select(F.col("_stage_row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select("doc_id").distinct())
     return without(named, "_stage_row", leaked).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every document, and whether they decode to its text."""
+    """Ids of every document, and whether they decode to its text. A null text is encoded as the empty one, a long one whole; repeated rows each get a row."""
     encoded = pieces.encode(docs, pieces.model_path())
     return encoded.select("doc_id", "lang", "source", "n_tokens", "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 

@@ -9,10 +9,12 @@ letters; at most ``PER_LANGUAGE`` of them for each language are used, and ``TRAI
 of each where there are many languages; none is left out), chosen by the smallest hash of id and
 text. Predictions read the whole text and nothing else.
 
-A text of ``SURE_LENGTH`` characters or more is in no language that was learned if no family's machine
-comes near it: if the best margin is below ``SLACK`` times the ``LOW`` quantile of those that
-training texts of that length have (a quantile, as some of these may be junk). Such a text still gets a prediction, but ``lang_known`` is false. Shorter texts
-show too little to be rejected so.
+A text with ``SURE_LENGTH`` characters or more in words of letters is in no language that was learned if its
+sequences are too unlikely there: the mean logarithm of each sequence's share in the language that has it most is
+below a floor. The floor lies between what half of the training texts score under the other half, and what is no
+language that was learned scores: texts with their letters shuffled, and those of each language under all others. (It is the ``LOW``
+quantile of the first where both overlap, so that texts in learned languages stay.) Such a text
+still gets a prediction, but ``lang_known`` is false. Shorter texts show too little to be rejected so.
 
 Null texts and texts without letters are ``und`` with score 0 and not known; when there are no
 training rows everything is ``und``, and known if it has letters. A null id is neither held out nor learned from. Repeated rows each get a row.
@@ -21,6 +23,7 @@ training rows everything is ``und``, and known if it has letters. A null id is n
 from __future__ import annotations
 
 import re
+import zlib
 from collections import defaultdict
 from itertools import combinations
 
@@ -29,14 +32,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_fold, map_chunks, table
+from .common import id_fold, map_chunks, mix, table
 
 DIMENSIONS, PER_LANGUAGE, TRAINING, SEED = 1 << 13, 400, 12_000, 4
 UNDECIDED = "und"
-SURE_LENGTH, LOW, SLACK = 80, 0.05, 0.05
+#: Characters from which a text can be told to be in no learned language; quantiles of texts in and out of learned languages; smoothing of shares.
+SURE_LENGTH, LOW, HIGH, SMOOTH = 80, 0.002, 0.98, 1e-4
 #: Languages up to which their table is broadcast.
 MANY = 10_000
-LETTER = re.compile(r"[^\W\d_]")
+LETTER, NUMBERED, OTHERS = re.compile(r"[^\W\d_]"), re.compile(r"\S*\d\S*"), re.compile(r"[\W_]+")
 # Language families by ISO 639-1 code. A code that is missing here is a family of its own.
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is af fy lb yi",
@@ -70,6 +74,62 @@ def counts(text: str) -> np.ndarray:
     return total
 
 
+def in_words(text: str) -> str:
+    """The words of a text that have no digits, without any signs."""
+    return OTHERS.sub(" ", NUMBERED.sub(" ", text)).strip()
+
+
+def shuffled(text: str) -> str:
+    """The text with its letters and blanks in an order that only depends on it."""
+    order = np.argsort(mix(np.arange(len(text), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)), kind="stable")
+    return "".join(text[i] for i in order.tolist())
+
+
+def pack(total: np.ndarray) -> bytes:
+    return zlib.compress(np.minimum(total, 65535).astype("<u2").tobytes(), 1)
+
+
+def unpack(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), dtype="<u2").astype(np.int64)
+
+
+class Profile:
+    """How well texts fit learned languages: ``share`` has for every sequence the logarithm of its share in the language that has it most."""
+
+    def __init__(self, shares: dict[str, np.ndarray], without: str | None = None):
+        kept = [v for lang, v in shares.items() if lang != without]
+        self.share = np.log(np.max(kept, axis=0)).astype(np.float32) if kept else None
+
+    def fit_of(self, total: np.ndarray) -> float:
+        return float(total @ self.share) / max(1, int(total.sum()))
+
+
+def shares_of(rows: list[tuple[str, np.ndarray]]) -> dict[str, np.ndarray]:
+    """Smoothed shares of the sequences in each language; every text counts the same."""
+    out: dict[str, np.ndarray] = {}
+    for lang, total in rows:
+        out[lang] = out.get(lang, 0) + total / max(1, total.sum())
+    return {lang: (v / v.sum() + SMOOTH / DIMENSIONS) / (1 + SMOOTH) for lang, v in out.items() if v.sum() > 0}
+
+
+def calibrated(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> tuple[np.ndarray | None, float]:
+    """The profile's logarithms and the floor, from (language, counts, counts of the shuffled text) of training texts."""
+    halves, inside, outside = (rows[::2], rows[1::2]), [], []
+    for one, other in (halves, halves[::-1]):
+        shares = shares_of([(lang, total) for lang, total, _ in one])
+        if not shares:
+            continue
+        whole, less = Profile(shares), {lang: Profile(shares, lang) for lang in shares} if len(shares) > 1 else {}
+        inside += [whole.fit_of(total) for lang, total, _ in other if lang in shares]
+        outside += [whole.fit_of(noise) for _, _, noise in other]
+        outside += [less[lang].fit_of(total) for lang, total, _ in other if lang in less]
+    shares = shares_of([(lang, total) for lang, total, _ in rows])
+    if not inside or not shares:
+        return None, -np.inf
+    low, high = float(np.quantile(inside, LOW)), float(np.quantile(outside, HIGH))
+    return Profile(shares).share, (low + high) / 2 if high < low else low
+
+
 def features(total: np.ndarray) -> np.ndarray:
     x = np.sqrt(total, dtype=np.float32)
     return x / max(float(np.linalg.norm(x)), 1e-9)
@@ -90,7 +150,7 @@ def fit_machine(x: np.ndarray, y: np.ndarray, steps: int = 150, cost: float = 20
 class Model:
     """Families with a machine each (one against the rest), and a machine for each pair of languages within."""
 
-    def __init__(self, x: np.ndarray, langs: list[str], sizes: list[int]):
+    def __init__(self, x: np.ndarray, langs: list[str], novelty: tuple[np.ndarray | None, float] = (None, -np.inf)):
         self.members: dict[str, list[str]] = defaultdict(list)
         for lang in sorted(set(langs)):
             self.members[FAMILY_OF.get(lang, lang)].append(lang)
@@ -107,10 +167,14 @@ class Model:
                 self.pairs[family].append((i, j, len(rows)))
                 rows.append(fit_machine(x[both], sign(which[both] == a)))
         self.weights = np.array(rows, dtype=np.float32).reshape(len(rows), x.shape[1] if len(x) else DIMENSIONS)
+        self.share, self.floor = novelty
 
-        sure = np.array(sizes) >= SURE_LENGTH
-        top = (x[sure] @ self.weights[: len(self.families)].T).max(axis=1) if len(rows) and len(self.families) > 1 and sure.any() else np.zeros(0)
-        self.floor = SLACK * float(np.quantile(top, LOW)) if len(top) else -np.inf
+    def known(self, text: str) -> bool:
+        """Whether the text may be in a learned language."""
+        if self.share is None or len(plain := in_words(text)) < SURE_LENGTH:
+            return True
+        total = counts(plain)
+        return float(total @ self.share) / max(1, int(total.sum())) >= self.floor
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score, and whether the text is in a language that was learned."""
@@ -118,11 +182,10 @@ class Model:
             return UNDECIDED, 0.0, not self.families and has_letter(text)
         margins = self.weights @ features(counts(text)) if len(self.weights) else np.zeros(0)
         sure = lambda m: 1.0 / (1.0 + np.exp(-6.0 * m))
-        family, score, known = self.families[0], 1.0, True
+        family, score = self.families[0], 1.0
         if len(self.families) > 1:
             best = int(np.argmax(margins[: len(self.families)]))
             family, score = self.families[best], float(sure(margins[best]))
-            known = bool(margins[best] >= self.floor) or len(text) < SURE_LENGTH
         votes = np.zeros(len(self.members[family]))
         for i, j, k in self.pairs[family]:
             votes[i] += 1 + np.tanh(margins[k]) if margins[k] >= 0 else 0
@@ -131,7 +194,7 @@ class Model:
         for i, j, k in self.pairs[family]:
             if top in (i, j):
                 score *= float(sure(margins[k] if top == i else -margins[k]))
-        return self.members[family][top], score, known
+        return self.members[family][top], score, self.known(text)
 
 
 def fit(docs: DataFrame) -> Model:
@@ -140,7 +203,7 @@ def fit(docs: DataFrame) -> Model:
     found = usable.groupBy("lang").count()
     languages = found.count()
     if not languages:
-        return Model(np.zeros((0, DIMENSIONS), dtype=np.float32), [], [])
+        return Model(np.zeros((0, DIMENSIONS), dtype=np.float32), [])
     each = max(1, min(PER_LANGUAGE, TRAINING // languages))
     limits = found.select("lang", (1.5 * each / F.col("count")).alias("share"))
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "doc_id", "text"), 11) / float(1 << 53)
@@ -149,17 +212,21 @@ def fit(docs: DataFrame) -> Model:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf[[has_letter(t) for t in pdf["text"]]]
-        packed = [np.minimum(counts(t), 65535).astype("<u2").tobytes() for t in pdf["text"]]
-        return pd.DataFrame({"lang": pdf["lang"], "draw": pdf["draw"], "size": pdf["text"].str.len(), "packed": packed})
-
-    rows = map_chunks(chosen.select("lang", "draw", "text"), run, "lang string, draw double, size int, packed binary").collect()
+        plain = [in_words(t) for t in pdf["text"]]
+        long = [p if len(p) >= SURE_LENGTH else None for p in plain]
+        return pd.DataFrame({
+            "lang": pdf["lang"], "draw": pdf["draw"], "packed": [pack(counts(t)) for t in pdf["text"]],
+            "plain": [p and pack(counts(p)) for p in long], "noise": [p and pack(counts(shuffled(p))) for p in long],
+        })
+
+    rows = map_chunks(chosen.select("lang", "draw", "text"), run, "lang string, draw double, packed binary, plain binary, noise binary").collect()
     per: dict[str, list] = defaultdict(list)
     for r in sorted(rows, key=lambda r: (r["draw"], bytes(r["packed"]))):
         if len(per[r["lang"]]) < each:
             per[r["lang"]].append(r)
     kept = [r for lang in sorted(per) for r in per[lang]]
-    x = np.array([features(np.frombuffer(r["packed"], dtype="<u2").astype(np.int64)) for r in kept], dtype=np.float32).reshape(len(kept), DIMENSIONS)
-    return Model(x, [r["lang"] for r in kept], [r["size"] for r in kept])
+    x = np.array([features(unpack(r["packed"])) for r in kept], dtype=np.float32).reshape(len(kept), DIMENSIONS)
+    return Model(x, [r["lang"] for r in kept], calibrated([(r["lang"], unpack(r["plain"]), unpack(r["noise"])) for r in kept if r["plain"] is not None]))
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

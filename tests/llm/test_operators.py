@@ -292,6 +292,20 @@ def test_unknown_languages_and_letters(spark):
     assert len([m for f in language.fit(spark.createDataFrame(many, "doc_id long, text string, lang string")).members.values() for m in f]) == 60
 
 
+def test_rejection_rates(spark):
+    """Gibberish in Latin letters and a language left out are rejected in nine of ten cases, texts in learned languages in at most one of a hundred."""
+    rng = random.Random(17)
+    rows = [(i, sentence_doc(rng, vocabulary(lang, 2000), 60), lang) for i in range(900) for lang in [("en", "de", "fr")[i % 3]]]
+    learned, fresh = rows[:600], [t for _, t, _ in rows[600:]]
+    mixed = [a[: len(a) // 2] + "\n" + b[: len(b) // 2] + "\ntoken = dfd1944d2e84f15e89902e34b677eb5a +1 (168) 555-5254" for a, b in zip(fresh[:100], fresh[101:201])]
+    gibberish = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(rng.randint(20, 80))) for _ in range(100)]
+    other = [sentence_doc(rng, vocabulary("es", 2000), 60) for _ in range(100)]
+    model = language.fit(spark.createDataFrame(learned, "doc_id long, text string, lang string"))
+    rate = lambda texts: sum(model.predict(t)[2] for t in texts) / len(texts)
+    assert rate(fresh) >= 0.99 and rate(mixed) >= 0.99 and rate(gibberish) <= 0.1 and rate(other) <= 0.1
+    assert rate([language.shuffled(t) for t in fresh]) <= 0.1 and model.predict("x" * 50)[2]
+
+
 # 5. sharding
 
 
