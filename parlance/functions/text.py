@@ -99,13 +99,5 @@ def token_score(depth: Column, first: float = 1.0, factor: float = 2.0) -> Colum
 
 def wrap(text: Column, width: int = 42) -> Column:
     """Greedy lines of at most ``width`` characters, joined by line feeds; a longer word stands alone."""
-    start = F.struct(F.lit("").alias("done"), F.lit("").alias("line"))
-
-    def add(acc: Column, word: Column) -> Column:
-        full = (acc["line"] != "") & (F.char_length(acc["line"]) + 1 + F.char_length(word) > width)
-        done = F.when(full, F.concat(acc["done"], acc["line"], F.lit("\n"))).otherwise(acc["done"])
-        line = F.when(full | (acc["line"] == ""), word).otherwise(F.concat(acc["line"], F.lit(" "), word))
-        return F.struct(done.alias("done"), line.alias("line"))
-
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    return F.aggregate(words, start, add, lambda acc: F.concat(acc["done"], acc["line"]))
+    one_line = F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.rtrim(F.regexp_replace(one_line, rf"(\S{{{width + 1},}}|(?s:.){{1,{width}}})( |$)", "$1\n"), F.lit("\n"))

@@ -8,6 +8,7 @@ import unicodedata
 from collections import Counter, defaultdict
 from itertools import permutations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -25,23 +26,41 @@ def _structs(**fields: T.DataType) -> T.ArrayType:
     return T.ArrayType(T.StructType([T.StructField(n, t) for n, t in fields.items()]))
 
 
+def _directions(ref: np.ndarray, hyp: np.ndarray) -> np.ndarray:
+    """For each pair of lengths the last step of the cheapest alignment, a row at a time: 0 on the diagonal, 1 an insertion, 2 a deletion."""
+    place = np.arange(len(hyp) + 1) * INSERT
+    before, out = place.copy(), np.zeros((len(ref) + 1, len(hyp) + 1), dtype=np.uint8)
+    out[0, 1:] = 1
+    for i, x in enumerate(ref.tolist(), 1):
+        diagonal = before[:-1] + np.where(hyp == x, MATCH, REPLACE)
+        row = np.append(i * DELETE, np.minimum(diagonal, before[1:] + DELETE))
+        row = np.minimum.accumulate(row - place) + place  # insertions along the row
+        out[i, 0] = 2
+        out[i, 1:] = np.where(row[1:] == diagonal, 0, np.where(row[1:] == row[:-1] + INSERT, 1, 2))
+        before = row
+    return out
+
+
 def aligned(ref: list[str], hyp: list[str]) -> list[tuple[str, int, int]]:
-    """Cheapest steps (m, s, i or d, place in ref, place in hyp); on equal cost the diagonal is taken, then insertion, then deletion."""
-    rows = [[j * INSERT for j in range(len(hyp) + 1)]]
-    for i, x in enumerate(ref, 1):
-        row = [i * DELETE]
-        for j, y in enumerate(hyp, 1):
-            row.append(min(rows[-1][j - 1] + (MATCH if x == y else REPLACE), row[-1] + INSERT, rows[-1][j] + DELETE))
-        rows.append(row)
-    steps, i, j = [], len(ref), len(hyp)
+    """Cheapest steps (m, s, i or d, place in ref, place in hyp); on equal cost the diagonal is taken, then insertion, then deletion. Equal ends need no table."""
+    i, j, steps = len(ref), len(hyp), []
+    while i and j and ref[i - 1] == hyp[j - 1]:
+        i, j = i - 1, j - 1
+        steps.append(("m", i, j))
+    code: dict[str, int] = {}
+    x, y = (np.array([code.setdefault(w, len(code)) for w in side], dtype=np.int64) for side in (ref[:i], hyp[:j]))
+    table = _directions(x, y)
     while i or j:
-        if i and j and rows[i][j] == rows[i - 1][j - 1] + (MATCH if ref[i - 1] == hyp[j - 1] else REPLACE):
-            i, j, step = i - 1, j - 1, "m" if ref[i - 1] == hyp[j - 1] else "s"
-        elif j and rows[i][j] == rows[i][j - 1] + INSERT:
-            j, step = j - 1, "i"
+        way = table[i, j]
+        if way == 0:
+            i, j = i - 1, j - 1
+            steps.append(("m" if x[i] == y[j] else "s", i, j))
+        elif way == 1:
+            j -= 1
+            steps.append(("i", i, j))
         else:
-            i, step = i - 1, "d"
-        steps.append((step, i, j))
+            i -= 1
+            steps.append(("d", i, j))
     return steps[::-1]
 
 
@@ -272,6 +291,25 @@ def shared_frames(r: DataFrame, h: DataFrame, masked: DataFrame) -> DataFrame:
     return total.groupBy("channel", "ref_speaker", "hyp_speaker").agg(F.sum("shared").alias("n")).where("n > 0")
 
 
+@F.pandas_udf(T.LongType())
+def _most_matched(cells: pd.Series) -> pd.Series:
+    """The largest sum of one-to-one partners' cells (a, b, n) for each list."""
+    out = []
+    for row in cells:
+        a, b = ({x: k for k, x in enumerate(sorted({c[side] for c in row}))} for side in ("a", "b"))
+        gain = [[0] * len(b) for _ in a]
+        for c in row:
+            gain[a[c["a"]]][b[c["b"]]] += int(c["n"])
+        out.append(sum(gain[i][j] for i, j in enumerate(assignment(gain)) if j >= 0))
+    return pd.Series(out, dtype="int64")
+
+
+def best_partners(shared: DataFrame, key: str, a: str, b: str, n: str = "n") -> DataFrame:
+    """(key, total, matched): the sum of all cells (key, a, b, n), and of those of the best one-to-one partners. A key has a cell for each pair of names."""
+    cells = F.collect_list(F.struct(F.col(a).alias("a"), F.col(b).alias("b"), F.col(n).alias("n")))
+    return shared.groupBy(key).agg(F.sum(n).alias("total"), cells.alias("_cells")).select(key, "total", _most_matched("_cells").alias("matched"))
+
+
 def diarization_errors(ref: DataFrame, hyp: DataFrame, collar_us: int = COLLAR_US) -> DataFrame:
     """Per channel: reference, missed, false-alarm and confused frames under the best one-to-one naming, and their rate.
 
@@ -280,12 +318,7 @@ def diarization_errors(ref: DataFrame, hyp: DataFrame, collar_us: int = COLLAR_U
     r, h, masked = frame_spans(ref), frame_spans(hyp), collar_spans(ref, collar_us)
     sums, shared = diarization_sums(r, h, masked), shared_frames(r, h, masked)
 
-    def best(pdf: pd.DataFrame) -> pd.DataFrame:
-        table = pdf.pivot_table(index="ref_speaker", columns="hyp_speaker", values="n", fill_value=0, aggfunc="sum")
-        gain = table.to_numpy().astype(int).tolist()
-        return pd.DataFrame({"channel": [pdf["channel"].iloc[0]], "correct": [sum(gain[i][j] for i, j in enumerate(assignment(gain)) if j >= 0)]})
-
-    correct = shared.groupBy("channel").applyInPandas(best, "channel long, correct long")
+    correct = best_partners(shared, "channel", "ref_speaker", "hyp_speaker").select("channel", F.col("matched").alias("correct"))
     rows = sums.join(correct, "channel", "left").withColumn("confusion", F.col("paired") - F.coalesce("correct", F.lit(0)))
     der = (F.col("missed") + F.col("false_alarm") + F.col("confusion")) / F.greatest("ref_frames", F.lit(1))
     return rows.select("channel", "ref_frames", "missed", "false_alarm", "confusion", F.round(der, 6).alias("der"))

@@ -76,16 +76,31 @@ def pack_windows(segments: DataFrame, total_us: Column, longest: int = MAX_WINDO
 
 def cues(entries: DataFrame, key: list[str]) -> DataFrame:
     """Cues of entries with ``speaker`` and ``ws`` (words with start_us, end_us, text in order): a cue ends before 84 characters, 6 s or a 1 s pause are passed."""
-    start = F.lit(None).cast("array<struct<start_us: bigint, end_us: bigint, text: string>>")
 
-    def add(acc: Column, w: Column) -> Column:
-        one = F.struct(w["start_us"].alias("start_us"), w["end_us"].alias("end_us"), w["text"].alias("text"))
-        last = F.element_at(acc, -1)
-        full = (F.char_length(last["text"]) + 1 + F.char_length(w["text"]) > CUE_CHARS) | (w["end_us"] - last["start_us"] > CUE_US) | (w["start_us"] - last["end_us"] > CUE_GAP_US)
-        joined = F.struct(last["start_us"].alias("start_us"), w["end_us"].alias("end_us"), F.concat(last["text"], F.lit(" "), w["text"]).alias("text"))
-        return F.when(acc.isNull(), F.array(one)).when(full, F.concat(acc, F.array(one))).otherwise(F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(joined)))
-
-    made = entries.select(*key, "speaker", F.posexplode(F.aggregate("ws", start, add)).alias("seq", "c"))
+    def cut(words: list[dict]) -> list[dict]:
+        made: list[dict] = []
+        held: list[str] = []
+        chars = 0
+        for w in words:
+            last = made[-1] if made else None
+            n = len(w["text"])
+            if last and chars + 1 + n <= CUE_CHARS and w["end_us"] - last["start_us"] <= CUE_US and w["start_us"] - last["end_us"] <= CUE_GAP_US:
+                held.append(w["text"])
+                last["end_us"], chars = w["end_us"], chars + 1 + n
+            else:
+                if last:
+                    last["text"] = " ".join(held)
+                made.append({"start_us": w["start_us"], "end_us": w["end_us"]})
+                held, chars = [w["text"]], n
+        if made:
+            made[-1]["text"] = " ".join(held)
+        return made
+
+    @F.pandas_udf("array<struct<start_us: bigint, end_us: bigint, text: string>>")
+    def all_cues(ws: pd.Series) -> pd.Series:
+        return pd.Series([cut(list(x)) if x is not None else [] for x in ws])
+
+    made = entries.select(*key, "speaker", F.posexplode(all_cues("ws")).alias("seq", "c"))
     return made.select(*key, "speaker", "seq", "c.start_us", "c.end_us", "c.text")
 
 

@@ -58,9 +58,9 @@ def fn09_fuzzy_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tx03_glossary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TX-01, TX-02, TX-03 and EV-12: each conversation turn corrected by terms of its own: its longest words, misheard by one letter."""
+    """TX-01, TX-02, TX-03 and EV-12: each conversation turn corrected by terms of its own: its words of twelve letters and more, each misheard by one letter."""
     rows = _pairs(spark, sf_dir)
-    terms = F.slice(F.array_sort(F.array_distinct(F.filter("ref", lambda w: F.char_length(w) >= 12))), 1, 8)
+    terms = F.array_sort(F.array_distinct(F.filter("ref", lambda w: F.char_length(w) >= 12)))
     heard = F.transform("ref", lambda w: F.when(F.char_length(w) >= 12, F.concat(F.substring(w, 1, 6), F.substring(w, 8, 1000))).otherwise(w))
     given = rows.select("conv_id", "turn", terms.alias("terms"), heard.alias("ws"))
     return matching.correct(given, "ws", "terms", 0.9).select("conv_id", "turn", F.array_join("ws", " ").alias("text"))
@@ -92,11 +92,7 @@ def ag13_word_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = ref.select("seq", "channel", F.col("speaker").alias("r")).join(hyp.select("seq", F.col("speaker").alias("h")), "seq")
     counted = both.groupBy("channel", "r", "h").agg(F.count(F.lit(1)).alias("n"))
 
-    def best(pdf):
-        gain = pdf.pivot_table(index="r", columns="h", values="n", fill_value=0, aggfunc="sum").to_numpy().astype(int).tolist()
-        return pdf.head(1)[["channel"]].assign(n_words=sum(map(sum, gain)), right=sum(gain[i][j] for i, j in enumerate(matching.assignment(gain)) if j >= 0))
-
-    return counted.groupBy("channel").applyInPandas(best, "channel long, n_words long, right long")
+    return matching.best_partners(counted, "channel", "r", "h").select("channel", F.col("total").alias("n_words"), F.col("matched").alias("right"))
 
 
 def wn03_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,6 +191,7 @@ QUERIES = {f.__name__: f for f in (
     wn03_pack_windows, wn04_cues, wn05_wrap, wn10_islands, wn15_padded_turns, wn17_chunks, wn19_top_votes, ag19_commit_latency, ag17_envelope_correlation, cl04_top_class, nt02_gate,
 )}
 ORACLE_SQL = {
+    "wn05_wrap": """SELECT conv_id, turn, rtrim(regexp_replace(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')), '(\\S{43,}|.{1,42})( |$)', '\\1' || chr(10), 'g'), chr(10)) AS wrapped FROM conversations""",
     "wn03_pack_windows": PADDED_SQL,
     "ag12_missed_frames": _W + """, heard AS (SELECT channel, CASE WHEN seq % 14 = 0 THEN 'other' ELSE 'h_' || speaker END AS speaker, start_us + 50000 AS start_us, end_us + 50000 AS end_us FROM turns WHERE seq % 20 <> 0),
 """ + _FRAMES.format(n="rf", src="turns") + ", " + _FRAMES.format(n="hf", src="heard") + """,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -46,14 +48,16 @@ def snk03_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _timed_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries with timed words: each turn's time is shared by its characters; every fifth turn has no words."""
-    rows = entries(spark, sf_dir).withColumn("_ws", F.split("text", " "))
-    rate = (F.col("end_us") - F.col("start_us")) / F.greatest(F.char_length("text"), F.lit(1))
-    step = lambda acc, w: F.struct((acc["at"] + F.char_length(w) + 1).alias("at"), F.concat(acc["ws"], F.array(F.struct(acc["at"].alias("at"), w.alias("text")))).alias("ws"))
-    placed = F.aggregate("_ws", F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at: int, text: string>>").alias("ws")), step)["ws"]
-    at = lambda n: F.col("start_us") + F.floor(n * F.col("_rate")).cast("long")
-    timed = F.transform("_placed", lambda w: F.struct(at(w["at"]).alias("start_us"), at(w["at"] + F.char_length(w["text"])).alias("end_us"), w["text"].alias("text")))
-    with_words = rows.withColumn("_rate", rate).withColumn("_placed", placed).withColumn("ws", F.when((F.col("seq") % 5 > 0) & (F.col("text") != ""), timed))
-    return with_words.select("meeting", "seq", "speaker", "text", "start_us", "end_us", "ws")
+    rows = entries(spark, sf_dir)
+    said = rows.where("seq % 5 > 0 and text <> ''").withColumn("_rate", (F.col("end_us") - F.col("start_us")) / F.greatest(F.char_length("text"), F.lit(1)))
+    each = said.select("meeting", "seq", "start_us", "_rate", F.posexplode(F.split("text", " ")).alias("i", "word"))
+    at = F.sum(F.char_length("word") + 1).over(W.partitionBy("meeting", "seq").orderBy("i").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.char_length("word") - 1
+    placed = each.withColumn("_at", at)
+    time = lambda n: F.col("start_us") + F.floor(n * F.col("_rate")).cast("long")
+    word = F.struct("i", time(F.col("_at")).alias("start_us"), time(F.col("_at") + F.char_length("word")).alias("end_us"), F.col("word").alias("text"))
+    made = placed.groupBy("meeting", "seq").agg(F.array_sort(F.collect_list(word)).alias("ws"))
+    timed = made.select("meeting", "seq", F.transform("ws", lambda w: F.struct(w["start_us"].alias("start_us"), w["end_us"].alias("end_us"), w["text"].alias("text"))).alias("ws"))
+    return rows.join(timed, ["meeting", "seq"], "left").select("meeting", "seq", "speaker", "text", "start_us", "end_us", "ws")
 
 
 def snk04_srt(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,7 +133,11 @@ def se03_biasing_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG-21 and SE-03: per benchmark item its rare words and ``DRAWN`` of the pool of all rare words, from the item's own place on in hash order, round the end."""
     rare = _rare_words(spark, sf_dir)
     pool = rare.select(F.explode("rare").alias("word")).distinct()
-    placed = pool.withColumn("place", F.row_number().over(W.orderBy(F.md5("word"), "word")) - 1)
+    # Numbered in hash order by ranges of the hash, of which only the counts come together.
+    ranged = pool.withColumn("_range", F.conv(F.substring(F.md5("word"), 1, 3), 16, 10).cast("int"))
+    held = {r["_range"]: r["count"] for r in ranged.groupBy("_range").count().collect()}  # 4,096 rows at most
+    before = F.lit([0, *accumulate(held.get(k, 0) for k in range(4095))])
+    placed = ranged.withColumn("place", F.row_number().over(W.partitionBy("_range").orderBy(F.md5("word"), "word")) - 1 + F.get(before, F.col("_range")))
     size = pool.agg(F.count(F.lit(1)).alias("size"))
     first = F.conv(F.substring(F.md5(F.concat(F.lit("item:"), F.col("item_id").cast("string"))), 1, 8), 16, 10).cast("long")
     slots = rare.crossJoin(F.broadcast(size)).where("size > 0").select("item_id", F.explode(F.transform(F.sequence(F.lit(0), F.least(F.lit(DRAWN), "size") - 1), lambda j: (first + j) % F.col("size"))).alias("place"))

@@ -197,3 +197,53 @@ def test_strict_stream_and_taps(spark, tmp_path):
 
 def test_ratio_is_difflib():
     assert difflib.SequenceMatcher(None, "abcd", "bcde").ratio() == 0.75 and matching.covered("abc", "abc") == 1.0 and matching.covered("", "x") == 0.0
+
+
+def plain_alignment(ref, hyp):
+    """The whole table, and its cheapest path: diagonal before insertion before deletion."""
+    cost = [[3 * (i + j) if not i or not j else 0 for j in range(len(hyp) + 1)] for i in range(len(ref) + 1)]
+    for i in range(1, len(ref) + 1):
+        for j in range(1, len(hyp) + 1):
+            cost[i][j] = min(cost[i - 1][j - 1] + 4 * (ref[i - 1] != hyp[j - 1]), cost[i][j - 1] + 3, cost[i - 1][j] + 3)
+    i, j, steps = len(ref), len(hyp), []
+    while i or j:
+        if i and j and cost[i][j] == cost[i - 1][j - 1] + 4 * (ref[i - 1] != hyp[j - 1]):
+            i, j = i - 1, j - 1
+            steps.append(("m" if ref[i] == hyp[j] else "s", i, j))
+        elif j and cost[i][j] == cost[i][j - 1] + 3:
+            j -= 1
+            steps.append(("i", i, j))
+        else:
+            i -= 1
+            steps.append(("d", i, j))
+    return steps[::-1]
+
+
+@given(st.lists(st.sampled_from("abc"), max_size=12), st.lists(st.sampled_from("abc"), max_size=12))
+def test_alignment_by_rows(ref, hyp):
+    assert matching.aligned(ref, hyp) == plain_alignment(ref, hyp)
+
+
+def test_best_partners(spark):
+    rng = random.Random(2)
+    cells = [(k, f"r{i}", f"h{j}", rng.randint(0, 9)) for k in range(5) for i in range(k) for j in range(3) if rng.random() < 0.8]
+    got = {r.key: (r.total, r.matched) for r in matching.best_partners(spark.createDataFrame(cells, "key long, a string, b string, n long"), "key", "a", "b").collect()}
+    for k in {c[0] for c in cells}:
+        of = {(a, b): n for key, a, b, n in cells if key == k}
+        rows, cols = sorted({a for a, _ in of}), sorted({b for _, b in of})
+        wide = rows + [None] * len(cols)
+        best = max(sum(of.get((r, c), 0) for r, c in zip(p, cols)) for p in permutations(wide, len(cols)))
+        assert got[k] == (sum(of.values()), best)
+
+
+def test_wrap(spark):
+    texts = ["", "a", "word " * 30, "x" * 50, "ab " + "y" * 43 + " cd", "z" * 42 + " e", "a  b\t\nc" + " \u2028 long" * 9, "ünïcödé \U0001f600 " * 8]
+    got = [r.w for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string").select("i", T.wrap(F.col("t")).alias("w")).orderBy("i").collect()]
+    for text, w in zip(texts, got):
+        lines, line = [], ""
+        for word in [x for x in __import__("re").split(r"[ \t\n\x0b\f\r]+", text) if x]:
+            if line and len(line) + 1 + len(word) > 42:
+                lines, line = [*lines, line], word
+            else:
+                line = f"{line} {word}" if line else word
+        assert w == "\n".join([*lines, line] if line else lines)
