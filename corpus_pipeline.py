@@ -52,12 +52,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item. Rows are told apart by id and text, so that a null id drops no other row.
+    """Drops documents that hold a benchmark item of at least ``leaks.SHORTEST`` tokens, as shorter phrases stand in clean texts too. Rows are told apart by id and text, so that a null id drops no other row.
 
     Null and empty texts hold none; long ones are searched to their end; equal rows go or stay together.
     """
     named = docs.withColumn("_stage_row", F.xxhash64("doc_id", "text"))
-    leaked = written(leaks.find_leaks(named.select(F.col("_stage_row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select("doc_id").distinct())
+    leaked = written(leaks.find_leaks(named.select(F.col("_stage_row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).where(F.col("item_words") >= leaks.SHORTEST).select("doc_id").distinct())
     return without(named, "_stage_row", leaked).select(*docs.columns)
 
 

@@ -10,11 +10,12 @@ are tolerated both by the masks and by the check.
 The two masks of weight six meet every 13 tokens of which two are substituted. Items of fewer than
 ``WINDOW`` tokens have two masks of weight four instead, which meet every item of 8 tokens or more
 that agrees in enough of them; those masks are only laid on the documents if there are such items.
-An item of ``SHORTEST`` to 7 tokens must be quoted whole, and one of fewer matches nothing.
+An item of fewer than 8 tokens must be quoted whole; one of fewer than ``SHORTEST`` is met by the hash of all its
+tokens, and its rows show by ``item_words`` that little was quoted: such phrases stand in clean texts too.
 
 Everything is built-in column functions. The seeds of the benchmark are broadcast only while
-their number is at most ``BROADCAST``; beyond that they are joined by a shuffle. Only texts with a
-hit are shuffled. Null and empty texts and items match nothing. Equal items count as one, under
+their number is at most ``BROADCAST``; beyond that a bitmap of fixed size lets through the positions that may hit, and
+only these are joined by a shuffle. Only texts with a hit are shuffled. Null and empty texts and items match nothing. Equal items count as one, under
 their least id. Rows that repeat an id give one leak per item; rows with a null id are found under
 the null id, and are told apart by their texts. Extra columns of the inputs are not read.
 """
@@ -28,6 +29,8 @@ from .common import marked, table, written
 
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 4, 5, 6, 7))
 SHORT_MASKS = ((0, 1, 2, 3), (0, 1, 2, 4))
+#: By the number of tokens of an item that is too short for these.
+TINY_MASKS = {1: (0,), 2: (0, 1), 3: (0, 1, 2)}
 WINDOW, PERCENT, WHOLE, SHORTEST = 13, 80, 8, 4
 BROADCAST = 500_000
 
@@ -42,10 +45,10 @@ def with_seeds(df: DataFrame, words: str, masks: tuple[tuple[int, ...], ...]) ->
     hashed = df.select(*kept, F.transform(words, lambda w: F.xxhash64(w)).alias("_h"))
     sized = hashed.select(*kept, "_h", F.size("_h").alias("_n"))
     per_mask, before, at = [], "0", ""
-    for _, *others in masks:
-        fits = f"greatest(0, _n - {others[-1]})"
-        kind = ", ".join(map(str, others))
-        per_mask.append(F.expr(f"transform(slice(_h, 1, {fits}), (x, i) -> xxhash64({kind}, x, {', '.join(f'get(_h, i + {j})' for j in others)}))"))
+    for mask in masks:
+        fits = f"greatest(0, _n - {mask[-1]})"
+        parts = [str(j) for j in mask[1:]] + ["x"] + [f"get(_h, i + {j})" for j in mask[1:]]
+        per_mask.append(F.expr(f"transform(slice(_h, 1, {fits}), (x, i) -> xxhash64({', '.join(parts)}))"))
         at += f" when _pos < {before} + {fits} then _pos - ({before})"
         before += f" + {fits}"
     seeds = sized.select(*kept, "_n", F.posexplode(F.concat(*per_mask)).alias("_pos", "seed"))
@@ -55,7 +58,7 @@ def with_seeds(df: DataFrame, words: str, masks: tuple[tuple[int, ...], ...]) ->
 def items_of(benchmark: DataFrame) -> DataFrame:
     """Distinct items as (item_id, item_words)."""
     words = benchmark.select("item_id", F.filter(tokens(F.col("text")), lambda w: w != "").alias("item_words"))
-    return words.where(F.size("item_words") >= SHORTEST).groupBy("item_words").agg(F.min("item_id").alias("item_id")).select("item_id", "item_words")
+    return words.where(F.size("item_words") > 0).groupBy("item_words").agg(F.min("item_id").alias("item_id")).select("item_id", "item_words")
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -63,13 +66,21 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("_row"))
     items = items_of(benchmark)
     n = F.size("item_words")
-    count, short = items.agg(F.coalesce(F.sum(n), F.lit(0)), F.count_if(n < WINDOW)).head()
-    masks = MASKS + SHORT_MASKS if short else MASKS
-    sized = F.broadcast if count * len(MASKS) <= BROADCAST else (lambda df: df)
-    seeds = with_seeds(items.where(n >= WINDOW), "item_words", MASKS)
-    if short:
-        seeds = seeds.unionByName(with_seeds(items.where(n < WINDOW), "item_words", SHORT_MASKS))
-    hits = with_seeds(docs.select("doc_id", "_row", tokens(F.col("text")).alias("words")), "words", masks).join(sized(seeds.withColumnRenamed("at", "item_at")), "seed")
+    count, sizes = items.agg(F.coalesce(F.sum(n), F.lit(0)), F.collect_set(F.when(n < WINDOW, n))).head()  # at most WINDOW - 1 sizes
+    kinds = [(n >= WINDOW, MASKS)]
+    if any(k >= SHORTEST for k in sizes):
+        kinds.append((n.between(SHORTEST, WINDOW - 1), SHORT_MASKS))
+    kinds += [(n == k, (TINY_MASKS[k],)) for k in sorted(sizes) if k < SHORTEST]
+    few = count * len(MASKS) <= BROADCAST
+    sized = F.broadcast if few else (lambda df: df)
+    seeds = with_seeds(items.where(kinds[0][0]), "item_words", kinds[0][1])
+    for which, masks in kinds[1:]:
+        seeds = seeds.unionByName(with_seeds(items.where(which), "item_words", masks))
+    places = with_seeds(docs.select("doc_id", "_row", tokens(F.col("text")).alias("words")), "words", tuple(m for _, masks in kinds for m in masks))
+    if not few:
+        seeds = written(seeds)
+        places = marked(places, "seed", seeds.select("seed")).where("_marked").drop("_marked")
+    hits = places.join(sized(seeds.withColumnRenamed("at", "item_at")), "seed")
     aligned = written(hits.select("doc_id", "_row", "item_id", (F.col("at") - F.col("item_at")).alias("offset")).distinct())
     texts = marked(docs, "_row", aligned.select("_row")).where("_marked").select("_row", "text").dropDuplicates(["_row"])
     pairs = aligned.join(texts.select("_row", tokens(F.col("text")).alias("words")), "_row").join(sized(items), "item_id")

@@ -411,7 +411,10 @@ def leaked_tokens(doc, item):
     return best, run
 
 
-def test_leaks_against_all_alignments(spark):
+@pytest.mark.parametrize("most", [leaks.BROADCAST, 0])
+def test_leaks_against_all_alignments(spark, monkeypatch, most):
+    """Also where the seeds are too many to broadcast."""
+    monkeypatch.setattr(leaks, "BROADCAST", most)
     rng = random.Random(12)
     words = [f"w{i}" for i in range(500)]
     items = [(n * 10 + k, rng.choices(words, k=n)) for n in range(1, 24) for k in range(2)]
@@ -427,7 +430,7 @@ def test_leaks_against_all_alignments(spark):
     for i, doc in docs:
         for k, item in items:
             best, run = leaked_tokens(doc, item)
-            if len(item) >= leaks.SHORTEST and (best == run if len(item) < leaks.WHOLE else 100 * best >= leaks.PERCENT * run):
+            if best == run if len(item) < leaks.WHOLE else 100 * best >= leaks.PERCENT * run:
                 want.add((i, k))
     made = spark.createDataFrame([(i, " ".join(d)) for i, d in docs], "doc_id long, text string")
     got = leaks.find_leaks(made, spark.createDataFrame([(k, " ".join(t)) for k, t in items], "item_id long, text string")).collect()
