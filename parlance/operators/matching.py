@@ -128,6 +128,12 @@ def norm(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", text.casefold()) if c.isalnum())
 
 
+@F.pandas_udf(T.StringType())
+def keyed(text: pd.Series) -> pd.Series:
+    """``norm`` of each text; null stays."""
+    return text.map(lambda t: t if t is None else norm(t))
+
+
 _EDGES = re.compile(r"^(\W*)(.*?)(\W*)$", re.DOTALL)
 
 
