@@ -180,3 +180,28 @@ def solo_names(entries: DataFrame, vectors: DataFrame, profiles: DataFrame, thre
     """Entries (channel, speaker, ..) of channels that one person speaks on, with the name of the profile (model, profile, p) that the channel's only vector (model, trial, v) matches, if it reaches the threshold."""
     named = best_match(scores(vectors, profiles), threshold).select(F.col("trial").alias("channel"), F.col("profile").cast("string").alias("_name"))
     return entries.join(named, "channel", "left").withColumn("speaker", F.coalesce("_name", "speaker")).drop("_name")
+
+
+#: The least budget that leaves room for a prompt and a portion of the transcript.
+LEAST_BUDGET = 4000
+
+
+def note_plans(lines: DataFrame, key: str, budget: int) -> DataFrame:
+    """(key, n_chars, mode): whether all lines (key, text), joined by line feeds, fit into one prompt of ``budget`` characters (``single``) or go by portions (``portions``). A budget under ``LEAST_BUDGET`` fails."""
+    if budget < LEAST_BUDGET:
+        raise ValueError(f"a budget of {budget} characters is under {LEAST_BUDGET}")
+    sizes = lines.groupBy(key).agg((F.sum(F.char_length("text") + 1) - 1).alias("n_chars"))
+    return sizes.withColumn("mode", F.when(F.col("n_chars") <= budget, "single").otherwise("portions"))
+
+
+def merged_frames(frames: DataFrame, key: str) -> DataFrame:
+    """``frames`` (key, channel, at, seq, ..) with ``place``: the order in which all channels of a key are heard, by time and then by channel."""
+    return frames.withColumn("place", F.row_number().over(W.partitionBy(key).orderBy("at", "channel", "seq")) - 1)
+
+
+def words_of_range(rows: DataFrame, ref: str, hyp: str, start: Column, end: Column) -> DataFrame:
+    """``rows`` with ``heard``: the words of ``hyp`` that the alignment puts beside the words of ``ref`` from ``start`` to before ``end``, and those inserted between two of these."""
+    steps = rows.withColumn("_steps", align(ref, hyp)).withColumn("_a", start).withColumn("_b", end)
+    # An insertion has the place of the reference word that follows it.
+    inside = F.filter("_steps", lambda s: F.when(s["step"] == "i", (s["ref"] > F.col("_a")) & (s["ref"] < F.col("_b"))).otherwise((s["ref"] >= F.col("_a")) & (s["ref"] < F.col("_b")) & (s["step"] != "d")))
+    return steps.withColumn("heard", F.transform(inside, lambda s: F.get(F.col(hyp), s["hyp"]))).drop("_steps", "_a", "_b")

@@ -127,6 +127,23 @@ def sm07_shed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streaming.shed(rows.select("channel", "start_us", "end_us", "now_us"))[1]
 
 
+def nt01_note_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """NT-01: conversations whose turns fit into one prompt of 4,000 characters, and those that go by portions."""
+    return measures.note_plans(read(spark, sf_dir, "conversations").select("conv_id", F.coalesce("text", F.lit("")).alias("text")), "conv_id", 4000)
+
+
+def src04_merged_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-04: the frames of ten users at a time in the order in which they are heard."""
+    rows = read(spark, sf_dir, "events").select(F.expr("user_id div 10").alias("meeting"), F.col("user_id").alias("channel"), F.expr("unix_micros(cast(ts as timestamp)) div 60000000").alias("at"), F.col("event_id").alias("seq"))
+    return measures.merged_frames(rows, "meeting").select("meeting", "seq", F.col("place").cast("long").alias("place"))
+
+
+def ev02_range_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EV-02: what was heard beside the third to tenth word of each conversation turn."""
+    rows = _pairs(spark, sf_dir)
+    return measures.words_of_range(rows, "ref", "hyp", F.lit(2), F.lit(10)).select("conv_id", "turn", F.array_join("heard", " ").alias("heard"))
+
+
 def _path(spark: SparkSession, kind: str) -> str:
     return f"{streaming.shared_folder(spark)}/{kind}_{uuid.uuid4().hex[:12]}"
 
@@ -152,7 +169,7 @@ def src06_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     wn20_dominant_spans, wn21_quiet_pieces, ag15_operating_points, ag10_biased_rates, prj08_display_names, se01_ordered_vocabulary, prj15_devices, prj14_settings, fn27_channels, ag25_run_report,
-    mu03_solo_names, fn04_keys, sm13_dead_taps, sm07_shed, src11_rttm, src06_transcripts,
+    mu03_solo_names, fn04_keys, sm13_dead_taps, sm07_shed, src11_rttm, src06_transcripts, nt01_note_plans, src04_merged_frames, ev02_range_words,
 )}
 _W = f"WITH {EVENTS_SQL}"
 ORACLE_SQL = {
@@ -202,6 +219,8 @@ SELECT token, regexp_replace(strip_accents(replace(lower(token), 'ß', 'ss')), '
 r AS (SELECT *, sum(far::INT) OVER (PARTITION BY channel ORDER BY tick ROWS UNBOUNDED PRECEDING) AS run FROM t WHERE mic OR far)
 SELECT channel, min(tick) AS start, max(tick) AS "end", count(*) AS n FROM r WHERE NOT far GROUP BY channel, run HAVING count(*) >= 8""",
     "sm07_shed": _W + " SELECT channel, CAST(sum(end_us - start_us) AS BIGINT) AS shed_us, count(*) AS n FROM turns WHERE start_us + CASE WHEN seq % 3 = 0 THEN 60000000 ELSE 20000000 END - end_us > 30000000 GROUP BY channel",
+    "nt01_note_plans": "SELECT conv_id, CAST(sum(length(coalesce(text, '')) + 1) - 1 AS BIGINT) AS n_chars, CASE WHEN sum(length(coalesce(text, '')) + 1) - 1 <= 4000 THEN 'single' ELSE 'portions' END AS mode FROM conversations GROUP BY conv_id",
+    "src04_merged_frames": "SELECT user_id // 10 AS meeting, event_id AS seq, row_number() OVER (PARTITION BY user_id // 10 ORDER BY epoch_us(ts) // 60000000, user_id, event_id) - 1 AS place FROM events",
     "src11_rttm": _W + " SELECT channel::VARCHAR AS file, speaker, (start_us + 500) // 1000 AS start_ms, (start_us + 500) // 1000 + (end_us - start_us + 500) // 1000 AS end_ms FROM turns",
     "src06_transcripts": """WITH timed AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, length(coalesce(text, '')) * 1000000 AS len, CAST(sum(length(coalesce(text, '')) * 1000000) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS BIGINT) AS fin FROM conversations)
 SELECT 1 AS version, conv_id AS meeting, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, role AS speaker, text, (fin - len) // 15 / 1e6 AS start, fin // 15 / 1e6 AS "end" FROM timed""",

@@ -129,6 +129,15 @@ QUERIES = {f.__name__: f for f in (
     mu01_upsert, mu02_assign, cl01_clusters, ev03_wins, ev26_count_hint, so08_subsample,
 )}
 ORACLE_SQL = {
+    "wn06_captions": f"""WITH RECURSIVE {EVENTS_SQL}, o AS (SELECT *, CASE WHEN lag(end_us) OVER w IS NULL OR start_us - lag(end_us) OVER w > 1500000 THEN 1 ELSE 0 END AS op FROM words WINDOW w AS (PARTITION BY channel ORDER BY start_us, seq)),
+p AS (SELECT channel, text, start_us, seq, sum(op) OVER (PARTITION BY channel ORDER BY start_us, seq ROWS UNBOUNDED PRECEDING) AS part FROM o), n AS (SELECT *, row_number() OVER (PARTITION BY channel, part ORDER BY start_us, seq) AS i FROM p),
+r AS (SELECT channel, part, i, 0 AS line, length(text) AS chars FROM n WHERE i = 1
+  UNION ALL
+  SELECT n.channel, n.part, n.i, CASE WHEN r.chars >= 250 THEN line + 1 ELSE line END, CASE WHEN r.chars >= 250 THEN length(n.text) ELSE r.chars + 1 + length(n.text) END FROM r JOIN n ON n.channel = r.channel AND n.part = r.part AND n.i = r.i + 1)
+SELECT channel, CAST(part AS BIGINT) AS part, line, count(*) AS n_words FROM r GROUP BY channel, part, line""",
+    "wn23_best_lag": f"""WITH {_SAMPLES}, a AS (SELECT stream, frame AS tick, CAST(sample AS DOUBLE) AS near FROM samples WHERE channel = 0), m AS (SELECT a.stream, a.tick, a.near, b.near AS far FROM a JOIN a b ON b.stream = a.stream AND b.tick = a.tick + 3),
+x AS (SELECT m.stream, lag, coalesce(sum(m.near * f.far) / nullif(sqrt(sum(m.near * m.near) * sum(f.far * f.far)), 0), 0.0) AS score FROM m JOIN (SELECT stream, tick + lag AS tick, far, lag FROM (SELECT *, unnest(range(-5, 6)) AS lag FROM m)) f ON f.stream = m.stream AND f.tick = m.tick GROUP BY m.stream, lag)
+SELECT stream, arg_min(lag, (-round(score, 9), lag)) AS lag, round(max(score), 6) AS score FROM x GROUP BY stream""",
     "src02_channels": "WITH s AS (SELECT vec_id AS stream, generate_subscripts(embedding, 1) - 1 AS i, CAST(floor(CAST(unnest(embedding) AS DOUBLE) * 30000) AS BIGINT) AS sample FROM embeddings) SELECT stream, i % 2 AS channel, CAST(sum(sample) AS BIGINT) AS total, count(*) AS n FROM s GROUP BY stream, i % 2",
     "src03_downmix": f"WITH {_SAMPLES} SELECT stream, frame, CAST(trunc(CAST(sum(sample) AS DOUBLE) / count(*)) AS INT) AS sample FROM samples GROUP BY stream, frame",
     "st14_mix": f"""WITH {_SAMPLES}, m AS (SELECT stream // 5 AS stream, frame AS place, CAST(sum(sample * 3) AS BIGINT) AS v FROM samples GROUP BY stream // 5, frame), t AS (SELECT stream, max(abs(v)) AS top FROM m GROUP BY stream)

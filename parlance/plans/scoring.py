@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import intervals, matching, speech, windows
-from ..sources.derived import EVENTS_SQL, entries, read, turns, words
-from .speech import _MERGED
+from ..sources.derived import ENTRIES_SQL, EVENTS_SQL, entries, read, turns, words
+from .speech import _MERGED, RUNS_SQL
 from .streams import PADDED_SQL
 
 
@@ -191,6 +191,18 @@ QUERIES = {f.__name__: f for f in (
     wn03_pack_windows, wn04_cues, wn05_wrap, wn10_islands, wn15_padded_turns, wn17_chunks, wn19_top_votes, ag19_commit_latency, ag17_envelope_correlation, cl04_top_class, nt02_gate,
 )}
 ORACLE_SQL = {
+    "wn04_cues": RUNS_SQL.replace("WITH", "WITH RECURSIVE", 1) + """,
+ws AS (SELECT channel, CAST(run AS BIGINT) AS run, speaker, text, start_us, end_us, row_number() OVER (PARTITION BY channel, run ORDER BY start_us, seq) AS i FROM runs),
+f AS (SELECT channel, run, speaker, i, 0::INTEGER AS seq, start_us, end_us, text FROM ws WHERE i = 1
+  UNION ALL
+  SELECT channel, run, speaker, i, CASE WHEN goes THEN cue ELSE cue + 1 END, CASE WHEN goes THEN s0 ELSE start_us END, end_us, CASE WHEN goes THEN t0 || ' ' || text ELSE text END
+  FROM (SELECT w.*, f.seq AS cue, f.start_us AS s0, f.text AS t0, length(f.text) + 1 + length(w.text) <= 84 AND w.end_us - f.start_us <= 6000000 AND w.start_us - f.end_us <= 1000000 AS goes FROM f JOIN ws w ON w.channel = f.channel AND w.run = f.run AND w.i = f.i + 1))
+SELECT channel, run, speaker, seq, min(start_us) AS start_us, arg_max(end_us, i) AS end_us, arg_max(text, i) AS text FROM f GROUP BY channel, run, speaker, seq""",
+    "wn17_chunks": f"""WITH RECURSIVE {ENTRIES_SQL}, l AS (SELECT meeting, speaker || ': ' || text AS t, row_number() OVER (PARTITION BY meeting ORDER BY seq) AS i FROM entries),
+r AS (SELECT meeting, i, t, 0 AS chunk, length(t) AS n FROM l WHERE i = 1
+  UNION ALL
+  SELECT l.meeting, l.i, l.t, CASE WHEN r.n + 1 + length(l.t) <= 4000 THEN chunk ELSE chunk + 1 END, CASE WHEN r.n + 1 + length(l.t) <= 4000 THEN r.n + 1 + length(l.t) ELSE length(l.t) END FROM r JOIN l ON l.meeting = r.meeting AND l.i = r.i + 1)
+SELECT meeting, chunk, length(string_agg(t, chr(10) ORDER BY i)) AS n_chars, sha256(string_agg(t, chr(10) ORDER BY i)) AS sha256 FROM r GROUP BY meeting, chunk""",
     "wn05_wrap": """SELECT conv_id, turn, rtrim(regexp_replace(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')), '(\\S{43,}|.{1,42})( |$)', '\\1' || chr(10), 'g'), chr(10)) AS wrapped FROM conversations""",
     "wn03_pack_windows": PADDED_SQL,
     "ag12_missed_frames": _W + """, heard AS (SELECT channel, CASE WHEN seq % 14 = 0 THEN 'other' ELSE 'h_' || speaker END AS speaker, start_us + 50000 AS start_us, end_us + 50000 AS end_us FROM turns WHERE seq % 20 <> 0),

@@ -42,8 +42,12 @@ def snk02_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def snk03_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SNK-03: each meeting as JSON."""
-    return transcripts.json_documents(entries(spark, sf_dir))
+    """SNK-03: each meeting as JSON, with its language (unknown for every third), profile and parameters, and provisional entries."""
+    rows = entries(spark, sf_dir).withColumn("provisional", F.col("seq") % 5 == 0)
+    language = F.when(F.col("meeting") % 3 == 1, "de").when(F.col("meeting") % 3 == 2, "en")
+    profile = F.struct(F.lit("call").alias("mode"), F.countDistinct("speaker").alias("speakers"), (F.count(F.lit(1)) > 1).alias("diarizes"))
+    about = rows.groupBy("meeting").agg(profile.alias("profile")).select("meeting", language.alias("language"), "profile", F.struct(F.lit(0.56).alias("threshold")).alias("parameters"))
+    return transcripts.json_documents(rows, about=about)
 
 
 def _timed_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -244,6 +248,8 @@ QUERIES = {f.__name__: f for f in (
     ag16_density, ev24_channel_words,
 )}
 ORACLE_SQL = {
+    "snk03_json": f"""WITH {ENTRIES_SQL}, e AS (SELECT meeting, list({{'start_us': start_us, 'end_us': end_us, 'seq': seq, 'speaker': speaker, 'text': text, 'provisional': seq % 5 = 0}} ORDER BY start_us, end_us, seq) AS es, count(DISTINCT speaker) AS n, count(*) AS m FROM entries GROUP BY meeting)
+SELECT meeting, CAST(to_json({{'version': 1, 'language': [NULL, 'de', 'en'][meeting % 3 + 1], 'profile': {{'mode': 'call', 'speakers': n, 'diarizes': m > 1}}, 'parameters': {{'threshold': 0.56::DOUBLE}}, 'entries': es}}) AS VARCHAR) AS text FROM e""",
     "ag05_language_vote": f"SELECT doc_id, {_votes('text')} AS language FROM documents",
     "ev25_mixed_language": f"""WITH h AS (SELECT doc_id, substring(coalesce(text, ''), 1, length(coalesce(text, '')) // 2) AS a, substring(coalesce(text, ''), length(coalesce(text, '')) // 2 + 1) AS b FROM documents),
 p AS (SELECT doc_id, {_votes('a')} AS first, {_votes('b')} AS second FROM h) SELECT *, coalesce(first <> second, false) AS mixed FROM p""",

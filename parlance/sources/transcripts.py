@@ -87,9 +87,15 @@ def plain(entries: DataFrame, key: str = "meeting") -> DataFrame:
     return in_order(entries, key, F.concat("speaker", F.lit(": "), "text"), "\n")
 
 
-def json_documents(entries: DataFrame, key: str = "meeting") -> DataFrame:
-    rows = entries.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start_us", "end_us", "seq", "speaker", "text"))).alias("entries"))
-    return rows.select(key, F.to_json(F.struct(F.lit(VERSION).alias("version"), "entries")).alias("text"))
+def json_documents(entries: DataFrame, key: str = "meeting", about: DataFrame | None = None) -> DataFrame:
+    """One JSON text per key: version, what ``about`` (key and, say, language, profile and parameters) tells, and the entries in order, with ``provisional`` and words ``ws`` where there are such columns. Unknown values are null."""
+    held = [c for c in ("provisional", "ws") if c in entries.columns]
+    rows = entries.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start_us", "end_us", "seq", "speaker", "text", *held))).alias("entries"))
+    told: list[str] = []
+    if about is not None:
+        told = [c for c in about.columns if c != key]
+        rows = rows.join(about, key, "left")
+    return rows.select(key, F.to_json(F.struct(F.lit(VERSION).alias("version"), *told, "entries"), {"ignoreNullFields": "false"}).alias("text"))
 
 
 def subtitle_cues(entries: DataFrame, key: str = "meeting") -> DataFrame:

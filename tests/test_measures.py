@@ -138,3 +138,25 @@ def test_echo_backstop(spark):
     assert {r.channel: r.gap_s for r in gaps.collect()} == {1: 0.01, 2: 0.0, 3: None}
     lines = spark.createDataFrame([(c, d) for c in (1, 2, 3, 4) for d in (True, False, True)], "channel long, duplicate boolean")
     assert {r.channel: (r.armed, r.kept) for r in measures.without_echo_if_armed(lines, gaps, "channel").collect()} == {1: (True, 1), 2: (False, 3), 3: (True, 1), 4: (True, 1)}
+
+
+def test_words_of_a_range(spark):
+    rows = [("a b c d", "a x b c y d"), ("a b c d", "a d"), ("a b c d", "a b q d"), ("", "x"), ("a b c d", "")]
+    df = spark.createDataFrame([(i, r.split(), h.split()) for i, (r, h) in enumerate(rows)], "i int, ref array<string>, hyp array<string>")
+    got = measures.words_of_range(df, "ref", "hyp", F.lit(1), F.lit(3)).orderBy("i").collect()
+    assert [r.heard for r in got] == [["b", "c"], [], ["b", "q"], [], []]  # x stands before the range, y after it
+    inside = measures.words_of_range(df, "ref", "hyp", F.lit(0), F.lit(4)).orderBy("i").collect()
+    assert inside[0].heard == ["a", "x", "b", "c", "y", "d"]
+
+
+def test_note_plans(spark):
+    df = spark.createDataFrame([(1, "x" * 3998), (1, "y"), (2, "x" * 3999), (2, "y")], "k long, text string")
+    assert {r.k: (r.n_chars, r.mode) for r in measures.note_plans(df, "k", 4000).collect()} == {1: (4000, "single"), 2: (4001, "portions")}
+    with pytest.raises(ValueError):
+        measures.note_plans(df, "k", 3999)
+
+
+def test_merged_frames(spark):
+    rows = [(1, 2, 0.0, 1), (1, 1, 0.0, 2), (1, 1, 0.5, 3), (1, 2, 0.25, 4), (2, 9, 0.0, 5)]
+    got = measures.merged_frames(spark.createDataFrame(rows, "k long, channel long, at double, seq long"), "k").orderBy("k", "place").collect()
+    assert [(r.k, r.seq, r.place) for r in got] == [(1, 2, 0), (1, 1, 1), (1, 4, 2), (1, 3, 3), (2, 5, 0)]
