@@ -120,6 +120,11 @@ def renamed(store: DataFrame, old: str, new: str) -> DataFrame:
     return upserted(store.where(F.col("name") != old), store.where(F.col("name") == old).withColumn("name", F.lit(new)))
 
 
+def removed(store: DataFrame, name: str) -> DataFrame:
+    """The store without a profile."""
+    return store.where(F.col("name") != name)
+
+
 def assigned(entries: DataFrame, label: str, name: str) -> DataFrame:
     """Entries with a label replaced by a name."""
     return entries.withColumn("speaker", F.when(F.col("speaker") == label, name).otherwise(F.col("speaker")))

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import records, voices
+from ..sources import transcripts
 from ..sources.derived import EVENTS_SQL, entries, read, vectors, words
+from .texts import ORACLE_SQL as TEXTS
 
 
 def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,9 +81,27 @@ def wn06_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mu01_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MU-01: a store of labels with ten more vectors each, capped at eight."""
-    rows = read(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("name"), F.lit("m").alias("model"), F.col("vec_id").alias("idx"), F.element_at("embedding", 1).cast("double").alias("vector"), F.when(F.col("vec_id") % 3 > 0, F.col("vec_id") % 5).alias("date"))
-    made = records.upserted(rows.where("idx % 2 = 0"), rows.where("idx % 2 = 1"))
-    return made.select("name", "idx", "date", F.round("vector", 6).alias("vector"))
+    rows = _store(spark, sf_dir)
+    return _told(records.upserted(rows.where("idx % 2 = 0"), rows.where("idx % 2 = 1")))
+
+
+def _store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    date = F.when(F.col("vec_id") % 3 > 0, F.col("vec_id") % 5)
+    return read(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("name"), F.lit("m").alias("model"), F.col("vec_id").alias("idx"), F.col("embedding").cast("array<double>").alias("vector"), date.alias("date"))
+
+
+def _told(store: DataFrame) -> DataFrame:
+    return store.select("name", "idx", "date", F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x), 5).alias("vector"))
+
+
+def mu01_renamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MU-01: a store in which profile 1 is renamed to 2, which there is already, and profile 3 removed."""
+    return _told(records.removed(records.renamed(_store(spark, sf_dir), "1", "2"), "3"))
+
+
+def mu02_rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MU-02: each meeting as Markdown again after the label user got a name."""
+    return transcripts.markdown(records.assigned(entries(spark, sf_dir).withColumn("provisional", F.col("seq") % 5 == 0), "user", "Ada"))
 
 
 def mu02_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,8 +146,9 @@ def so08_subsample(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SAMPLES = "s AS (SELECT vec_id // 2 AS stream, vec_id % 2 AS channel, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS frame FROM embeddings), samples AS (SELECT stream, channel, frame, CAST(floor(CAST(x AS DOUBLE) * 30000) AS BIGINT) AS sample FROM s)"
 QUERIES = {f.__name__: f for f in (
     src02_channels, src03_downmix, st14_mix, prj05_sample_index, prj06_pcm_round_trip, prj10_visible_labels, jn13_paired_frames, wn23_best_lag, wn07_merge_tokens, wn09_sentences, wn06_captions,
-    mu01_upsert, mu02_assign, cl01_clusters, ev03_wins, ev26_count_hint, so08_subsample,
+    mu01_upsert, mu01_renamed, mu02_assign, mu02_rendered, cl01_clusters, ev03_wins, ev26_count_hint, so08_subsample,
 )}
+_STORE = "store AS (SELECT CAST(label AS VARCHAR) AS name, vec_id, CASE WHEN vec_id % 3 > 0 THEN vec_id % 5 END AS date, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 5) AS vector FROM embeddings)"
 ORACLE_SQL = {
     "wn06_captions": f"""WITH RECURSIVE {EVENTS_SQL}, o AS (SELECT *, CASE WHEN lag(end_us) OVER w IS NULL OR start_us - lag(end_us) OVER w > 1500000 THEN 1 ELSE 0 END AS op FROM words WINDOW w AS (PARTITION BY channel ORDER BY start_us, seq)),
 p AS (SELECT channel, text, start_us, seq, sum(op) OVER (PARTITION BY channel ORDER BY start_us, seq ROWS UNBOUNDED PRECEDING) AS part FROM o), n AS (SELECT *, row_number() OVER (PARTITION BY channel, part ORDER BY start_us, seq) AS i FROM p),
@@ -152,8 +173,11 @@ SELECT key, CAST(word AS BIGINT) AS word, string_agg(trim(text), '' ORDER BY seq
     "wn09_sentences": """WITH t AS (SELECT item_id AS key, unnest(string_split(text, ' ')) AS text, generate_subscripts(string_split(text, ' '), 1) AS seq FROM benchmark),
 e AS (SELECT *, CASE WHEN regexp_matches(lag(text) OVER (PARTITION BY key ORDER BY seq), '[.!?…]$') THEN 1 ELSE 0 END AS e FROM t), s AS (SELECT *, CAST(sum(e) OVER (PARTITION BY key ORDER BY seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS sentence FROM e)
 SELECT key, sentence, string_agg(text, ' ' ORDER BY seq) AS text FROM s GROUP BY key, sentence""",
-    "mu01_upsert": """WITH r AS (SELECT CAST(label AS VARCHAR) AS name, vec_id, vec_id % 2 AS new, CASE WHEN vec_id % 3 > 0 THEN vec_id % 5 END AS date, round(CAST(embedding[1] AS DOUBLE), 6) AS vector FROM embeddings),
+    "mu01_upsert": f"""WITH {_STORE}, r AS (SELECT *, vec_id % 2 AS new FROM store),
+k AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY date DESC NULLS LAST, new DESC, vec_id DESC) AS n FROM r) SELECT name, row_number() OVER (PARTITION BY name ORDER BY new, vec_id) AS idx, date, vector FROM k WHERE n <= 8""",
+    "mu01_renamed": f"""WITH {_STORE}, r AS (SELECT * REPLACE (CASE WHEN name = '1' THEN '2' ELSE name END AS name), CASE WHEN name = '1' THEN 1 ELSE 0 END AS new FROM store WHERE name <> '3'),
 k AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY date DESC NULLS LAST, new DESC, vec_id DESC) AS n FROM r) SELECT name, row_number() OVER (PARTITION BY name ORDER BY new, vec_id) AS idx, date, vector FROM k WHERE n <= 8""",
+    "mu02_rendered": TEXTS["snk01_markdown"].replace("role AS speaker", "CASE WHEN role = 'user' THEN 'Ada' ELSE role END AS speaker"),
     "mu02_assign": "SELECT CASE WHEN role = 'user' THEN 'Ada' ELSE role END AS speaker, count(*) AS n FROM conversations GROUP BY 1",
     "ev03_wins": """WITH p AS (SELECT CASE WHEN turn % 4 > 0 THEN turn % 3 - 1 END AS pick, CASE WHEN conv_id % 2 = 0 THEN 'de' ELSE 'en' END AS language, role AS bucket FROM conversations), m(model, variant) AS (VALUES ('a', 0), ('b', 0), ('c', 1))
 SELECT model, language, bucket, count(*) AS sites, count(*) FILTER (variant = pick) AS wins FROM p, m WHERE pick >= 0 GROUP BY model, language, bucket""",

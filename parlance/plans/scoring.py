@@ -170,10 +170,10 @@ def ag17_envelope_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cl04_top_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CL-04: the coordinate with the greatest value of each vector's first eight, as the set of labels whose bits it has."""
-    rows = read(spark, sf_dir, "embeddings").select("vec_id", F.slice(F.col("embedding"), 1, 8).alias("x"))
+    """CL-04: the coordinate with the greatest value of each vector's 64, as the set of six labels whose bits it has."""
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("x"))
     top = F.array_position("x", F.array_max("x")).cast("int") - 1
-    return rows.select("vec_id", top.alias("top"), *[(top.bitwiseAND(1 << b) > 0).alias(f"label_{b}") for b in range(3)])
+    return rows.select("vec_id", top.alias("top"), *[(top.bitwiseAND(1 << b) > 0).alias(f"label_{b}") for b in range(6)])
 
 
 def nt02_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -223,7 +223,7 @@ SELECT channel, second, speaker, votes FROM q JOIN k USING (channel, second) WHE
 SELECT channel, quantile_disc(wait, 0.5) AS p50, quantile_disc(wait, 0.9) AS p90, max(wait) AS longest, count(*) FILTER (wait < 0) AS back FROM d WHERE wait IS NOT NULL GROUP BY channel""",
     "ag17_envelope_correlation": """WITH p AS (SELECT date_trunc('hour', ts) AS hour, user_id % 2 AS side, sqrt(avg(value * value)) AS rms FROM events GROUP BY ALL),
 s AS (SELECT hour, coalesce(max(rms) FILTER (side = 0), 0.0) AS a, coalesce(max(rms) FILTER (side = 1), 0.0) AS b FROM p GROUP BY hour) SELECT round(corr(a, b), 5) AS r, corr(a, b) < 0.5 AS independent FROM s""",
-    "cl04_top_class": """WITH x AS (SELECT vec_id, embedding[1:8] AS x FROM embeddings), t AS (SELECT vec_id, list_position(x, list_max(x)) - 1 AS top FROM x) SELECT vec_id, top, top & 1 > 0 AS label_0, top & 2 > 0 AS label_1, top & 4 > 0 AS label_2 FROM t""",
+    "cl04_top_class": f"""WITH t AS (SELECT vec_id, list_position(embedding, list_max(embedding)) - 1 AS top FROM embeddings) SELECT vec_id, top, {', '.join(f"top & {1 << b} > 0 AS label_{b}" for b in range(6))} FROM t""",
     "nt02_gate": """SELECT page_id, len(list_filter(string_split(coalesce(html, ''), chr(10)), lambda l: regexp_matches(l, '^\\s*([-*+]|<li)'))) > 0 AS has_items,
 length(trim(regexp_replace(regexp_replace(coalesce(html, ''), '(?s)<think>.*?</think>', '', 'g'), '(?s)<think>.*', '', 'g'))) AS n_chars FROM pages""",
 }
