@@ -527,7 +527,7 @@ def test_edit_distance():
 
 
 def blocks(line):
-    return lines.line_table([line]).column("blocks")[0].as_py()
+    return lines.unpacked(lines.line_table([line]).column("blocks"))[0].tolist()
 
 
 def test_blocks():
