@@ -167,9 +167,46 @@ def src06_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("version", F.col("profile").cast("long").alias("meeting"), "i", "e.speaker", "e.text", "e.start", "e.end")
 
 
+def src10_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-10: a glossary file of benchmark words with comments and blank lines, written and read back."""
+    path, i, word = _path(spark, "src10"), F.col("item_id"), F.split("text", "[ \n]")[0]
+    line = F.when(i % 5 == 0, "   ").when(i % 7 == 0, F.concat(F.lit("# only a comment "), word)).when(i % 3 == 0, F.concat(F.lit("  "), word, F.lit(" # said often"))).otherwise(word)
+    read(spark, sf_dir, "benchmark").select(line.alias("value")).write.text(path)
+    return transcripts.read_terms(spark, path)
+
+
+def src13_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-13: benchmark items as tab-separated references with JSON lists of long words, written and read back."""
+    path, ws = _path(spark, "src13"), plain_words(F.col("text"))
+    lists = [F.to_json(F.filter(ws, lambda w: F.char_length(w) > 10)), F.to_json(F.filter(ws, lambda w: F.char_length(w) > 8))]
+    read(spark, sf_dir, "benchmark").select(F.concat_ws("\t", F.concat(F.lit("u"), "item_id"), F.array_join(ws, " "), *lists).alias("value")).write.text(path)
+    back = transcripts.read_references(spark, path)
+    return back.select("uttid", "text", F.array_join("rare_words", " ").alias("rare"), F.array_join("biasing_words", " ").alias("biasing"))
+
+
+def src16_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-16: nations as the rows of a manifest, written as one JSON file and read back; an id that appears twice would fail."""
+    path = _path(spark, "src16")
+    row = F.struct(F.concat(F.lit("n"), "n_nationkey").alias("id"), F.col("n_name").alias("source"), (F.col("n_nationkey") * 1.5).alias("start"), (F.col("n_nationkey") * 1.5 + 30).alias("end"), F.when(F.col("n_nationkey") % 2 == 0, "de").alias("language"))
+    read(spark, sf_dir, "nation").agg(F.to_json(F.array_sort(F.collect_list(row))).alias("value")).write.text(path)
+    return transcripts.read_manifest(spark, path).select("id", "source", "start", "end", "language")
+
+
+def src08_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-08: vectors as profiles of the old form (one vector) and the new (dated entries), written as JSON, read back and brought to the new form."""
+    path, v = _path(spark, "src08"), F.col("embedding").cast("array<double>")
+    old = F.when(F.col("vec_id") % 2 == 0, v)
+    new = F.when(F.col("vec_id") % 2 == 1, F.array(F.struct(v.alias("vector"), F.lit("2024-01-01").alias("date")), F.struct(v.alias("vector"), F.lit(None).cast("string").alias("date"))))
+    read(spark, sf_dir, "embeddings").select(F.concat(F.lit("p"), "vec_id").alias("name"), F.lit("m").alias("embedding_model"), old.alias("embedding"), new.alias("embeddings")).write.json(path)
+    back = spark.read.schema("name string, embedding_model string, embedding array<double>, embeddings array<struct<vector: array<double>, date: string>>").json(path)
+    e = F.col("embeddings")
+    return transcripts.upgraded_profiles(back).select("name", F.size(e).alias("n"), F.size(F.filter(e, lambda x: x["date"].isNotNull())).alias("dated"), F.round(F.aggregate(e[0]["vector"], F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
+
+
 QUERIES = {f.__name__: f for f in (
     wn20_dominant_spans, wn21_quiet_pieces, ag15_operating_points, ag10_biased_rates, prj08_display_names, se01_ordered_vocabulary, prj15_devices, prj14_settings, fn27_channels, ag25_run_report,
-    mu03_solo_names, fn04_keys, sm13_dead_taps, sm07_shed, src11_rttm, src06_transcripts, nt01_note_plans, src04_merged_frames, ev02_range_words,
+    mu03_solo_names, fn04_keys, sm13_dead_taps, sm07_shed, src11_rttm, src06_transcripts, nt01_note_plans, src04_merged_frames, ev02_range_words, src10_terms, src13_references,
+    src16_manifest, src08_profiles,
 )}
 _W = f"WITH {EVENTS_SQL}"
 ORACLE_SQL = {
@@ -221,6 +258,11 @@ SELECT channel, min(tick) AS start, max(tick) AS "end", count(*) AS n FROM r WHE
     "sm07_shed": _W + " SELECT channel, CAST(sum(end_us - start_us) AS BIGINT) AS shed_us, count(*) AS n FROM turns WHERE start_us + CASE WHEN seq % 3 = 0 THEN 60000000 ELSE 20000000 END - end_us > 30000000 GROUP BY channel",
     "nt01_note_plans": "SELECT conv_id, CAST(sum(length(coalesce(text, '')) + 1) - 1 AS BIGINT) AS n_chars, CASE WHEN sum(length(coalesce(text, '')) + 1) - 1 <= 4000 THEN 'single' ELSE 'portions' END AS mode FROM conversations GROUP BY conv_id",
     "src04_merged_frames": "SELECT user_id // 10 AS meeting, event_id AS seq, row_number() OVER (PARTITION BY user_id // 10 ORDER BY epoch_us(ts) // 60000000, user_id, event_id) - 1 AS place FROM events",
+    "src10_terms": "SELECT regexp_split_to_array(text, '[ \\n]')[1] AS term FROM benchmark WHERE item_id % 5 <> 0 AND item_id % 7 <> 0",
+    "src13_references": """WITH b AS (SELECT item_id, list_filter(string_split(regexp_replace(lower(text), '[^\\p{L}\\p{N}\\p{M}_]+', ' ', 'g'), ' '), lambda w: w <> '') AS ws FROM benchmark)
+SELECT 'u' || item_id AS uttid, array_to_string(ws, ' ') AS text, array_to_string(list_filter(ws, lambda w: length(w) > 10), ' ') AS rare, array_to_string(list_filter(ws, lambda w: length(w) > 8), ' ') AS biasing FROM b""",
+    "src16_manifest": """SELECT 'n' || n_nationkey AS id, n_name AS source, n_nationkey * 1.5::DOUBLE AS start, n_nationkey * 1.5::DOUBLE + 30 AS "end", CASE WHEN n_nationkey % 2 = 0 THEN 'de' END AS language FROM nation""",
+    "src08_profiles": "SELECT 'p' || vec_id AS name, CASE WHEN vec_id % 2 = 0 THEN 1 ELSE 2 END AS n, vec_id % 2 AS dated, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 6) AS total FROM embeddings",
     "src11_rttm": _W + " SELECT channel::VARCHAR AS file, speaker, (start_us + 500) // 1000 AS start_ms, (start_us + 500) // 1000 + (end_us - start_us + 500) // 1000 AS end_ms FROM turns",
     "src06_transcripts": """WITH timed AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, length(coalesce(text, '')) * 1000000 AS len, CAST(sum(length(coalesce(text, '')) * 1000000) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS BIGINT) AS fin FROM conversations)
 SELECT 1 AS version, conv_id AS meeting, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, role AS speaker, text, (fin - len) // 15 / 1e6 AS start, fin // 15 / 1e6 AS "end" FROM timed""",
