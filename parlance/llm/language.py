@@ -40,7 +40,8 @@ UNDECIDED = "und"
 SURE_LENGTH, LOW, HIGH, SMOOTH = 80, 0.002, 0.98, 1e-4
 #: Languages up to which their table is broadcast.
 MANY = 10_000
-LETTER, NUMBERED, OTHERS = re.compile(r"[^\W\d_]"), re.compile(r"\S*\d\S*"), re.compile(r"[\W_]+")
+LETTER, DIGIT, OTHERS = re.compile(r"[^\W\d_]"), re.compile(r"\d"), re.compile(r"[\W_]+")
+_SIGNS = str.maketrans({c: " " for c in map(chr, range(128)) if not c.isalnum()})
 # Language families by ISO 639-1 code. A code that is missing here is a family of its own.
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is af fy lb yi",
@@ -75,8 +76,9 @@ def counts(text: str) -> np.ndarray:
 
 
 def in_words(text: str) -> str:
-    """The words of a text that have no digits, without any signs."""
-    return OTHERS.sub(" ", NUMBERED.sub(" ", text)).strip()
+    """The runs of letters of a text that no digit touches."""
+    words = text.translate(_SIGNS).split()
+    return " ".join([w if w.isalpha() else OTHERS.sub(" ", w).strip() for w in words if w.isalpha() or not DIGIT.search(w)])
 
 
 def shuffled(text: str) -> str:
