@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -87,6 +90,16 @@ def marked(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
     return joined.select(*df.columns, (F.col(column).isNotNull() & F.coalesce(F.col("_mask").bitwiseAND(bit("_slot")) != 0, F.lit(False))).alias("_marked"))
 
 
+def give_back() -> None:
+    """Return what a Python worker has freed to the system: workers live on and would keep the most that any task has held."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform.startswith("linux"):
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+
 def _cuts(batch: pa.RecordBatch, rows: int, size: int) -> list[int]:
     """Where to cut a batch so that a part has at most ``rows`` rows and, but for a single row, about ``size`` bytes of text."""
     texts = [pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False) for c in batch.columns if pa.types.is_string(c.type) or pa.types.is_binary(c.type)]
@@ -112,6 +125,7 @@ def map_chunks(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame | pa.Rec
                 if to > at:
                     out = fn(batch.slice(at, to - at).to_pandas(types_mapper=nullable))
                     yield out if isinstance(out, pa.RecordBatch) else pa.RecordBatch.from_pandas(out, schema=arrow, preserve_index=False)
+        give_back()
 
     return df.mapInArrow(run, schema)
 
