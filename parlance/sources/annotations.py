@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_WORD = "_id string, _starttime string, _endtime string, _punc string, _VALUE string"
+_WORD = "_meeting string, _agent string, _id string, _starttime string, _endtime string, _punc string, _VALUE string"
 _MEETING = "_observation string, speaker array<struct<_nxt_agent: string, _channel: string, _global_name: string>>"
 
 
@@ -20,23 +20,24 @@ def _spoken(rows: DataFrame, start: str, end: str) -> DataFrame:
 
 
 def annotated_words(spark: SparkSession, path: str) -> DataFrame:
-    """(meeting, agent, id, start, end, text) of the spoken words below a folder of ``meeting=<m>/agent=<a>`` folders, or of files ``<m>.<a>.words.xml``.
+    """(meeting, agent, id, start, end, text) of the spoken words below a folder. Their meeting and agent are attributes of a word, or else told by folders ``meeting=<m>/agent=<a>`` or by a file's name ``<m>.<a>.words.xml``.
 
     Only word elements count; marked punctuation, words without times and those without length are left out.
     """
     rows = _xml(spark, path, "w", _WORD)
     file = F.input_file_name()
     part = lambda name, place: F.coalesce(F.nullif(F.regexp_extract(file, f"/{name}=([^/]+)/", 1), F.lit("")), F.regexp_extract(file, "([^/.]+)[.]([^/.]+)[.]words[.]xml$", place))
-    named = rows.withColumn("meeting", part("meeting", 1)).withColumn("agent", part("agent", 2))
+    named = rows.withColumn("meeting", F.coalesce("_meeting", part("meeting", 1))).withColumn("agent", F.coalesce("_agent", part("agent", 2)))
     marked = F.coalesce(F.col("_punc"), F.lit("")) != ""
     return _spoken(named.where(~marked), "_starttime", "_endtime").select("meeting", "agent", F.col("_id").alias("id"), "start", "end", F.trim("_VALUE").alias("text"))
 
 
 def write_words(words: DataFrame, path: str) -> None:
-    """Words (meeting, agent, id, start, end, punc, text), with null for what is not known, as XML below ``meeting=<m>/agent=<a>`` folders."""
+    """Words (meeting, agent, id, start, end, punc, text), with null for what is not known, as XML. Meeting and agent are attributes, so that the number of files follows the partitions, not the agents."""
+    named = [F.col(c).cast("string").alias(f"_{c}") for c in ("meeting", "agent")]
     as_text = lambda c: F.col(c).cast("string").alias(f"_{c}time")
-    rows = words.select("meeting", "agent", F.col("id").alias("_id"), as_text("start"), as_text("end"), F.when(F.col("punc"), "true").alias("_punc"), F.col("text").alias("_VALUE"))
-    rows.write.mode("overwrite").partitionBy("meeting", "agent").format("xml").options(rowTag="w", rootTag="words", attributePrefix="_", valueTag="_VALUE").save(path)
+    rows = words.select(*named, F.col("id").alias("_id"), as_text("start"), as_text("end"), F.when(F.col("punc"), "true").alias("_punc"), F.col("text").alias("_VALUE"))
+    rows.write.mode("overwrite").format("xml").options(rowTag="w", rootTag="words", attributePrefix="_", valueTag="_VALUE").save(path)
 
 
 def meeting_speakers(spark: SparkSession, path: str) -> DataFrame:
