@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from .intervals import merge_gaps
 from .matching import align
-from .voices import best_match, scores
+from .voices import best_match, highest_scores
 
 #: Share of the loudest channel's level from which a channel counts as dominant; shares of its own level for seeds and for what grows from them; windows of growth, of hangover, and of gaps that are closed.
 DOMINANT, STRONG, WEAK, GROWTH, HANGOVER, GAP = 0.5, 0.6, 0.2, 40, 2, 3
@@ -178,7 +178,7 @@ def reference_gaps(ticks: DataFrame, key: str) -> DataFrame:
 
 def solo_names(entries: DataFrame, vectors: DataFrame, profiles: DataFrame, threshold: float) -> DataFrame:
     """Entries (channel, speaker, ..) of channels that one person speaks on, with the name of the profile (model, profile, p) that the channel's only vector (model, trial, v) matches, if it reaches the threshold."""
-    named = best_match(scores(vectors, profiles), threshold).select(F.col("trial").alias("channel"), F.col("profile").cast("string").alias("_name"))
+    named = best_match(highest_scores(vectors, profiles), threshold).select(F.col("trial").alias("channel"), F.col("profile").cast("string").alias("_name"))
     return entries.join(named, "channel", "left").withColumn("speaker", F.coalesce("_name", "speaker")).drop("_name")
 
 

@@ -3,15 +3,22 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Trials that are broadcast at once (64 coordinates each: about 30 MB), and parts of the profiles beyond that.
 QUERIES, SALTS = 50_000, 256
 ACCEPT, COLLAPSE, FOLD = 0.56, 0.6, 0.8
+#: Trials, and profiles, whose matrices are multiplied by one task; trials that are multiplied at once (64 coordinates each: 4 MB and 16 MB).
+BLOCK, STRIP = 8192, 256
 
 
 def dot(a: str, b: str) -> Column:
@@ -42,9 +49,117 @@ def scores(trials: DataFrame, profiles: DataFrame) -> DataFrame:
     return both.select("trial", "profile", dot("v", "p").alias("score"))
 
 
+def _matrices(column: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each length of the lists in ``column`` the places of those with finite coordinates only, and these as a matrix."""
+    sizes = pc.fill_null(pc.list_value_length(column), -1).to_numpy()
+    out = {}
+    for n in np.unique(sizes[sizes >= 0]).tolist():
+        at = np.flatnonzero(sizes == n)
+        v = column.take(pa.array(at)).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(at), n)
+        known = np.isfinite(v).all(axis=1)
+        out[n] = at[known], np.ascontiguousarray(v[known])
+    return out
+
+
+def _highest(v: np.ndarray, p: np.ndarray, v_group: np.ndarray, p_group: np.ndarray, within: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places in ``v`` and ``p`` of the pairs whose product is at most ``within`` below the greatest of the row of ``v``, and the product; the first of equals alone if ``within`` is 0. Negative groups are of nobody else."""
+    # Products of matrices are right up to rounding, so that near ones are worked out again in the order of ``dot``.
+    slack = within + 1e-9 * np.linalg.norm(v, axis=1) * np.linalg.norm(p, axis=1).max(initial=0.0)
+    for start in range(0, len(v), STRIP):
+        product = v[start : start + STRIP] @ p.T
+        mine = v_group[start : start + STRIP]
+        if (mine >= 0).any():
+            product[(mine[:, None] == p_group[None, :]) & (mine >= 0)[:, None]] = -np.inf
+        least = product.max(axis=1, initial=-np.inf) - slack[start : start + STRIP]
+        i, j = np.nonzero((product >= least[:, None]) & (product > -np.inf))
+        i += start
+        exact = np.zeros(len(i))
+        for k in range(v.shape[1]):
+            exact += v[i, k] * p[j, k]
+        if within == 0:
+            order = np.lexsort((j, -exact, i))
+            first = order[np.flatnonzero(np.diff(i[order], prepend=-1))]
+            i, j, exact = i[first], j[first], exact[first]
+        yield i, j, exact
+
+
+def highest_scores(trials: DataFrame, profiles: DataFrame, within: float = 0.0, apart: bool = False) -> DataFrame:
+    """Of ``scores`` those rows that can be a trial's best, or lie at most ``within`` below it, for ``best_match``; a trial that has none of them has a row of nulls.
+
+    All pairs are compared, but none is a row: blocks of trials meet parts of the profiles, and a task multiplies the two
+    matrices and hands on the best of each trial. Of profiles with the same vector only the first is compared. With
+    ``apart`` both sides have a long ``group`` of 0 or more, and pairs of one group do not count. Vectors that are null, or hold nulls or numbers
+    that are not finite, have no score, and nor do pairs of different lengths.
+    """
+    blocks, parts = (max(1, -(-df.count() // BLOCK)) for df in (trials, profiles))
+    group = F.col("group") if apart else F.lit(-1).cast("long")
+    dealt = lambda df, c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = trials.select("model", "trial", F.col("v").alias("_v"), group.alias("group"), dealt(trials, "trial", blocks).alias("_block"), every(parts).alias("_part"))
+    right = profiles.select("model", "profile", F.col("p").alias("_v"), group.alias("group"), every(blocks).alias("_block"), dealt(profiles, "profile", parts).alias("_part"))
+    schema = T.StructType([T.StructField("trial", trials.schema["trial"].dataType), T.StructField("profile", profiles.schema["profile"].dataType), T.StructField("score", T.DoubleType())])
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        b = b.sort_by("profile")
+        x, y = _matrices(a.column("_v")), _matrices(b.column("_v"))
+        groups = [t.column("group").to_numpy() for t in (a, b)]
+        at, to, score = [np.arange(a.num_rows if b.num_rows else 0)], [np.full(a.num_rows if b.num_rows else 0, -1)], [np.full(a.num_rows if b.num_rows else 0, np.nan)]
+        for n in x.keys() & y.keys():
+            (rows, v), (cols, p) = x[n], y[n]
+            whole = np.column_stack([p, groups[1][cols].astype(np.float64)])
+            first = np.sort(np.unique(whole.view(f"V{whole.shape[1] * 8}").ravel(), return_index=True)[1])
+            cols, p = cols[first], p[first]
+            for i, j, s in _highest(v, p, groups[0][rows], groups[1][cols], within):
+                at.append(rows[i])
+                to.append(cols[j])
+                score.append(s)
+        at, to, score = (np.concatenate(c) for c in (at, to, score))
+        none = to < 0
+        found = b.column("profile").combine_chunks().take(pa.array(to, mask=none))
+        return pa.table({"trial": a.column("trial").combine_chunks().take(pa.array(at)), "profile": found, "score": pa.array(score, mask=none)})
+
+    keys = ["model", "_block", "_part"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, schema)
+
+
+def mean_profiles(profiles: DataFrame) -> DataFrame:
+    """(model, profile, p): the mean of a profile's vectors, of which each has a few. Its score is the mean of their scores."""
+    added = F.aggregate("_all", F.transform(F.col("_all")[0], lambda x: F.lit(0.0)), lambda s, v: F.zip_with(s, v, lambda x, y: x + y))
+    return profiles.groupBy("model", "profile").agg(F.collect_list("p").alias("_all")).select("model", "profile", F.transform(added, lambda x: x / F.size("_all")).alias("p"))
+
+
+def group_means(trials: DataFrame, profiles: DataFrame) -> DataFrame:
+    """(same_group, n, mean_score) of all pairs of a model: how many are of the same ``group`` or of two, and their mean score.
+
+    A sum of products of all pairs is the product of the sums, so each side is added up by group once.
+    """
+
+    def sums(df: DataFrame, v: str, name: str) -> DataFrame:
+        every = df.select("model", "group", F.posexplode(v).alias("i", "x")).groupBy("model", "group", "i").agg(F.sum("x").alias("x"))
+        return every.select("model", "group", "i", F.col("x").alias(name))
+
+    def pairs(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
+        return a.join(b, key).select((F.col("a") * F.col("b")).alias("s"))
+
+    ways = []
+    for keys in (["model", "group"], ["model"]):
+        t, p = (sums(df, v, name).groupBy(*keys, "i").agg(F.sum(name).alias(name)) for df, v, name in ((trials, "v", "a"), (profiles, "p", "b")))
+        total = pairs(t, p, [*keys, "i"]).agg(F.sum("s").alias("s"))
+        n, known = (
+            pairs(trials.groupBy(*keys).agg(F.count(a).alias("a")), profiles.groupBy(*keys).agg(F.count(b).alias("b")), keys).agg(F.coalesce(F.sum("s"), F.lit(0)).alias(name))
+            for name, a, b in (("n", F.lit(1), F.lit(1)), ("known", "v", "p"))
+        )
+        ways.append(total.crossJoin(n).crossJoin(known))
+    same, every = ways
+    other = same.select(F.col("s").alias("_s"), F.col("n").alias("_n"), F.col("known").alias("_k")).crossJoin(every).select((F.col("s") - F.coalesce("_s", F.lit(0.0))).alias("s"), (F.col("n") - F.col("_n")).alias("n"), (F.col("known") - F.col("_k")).alias("known"))
+    both = same.withColumn("same_group", F.lit(True)).unionByName(other.withColumn("same_group", F.lit(False)))
+    return both.where("n > 0").select("same_group", "n", F.when(F.col("known") > 0, F.col("s") / F.col("known")).alias("mean_score"))
+
+
 def best_match(scored: DataFrame, threshold: float = ACCEPT) -> DataFrame:
     """The best profile per trial, the first of equals; null below the threshold."""
-    top = scored.groupBy("trial").agg(F.min_by("profile", F.struct(-F.col("score"), "profile")).alias("profile"), F.max("score").alias("score"))
+    rank = F.when(F.col("score").isNotNull(), F.struct(-F.col("score"), "profile"))
+    top = scored.groupBy("trial").agg(F.min_by("profile", rank).alias("profile"), F.max("score").alias("score"))
     return top.select("trial", F.when(F.col("score") >= threshold, F.col("profile")).alias("profile"), "score")
 
 

@@ -12,7 +12,7 @@ from ..sources.derived import ENTRIES_SQL, EVENTS_SQL, entries, read, turns, wor
 from .scoring import _pairs
 from .speech import _MERGED
 from .voices import _SQL as VOICES_SQL
-from .voices import _scored
+from .voices import _profiles, _scored, _trials
 
 
 def _two_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,9 +54,11 @@ def ev11_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ev14_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EV-14: per trial the best score by one vector, by the mean, and by the best of a profile's two vectors."""
-    rows = _scored(spark, sf_dir).withColumn("second", F.expr("profile % 2")).withColumn("profile", F.expr("profile div 2"))
-    arms = rows.groupBy("trial", "profile").agg(F.max(F.when(F.col("second") == 0, F.col("score"))).alias("single"), F.avg("score").alias("average"), F.max("score").alias("best"))
-    return arms.groupBy("trial").agg(*[F.round(F.max(c), 6).alias(c) for c in ("single", "average", "best")])
+    trials, profiles = _trials(spark, sf_dir), _profiles(spark, sf_dir)
+    pairs = voices.mean_profiles(profiles.withColumn("profile", F.expr("profile div 2")))
+    arms = [("single", profiles.where("profile % 2 = 0")), ("average", pairs), ("best", profiles)]
+    each = [voices.highest_scores(trials, p).groupBy("trial").agg(F.round(F.max("score"), 6).alias(name)) for name, p in arms]
+    return each[2].join(each[0], "trial", "left").join(each[1], "trial", "left").select("trial", "single", "average", "best")
 
 
 def ev16_duration_gate(spark: SparkSession, sf_dir: str) -> DataFrame:

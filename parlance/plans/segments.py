@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..operators import records, voices
 from ..sources.derived import EVENTS_SQL, read, words
 from .voices import _SQL as VOICES_SQL
-from .voices import _scored
+from .voices import _profiles, _trials, _truth
 
 SEGMENT_US, OFFSET_US, GROUP = 40_000_000, 5_000_000, 100
 FAR_TARGETS = (0.0, 0.1)
@@ -50,14 +50,15 @@ def fn25_token_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ev19_cross_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EV-19: false alarms of galleries of other groups at the thresholds of the own group with the best detection at a false alarm rate."""
-    rows = _scored(spark, sf_dir).withColumn("place", F.when(F.col("trial") < 0, -F.col("trial") - 1).otherwise(F.col("trial")))
-    own = F.expr(f"place div {GROUP} = profile div {GROUP}")
-    truth = rows.select("trial", F.when(F.col("trial") >= 0, F.col("trial")).alias("true_profile")).distinct()
-    curve = voices.curve(rows.where(own).select("trial", "profile", "score"), truth)
+    place = F.when(F.col("trial") < 0, -F.col("trial") - 1).otherwise(F.col("trial"))
+    trials = _trials(spark, sf_dir).withColumn("group", F.floor(place / GROUP))
+    profiles = _profiles(spark, sf_dir).withColumn("group", F.expr(f"profile div {GROUP}"))
+    own = trials.join(profiles, ["model", "group"]).select("trial", "profile", voices.dot("v", "p").alias("score"))
+    curve = voices.curve(own, _truth(spark, sf_dir))
     targets = F.explode(F.array(*[F.lit(t) for t in FAR_TARGETS])).alias("target")
     best = F.min_by("score", F.struct(-F.col("dir"), "score"))
     points = curve.select("score", "dir", "far", targets).where("far <= target").groupBy("target").agg(best.alias("threshold"))
-    top = voices.best_match(rows.where(~own).select("trial", "profile", "score"), -2.0).select(F.round("score", 4).alias("score"))
+    top = voices.best_match(voices.highest_scores(trials, profiles, apart=True), -2.0).where("score is not null").select(F.round("score", 4).alias("score"))
     return F.broadcast(points).join(top).groupBy("target", "threshold").agg(F.round(F.avg((F.col("score") >= F.col("threshold")).cast("double")), 6).alias("cross_far"))
 
 

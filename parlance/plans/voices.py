@@ -29,7 +29,8 @@ def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return voices.scores(_trials(spark, sf_dir), _profiles(spark, sf_dir))
+    """Scores among which each trial's best is."""
+    return voices.highest_scores(_trials(spark, sf_dir), _profiles(spark, sf_dir))
 
 
 def jn07_best_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +40,8 @@ def jn07_best_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def so06_strangers_above(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SO-06: strangers whose best score is above a floor, highest first."""
-    top = voices.best_match(_scored(spark, sf_dir), -2.0).where("trial < 0").withColumn("score", F.round("score", 6))
+    strangers = voices.highest_scores(_trials(spark, sf_dir).where("trial < 0"), _profiles(spark, sf_dir))
+    top = voices.best_match(strangers, -2.0).withColumn("score", F.round("score", 6))
     return top.where("score > 0.3").orderBy(F.desc("score"), "trial")
 
 
@@ -57,8 +59,9 @@ def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ag07_mean_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG-07: per trial the profile with the greatest mean cosine, of profiles of up to eight vectors each."""
     wide = _profiles(spark, sf_dir).withColumn("profile", F.expr("profile div 8"))
-    mean = voices.scores(_trials(spark, sf_dir), wide).groupBy("trial", "profile").agg(F.round(F.avg("score"), 6).alias("score"))
-    return voices.best_match(mean, -2.0)
+    # Of means that are equal when rounded, the first profile counts.
+    mean = voices.highest_scores(_trials(spark, sf_dir), voices.mean_profiles(wide), within=2e-6)
+    return voices.best_match(mean.withColumn("score", F.round("score", 6)), -2.0)
 
 
 def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,9 +99,9 @@ def ag15_threshold_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def jn09_cross_group_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN-09: trials against profiles of the same and of other groups of 200 ids: how many, and their mean score."""
-    scored = _scored(spark, sf_dir).where("trial >= 0")
-    same = (F.expr("trial div 200") == F.expr("profile div 200")).alias("same_group")
-    return scored.groupBy(same).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 5).alias("mean_score"))
+    known = _trials(spark, sf_dir).where("trial >= 0").withColumn("group", F.expr("trial div 200"))
+    means = voices.group_means(known, _profiles(spark, sf_dir).withColumn("group", F.expr("profile div 200")))
+    return means.withColumn("mean_score", F.round("mean_score", 5))
 
 
 def so05_evict(spark: SparkSession, sf_dir: str) -> DataFrame:

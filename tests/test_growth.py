@@ -1,7 +1,10 @@
-"""Work that follows the input: no file per agent."""
+"""Work that follows the input: no row per pair of vectors, no file per agent."""
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from parlance.operators import voices
 from parlance.sources import annotations
 
 
@@ -13,3 +16,41 @@ def test_files_follow_partitions_not_agents(spark, tmp_path):
     assert len(list((tmp_path / "out").rglob("part-*"))) <= 3
     got = {(r.meeting, r.agent) for r in annotations.annotated_words(spark, str(tmp_path / "out")).collect()}
     assert got == {(f"m:{i % 7}", str(i)) for i in range(600)}
+
+
+def vectors(spark, n, seed, name, v):
+    """Vectors of which many are copies or differ by very little, one is null, one holds a null and one is shorter."""
+    draw = np.random.default_rng(seed)
+    base = draw.normal(size=(n // 3, 6))
+    rows = [(i, [float(x) for x in base[i % len(base)] * (1 + 1e-13 * (i % 2))]) for i in range(n)]
+    rows += [(n, None), (n + 1, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (n + 2, [1.0, 2.0])]
+    return spark.createDataFrame([("m" if i % 2 else "k", i, i // 10, x) for i, x in rows], f"model string, {name} long, group long, {v} array<double>").withColumn(v, voices.unit(v))
+
+
+@pytest.mark.parametrize("apart", [False, True])
+def test_highest_scores_are_those_of_all_pairs(spark, monkeypatch, apart):
+    monkeypatch.setattr(voices, "BLOCK", 16)
+    trials, profiles = vectors(spark, 60, 1, "trial", "v"), vectors(spark, 90, 1, "profile", "p")
+    pairs = trials.select("model", "trial", F.col("group").alias("a"), "v").join(profiles.select("model", "profile", F.col("group").alias("b"), "p"), "model")
+    every = (pairs.where("a <> b") if apart else pairs).select("trial", "profile", voices.dot("v", "p").alias("score")).where("score is not null")
+    want = {r.trial: (r.profile, r.score) for r in voices.best_match(every, -2.0).collect()}
+    found = voices.highest_scores(trials, profiles, apart=apart)
+    got = {r.trial: (r.profile, r.score) for r in voices.best_match(found, -2.0).collect()}
+    assert {t: x for t, x in got.items() if x != (None, None)} == want and set(got) == {r.trial for r in trials.collect()}
+    assert found.where("score is not null").count() <= 63 * 6 < every.count()
+    near = {(r.trial, r.profile) for r in voices.highest_scores(trials, profiles.where("profile >= 60"), within=0.5, apart=apart).where("score is not null").collect()}
+    kept = every.where("profile >= 60")
+    top = kept.groupBy("trial").agg(F.max("score").alias("top"))
+    assert near >= {(r.trial, r.profile) for r in kept.join(top, "trial").where("score > top - 0.5").collect() if r.profile < 90}
+
+
+def test_means_of_groups_and_profiles(spark):
+    trials, profiles = vectors(spark, 60, 1, "trial", "v").where("trial < 60"), vectors(spark, 90, 2, "profile", "p").where("profile < 90")
+    pairs = trials.withColumnRenamed("group", "a").join(profiles.withColumnRenamed("group", "b"), "model").select("trial", "profile", (F.col("a") == F.col("b")).alias("same_group"), voices.dot("v", "p").alias("score"))
+    want = {r.same_group: (r.n, r.s) for r in pairs.groupBy("same_group").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("s")).collect()}
+    got = {r.same_group: (r.n, r.mean_score) for r in voices.group_means(trials, profiles).collect()}
+    assert {k: n for k, (n, _) in got.items()} == {k: n for k, (n, _) in want.items()} and all(got[k][1] == pytest.approx(s, abs=1e-12) for k, (_, s) in want.items())
+    wide = profiles.withColumn("profile", F.expr("profile div 4"))
+    want = {(r.trial, r.profile): r.s for r in pairs.groupBy("trial", F.expr("profile div 4").alias("profile")).agg(F.avg("score").alias("s")).collect()}
+    got = voices.scores(trials, voices.mean_profiles(wide)).collect()
+    assert len(got) == len(want) and all(r.score == pytest.approx(want[r.trial, r.profile], abs=1e-12) for r in got)
