@@ -143,7 +143,9 @@ def matched_devices(wanted: DataFrame, devices: DataFrame) -> DataFrame:
     """(ask, id, problem) for each (ask, name) against devices (id, name): the one of that id, else the only one of that name; several of a name are refused."""
     asks, known = wanted.select("ask", composed("name").alias("_w")), devices.select("id", composed("name").alias("_n"))
     by_id = asks.join(known.select("id", F.col("id").alias("_i")).distinct(), F.col("_w") == F.col("_i")).select("ask", "id")
-    by_name = asks.join(known.distinct(), F.col("_w") == F.col("_n")).groupBy("ask").agg(F.count(F.lit(1)).alias("_many"), F.min("id").alias("_one"))
+    # Names are counted before they meet the asks, as many devices may share one that many ask for.
+    names = known.distinct().groupBy("_n").agg(F.count(F.lit(1)).alias("_c"), F.min("id").alias("_d"))
+    by_name = asks.join(names, F.col("_w") == F.col("_n")).groupBy("ask").agg(F.sum("_c").alias("_many"), F.min("_d").alias("_one"))
     joined = asks.join(by_id, "ask", "left").join(by_name, "ask", "left")
     found = F.coalesce("id", F.when(F.col("_many") == 1, F.col("_one")))
     problem = F.when(found.isNull(), F.when(F.col("_many") > 1, "ambiguous").otherwise("unknown"))

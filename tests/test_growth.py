@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from parlance.operators import voices
+from parlance.operators import measures, voices
 from parlance.plans import measures as plans
 from parlance.sources import annotations
 
@@ -66,3 +66,10 @@ def test_hours_take_seconds_to_the_nearest(spark, tmp_path):
     con.sql(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
     got = sorted(tuple(r) for r in plans.wn20_dominant_spans(spark, str(tmp_path)).collect())
     assert got == sorted(con.sql(plans.ORACLE_SQL["wn20_dominant_spans"]).fetchall())
+
+
+def test_devices_of_one_name(spark):
+    devices = spark.createDataFrame([(f"d{i}", "same" if i else "one") for i in range(50)], "id string, name string")
+    asks = spark.createDataFrame([(i, n) for i, n in enumerate(["same"] * 50 + ["one", "d7", "none"])], "ask long, name string")
+    got = {r.ask: (r.id, r.problem) for r in measures.matched_devices(asks, devices).collect()}
+    assert got == {**{i: (None, "ambiguous") for i in range(50)}, 50: ("d0", None), 51: ("d7", None), 52: (None, "unknown")}
