@@ -94,17 +94,23 @@ def caption_lines(words: DataFrame, most_chars: int = 250, gap_us: int = 1_500_0
     opens = F.coalesce(F.col("start_us") - F.lag("end_us").over(order) > gap_us, F.lit(True)).cast("int")
     parted = words.withColumn("_o", opens).withColumn("part", F.sum("_o").over(order))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["start_us", "seq"])
-        line, chars, numbers = 0, 0, []
-        for text in pdf["text"]:
-            numbers.append(line)
-            chars += len(text) + (chars > 0)
-            if chars >= most_chars:
-                line, chars = line + 1, 0
-        return pdf[["channel", "part", "seq"]].assign(line=numbers)
-
-    return parted.select("channel", "part", "seq", "start_us", "text").groupBy("channel", "part").applyInPandas(run, "channel long, part long, seq long, line int")
+    @F.pandas_udf("array<int>")
+    def numbered(sizes: pd.Series) -> pd.Series:
+        out = []
+        for row in sizes:
+            line, chars, numbers = 0, 0, []
+            for n in row.tolist():
+                numbers.append(line)
+                chars += n + (chars > 0)
+                if chars >= most_chars:
+                    line, chars = line + 1, 0
+            out.append(numbers)
+        return pd.Series(out)
+
+    # A part is a row, as most have a few words and a call for each would cost more than they do.
+    made = parted.groupBy("channel", "part").agg(F.array_sort(F.collect_list(F.struct("start_us", "seq", F.char_length("text").alias("n")))).alias("w"))
+    rows = made.select("channel", "part", F.explode(F.arrays_zip(F.col("w.seq").alias("seq"), numbered("w.n").alias("line"))).alias("x"))
+    return rows.select("channel", "part", "x.seq", "x.line")
 
 
 def upserted(store: DataFrame, new: DataFrame, most: int = KEPT_VECTORS) -> DataFrame:

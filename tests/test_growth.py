@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from parlance.operators import measures, voices
+from parlance.operators import measures, records, voices
 from parlance.plans import measures as plans
 from parlance.sources import annotations
 
@@ -68,6 +68,19 @@ def test_hours_take_seconds_to_the_nearest(spark, tmp_path):
     assert got == sorted(con.sql(plans.ORACLE_SQL["wn20_dominant_spans"]).fetchall())
 
 
+def test_captions_need_no_call_for_each_part(spark):
+    words = [(c, i, "w" * (1 + (i * 7 + c) % 30), i * 400_000 + (i // 25) * 2_000_000, i * 400_000 + (i // 25) * 2_000_000 + 300_000) for c in range(3) for i in range(100)]
+    made = records.caption_lines(spark.createDataFrame(words, "channel long, seq long, text string, start_us long, end_us long"), most_chars=60)
+    assert "FlatMapGroupsInPandas" not in made._jdf.queryExecution().toString()
+    want, held = set(), {}
+    for c, i, text, _, _ in words:
+        line, chars = held.get((c, i // 25), (0, 0))
+        want.add((c, i // 25 + 1, i, line))
+        chars += len(text) + (chars > 0)
+        held[c, i // 25] = (line + 1, 0) if chars >= 60 else (line, chars)
+    assert {tuple(r) for r in made.select("channel", "part", "seq", "line").collect()} == want
+
+
 def test_devices_of_one_name(spark):
     devices = spark.createDataFrame([(f"d{i}", "same" if i else "one") for i in range(50)], "id string, name string")
     asks = spark.createDataFrame([(i, n) for i, n in enumerate(["same"] * 50 + ["one", "d7", "none"])], "ask long, name string")
