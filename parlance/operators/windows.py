@@ -8,7 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -77,28 +80,26 @@ def pack_windows(segments: DataFrame, total_us: Column, longest: int = MAX_WINDO
 def cues(entries: DataFrame, key: list[str]) -> DataFrame:
     """Cues of entries with ``speaker`` and ``ws`` (words with start_us, end_us, text in order): a cue ends before 84 characters, 6 s or a 1 s pause are passed."""
 
-    def cut(words: list[dict]) -> list[dict]:
-        made: list[dict] = []
-        held: list[str] = []
-        chars = 0
-        for w in words:
-            last = made[-1] if made else None
-            n = len(w["text"])
-            if last and chars + 1 + n <= CUE_CHARS and w["end_us"] - last["start_us"] <= CUE_US and w["start_us"] - last["end_us"] <= CUE_GAP_US:
-                held.append(w["text"])
-                last["end_us"], chars = w["end_us"], chars + 1 + n
-            else:
-                if last:
-                    last["text"] = " ".join(held)
-                made.append({"start_us": w["start_us"], "end_us": w["end_us"]})
-                held, chars = [w["text"]], n
-        if made:
-            made[-1]["text"] = " ".join(held)
-        return made
-
-    @F.pandas_udf("array<struct<start_us: bigint, end_us: bigint, text: string>>")
-    def all_cues(ws: pd.Series) -> pd.Series:
-        return pd.Series([cut(list(x)) if x is not None else [] for x in ws])
+    @F.arrow_udf("array<struct<start_us: bigint, end_us: bigint, text: string>>")
+    def all_cues(ws: pa.Array) -> pa.Array:
+        # Words stay in Arrow; a cue is known by its first word.
+        many = pc.fill_null(pc.list_value_length(ws), 0).to_numpy(zero_copy_only=False)
+        words = ws.flatten()
+        start, end, size = words.field("start_us").to_pylist(), words.field("end_us").to_pylist(), pc.utf8_length(words.field("text")).to_pylist()
+        firsts, ends, at = [], [0], 0
+        for n in many.tolist():
+            for i in range(at, at + n):
+                if i > at and chars + 1 + size[i] <= CUE_CHARS and end[i] - start[firsts[-1]] <= CUE_US and start[i] - end[i - 1] <= CUE_GAP_US:
+                    chars += 1 + size[i]
+                else:
+                    firsts.append(i)
+                    chars = size[i]
+            at += n
+            ends.append(len(firsts))
+        bounds = np.array([*firsts, at], dtype=np.int32)
+        text = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds), words.field("text")), " ")
+        made = [words.field("start_us").take(pa.array(bounds[:-1])), words.field("end_us").take(pa.array(bounds[1:] - 1)), text]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(made, names=["start_us", "end_us", "text"]))
 
     made = entries.select(*key, "speaker", F.posexplode(all_cues("ws")).alias("seq", "c"))
     return made.select(*key, "speaker", "seq", "c.start_us", "c.end_us", "c.text")

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from parlance.operators import measures, records, voices
+from parlance.operators import measures, records, voices, windows
 from parlance.plans import measures as plans
 from parlance.sources import annotations
 
@@ -86,3 +86,10 @@ def test_devices_of_one_name(spark):
     asks = spark.createDataFrame([(i, n) for i, n in enumerate(["same"] * 50 + ["one", "d7", "none"])], "ask long, name string")
     got = {r.ask: (r.id, r.problem) for r in measures.matched_devices(asks, devices).collect()}
     assert got == {**{i: (None, "ambiguous") for i in range(50)}, 50: ("d0", None), 51: ("d7", None), 52: (None, "unknown")}
+
+
+def test_cues_of_many_entries(spark):
+    rows = [(1, "a", [(0, 10, "x"), (10, 20, "é" * 82), (20, 30, "z"), (2_000_000, 2_000_010, "late")]), (2, "b", []), (3, "c", None), (4, "d", [(5, 6, "w")])]
+    entries = spark.createDataFrame(rows, "k long, speaker string, ws array<struct<start_us: long, end_us: long, text: string>>")
+    got = [tuple(r) for r in windows.cues(entries, ["k"]).orderBy("k", "seq").collect()]
+    assert got == [(1, "a", 0, 0, 20, "x " + "é" * 82), (1, "a", 1, 20, 30, "z"), (1, "a", 2, 2_000_000, 2_000_010, "late"), (4, "d", 0, 5, 6, "w")]
