@@ -5,11 +5,13 @@ from __future__ import annotations
 import difflib
 import re
 import unicodedata
+from array import array
 from collections import Counter, defaultdict
 from itertools import permutations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -64,9 +66,19 @@ def aligned(ref: list[str], hyp: list[str]) -> list[tuple[str, int, int]]:
     return steps[::-1]
 
 
-@F.pandas_udf(_structs(step=T.StringType(), ref=T.IntegerType(), hyp=T.IntegerType()))
-def align(ref: pd.Series, hyp: pd.Series) -> pd.Series:
-    return pd.Series([[{"step": s, "ref": i, "hyp": j} for s, i, j in aligned(list(r), list(h))] for r, h in zip(ref, hyp)])
+@F.arrow_udf(_structs(step=T.StringType(), ref=T.IntegerType(), hyp=T.IntegerType()))
+def align(ref: pa.Array, hyp: pa.Array) -> pa.Array:
+    # Steps are kept as plain numbers, as a batch has some ten thousand rows of many steps.
+    kinds, places, others, ends = bytearray(), array("i"), array("i"), array("i", [0])
+    for r, h in zip(ref, hyp):
+        for step, i, j in aligned(r.as_py(), h.as_py()):
+            kinds.append("msid".index(step))
+            places.append(i)
+            others.append(j)
+        ends.append(len(kinds))
+    names = pa.array(list("msid")).take(pa.array(np.frombuffer(kinds, dtype=np.uint8)))
+    steps = pa.StructArray.from_arrays([names, pa.array(np.frombuffer(places, dtype=np.int32)), pa.array(np.frombuffer(others, dtype=np.int32))], names=["step", "ref", "hyp"])
+    return pa.ListArray.from_arrays(pa.array(np.frombuffer(ends, dtype=np.int32)), steps)
 
 
 def error_counts(rows: DataFrame, ref: str, hyp: str) -> DataFrame:
@@ -99,6 +111,33 @@ def coverage(short: pd.Series, long: pd.Series) -> pd.Series:
     return pd.Series([covered(a, b) for a, b in zip(short, long)])
 
 
+def common_length(a: str, b: str) -> int:
+    """Letters of the longest common subsequence, by bit-parallel columns in whole integers."""
+    masks: dict[str, int] = {}
+    for i, x in enumerate(a):
+        masks[x] = masks.get(x, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for x in b:
+        met = row & masks.get(x, 0)
+        row = ((row + met) | (row - met)) & full
+    return len(a) - row.bit_count()
+
+
+def covers(short: str, long: str, least: float) -> bool:
+    """Whether ``covered`` is at least ``least`` (over 0). It is 1 for a part of ``long``, and never more than the share of the longest common subsequence, so most pairs need no blocks."""
+    if short and short in long:
+        return least <= 1
+    if not short or common_length(short, long) / len(short) < least:
+        return False
+    return covered(short, long) >= least
+
+
+@F.pandas_udf(T.BooleanType())
+def echoed(short: pd.Series, long: pd.Series) -> pd.Series:
+    return pd.Series([covers(a, b, ECHO_COVERAGE) for a, b in zip(short, long)], dtype=bool)
+
+
 @F.pandas_udf(T.DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Twice the matching characters over all characters."""
@@ -119,7 +158,7 @@ def without_echo(mic: DataFrame, system: DataFrame, words: Column) -> DataFrame:
     a = mic.withColumn("_words", words).where(F.size("_words") >= ECHO_MIN_WORDS).select("meeting", "seq", "start_us", "end_us", F.array_join("_words", " ").alias("a"), reach(mic).alias("bin"))
     b = system.withColumn("_words", words).select("meeting", F.col("start_us").alias("s"), F.col("end_us").alias("e"), F.array_join("_words", " ").alias("b"), F.explode(F.sequence(bin_of(F.col("start_us"), width), bin_of(F.col("end_us"), width))).alias("bin"))
     near = a.join(b, ["meeting", "bin"]).where((F.col("e") >= F.col("start_us") - ECHO_WINDOW_US) & (F.col("s") <= F.col("end_us") + ECHO_WINDOW_US)).drop("bin").distinct()
-    echoes = near.where(coverage("a", "b") >= ECHO_COVERAGE).select("meeting", "seq").distinct()
+    echoes = near.where(echoed("a", "b")).select("meeting", "seq").distinct()
     return mic.join(echoes, ["meeting", "seq"], "left_anti")
 
 

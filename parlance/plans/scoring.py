@@ -17,7 +17,10 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reference words of conversation turns, and what was heard: words whose length is a multiple of 5 are lost, and every ninth is changed."""
     ref = T.plain_words(F.coalesce("text", F.lit("")))
     heard = F.transform(F.filter("ref", lambda w: F.char_length(w) % 5 != 0), lambda w, i: F.when(i % 9 == 8, F.concat(w, F.lit("x"))).otherwise(w))
-    return read(spark, sf_dir, "conversations").select("conv_id", "turn", ref.alias("ref")).withColumn("hyp", heard)
+    # Aligning takes milliseconds a turn, so turns are spread by number, not by size: texts that compress well are read in few tasks.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "text").repartition(parts, "conv_id", "turn")
+    return rows.select("conv_id", "turn", ref.alias("ref")).withColumn("hyp", heard)
 
 
 def ag11_word_errors(spark: SparkSession, sf_dir: str) -> DataFrame:

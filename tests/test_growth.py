@@ -1,12 +1,15 @@
 """Work that follows the input: no row per pair of vectors, no file per agent."""
 
+import random
+
 import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from parlance.operators import measures, records, voices, windows
+from parlance.operators import matching, measures, records, voices, windows
 from parlance.plans import measures as plans
+from parlance.plans import scoring
 from parlance.sources import annotations
 
 
@@ -68,6 +71,34 @@ def test_hours_take_seconds_to_the_nearest(spark, tmp_path):
     assert got == sorted(con.sql(plans.ORACLE_SQL["wn20_dominant_spans"]).fetchall())
 
 
+def test_coverage_is_bounded_by_the_common_letters(spark):
+    draw = random.Random(3)
+    for _ in range(300):
+        a, b = ("".join(draw.choices("abc ", k=draw.randrange(14))) for _ in range(2))
+        b = draw.choice([b, a, b[:3] + a + b[3:], a[:4] + b[:2] + a[4:]])
+        share = matching.covered(a, b)
+        assert not a or matching.common_length(a, b) >= round(share * len(a) - 1e-9)
+        assert all(matching.covers(a, b, least) == (share >= least) for least in (0.3, 0.5, 0.8, 1.0))
+    assert matching.common_length("abcbdab", "bdcaba") == 4
+    met = []
+    plain = matching.covered
+    try:
+        matching.covered = lambda *x: met.append(x)
+        assert not matching.covers("the first of many words", "something else at all", 0.8) and matching.covers("of many", "the first of many words", 0.8)
+    finally:
+        matching.covered = plain
+    assert not met
+
+
+def test_steps_and_turns_are_spread(spark, tmp_path):
+    rows = [(1, "a b c".split(), "a x c d".split()), (2, [], ["a"]), (3, ["a"], []), (4, [], []), (5, ["é", "b"], ["é", "b"])]
+    got = {r.k: [tuple(s) for s in r.s] for r in spark.createDataFrame(rows, "k int, a array<string>, b array<string>").select("k", matching.align("a", "b").alias("s")).collect()}
+    assert got == {k: matching.aligned(a, b) for k, a, b in rows}
+    turns = [(i, 0, "user", "one two three") for i in range(40)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    assert scoring._pairs(spark, str(tmp_path)).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_captions_need_no_call_for_each_part(spark):
     words = [(c, i, "w" * (1 + (i * 7 + c) % 30), i * 400_000 + (i // 25) * 2_000_000, i * 400_000 + (i // 25) * 2_000_000 + 300_000) for c in range(3) for i in range(100)]
     made = records.caption_lines(spark.createDataFrame(words, "channel long, seq long, text string, start_us long, end_us long"), most_chars=60)
