@@ -43,7 +43,7 @@ def candidate_pairs(shared: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def rest_of_large(large: DataFrame, found: DataFrame, payload: Callable[[DataFrame], DataFrame], compare: Callable, check: Callable | None) -> DataFrame:
-    """Verified pairs of large buckets that tie components of ``found`` (node, component) together.
+    """(a, b): components of ``found`` (node, component) that verified pairs of large buckets tie together; a node that is not in ``found`` is its own.
 
     ``payload`` turns (node) into (node, data binary). ``compare`` takes two lists of data and
     gives a boolean matrix; where it is true, ``check`` (if any) decides on lists of pairs of data. A
@@ -81,7 +81,6 @@ def rest_of_large(large: DataFrame, found: DataFrame, payload: Callable[[DataFra
                     root[c] = c = root[root[c]]
                 return c
 
-            node_left, node_right = left["node"].tolist(), right["node"].tolist()
             maybe, at = np.argwhere(ok).tolist(), 0
             while at < len(maybe):
                 some = [(x, y) for x, y in maybe[at : at + TOGETHER] if find(int(of_left[x])) != find(int(of_right[y]))]
@@ -91,7 +90,7 @@ def rest_of_large(large: DataFrame, found: DataFrame, payload: Callable[[DataFra
                     c, d = find(int(of_left[x])), find(int(of_right[y]))
                     if yes and c != d:
                         root[c] = d
-                        out.append((node_left[x], node_right[y]))
+                        out.append((of_left[x], of_right[y]))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return outside.unionByName(inside).groupBy("key", "i", "j").applyInPandas(run, "a long, b long")

@@ -27,6 +27,16 @@ def _small_star(edges: DataFrame, parts: int) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).coalesce(parts).distinct().coalesce(parts)
 
 
+def tied(found: DataFrame, more: DataFrame) -> DataFrame:
+    """``found`` (node, component) after links (a, b) between its components, and nodes that are not in it. Only these links go through rounds."""
+    more = cut(more)
+    if more.isEmpty():
+        return found
+    new = components(more)
+    old = found.join(new.select(F.col("node").alias("component"), F.col("component").alias("_to")), "component", "left").select("node", F.coalesce("_to", "component").alias("component"))
+    return old.unionByName(new.join(found, "node", "left_anti"))
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of ``links``; the component is its least node.
 

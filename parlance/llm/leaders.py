@@ -6,8 +6,11 @@ further leaders, each the first that is still left out. A bucket of over ``GROUP
 into parts; the leaders of its parts are then compared in the same way, so no task holds
 more than a part and the work of a bucket grows with its members and leaders, not with its square.
 
-In a bucket that unlike members may share, at most ``LEADERS`` are tried; the rest is returned, to be
-divided by a second key.
+In a bucket that unlike members may share, at most ``LEADERS`` are tried; the rest is returned.
+
+This connects all that can be connected only in buckets that are ``settled``. In a larger one a follower of a leader
+does not meet those that this leader left out, and members of different parts do not meet; such pairs
+are left to an exact comparison across components (``buckets.rest_of_large``).
 """
 
 from __future__ import annotations
@@ -140,6 +143,11 @@ def leader_links(members: DataFrame, parts: int, prepare: Prepare, patient: bool
         members = leaders.join(sizes, "key").select(F.col("key").alias("home"), "key", F.col("a").alias("node"), "size", F.lit(0).cast("long").alias("weight"), "data")
 
 
+def settled(size: Column) -> Column:
+    """Whether a bucket of this size is small enough for whoever its first member leaves out to meet all others."""
+    return (size * (size - 1) <= FEW) & (size <= GROUP)
+
+
 def weighed(shared: DataFrame, least: int) -> DataFrame:
     """``shared`` (key, home, node, size) with ``weight``: the sizes of all buckets of at least ``least`` members that a node is in."""
     heavy = shared.where(F.col("size") >= least).groupBy("node").agg(F.sum("size").alias("weight"))

@@ -19,8 +19,9 @@ vote:
 
 Candidates are linked if the edit similarity of their words (1 - distance / longer length; words are compared by
 hashes of 32 bits) is at least ``PERCENT`` / 100. In a bucket, the lines of a block, all are compared with its leaders
-(``leaders``), those first that share most large blocks with others. Where many lines are unlike
-all leaders, which only blocks of long lines let happen, the bucket is divided by a second block. Of each connected group of lines the first occurrence, by document id and line number, is
+(``leaders``), those first that share most large blocks with others. When the links that this finds are joined to groups, the
+lines of a large bucket that are outside its main group are compared with all its lines of other groups, so that
+all similar lines that share a block are connected. Of each connected group of lines the first occurrence, by document id and line number, is
 kept; the others are removed.
 
 A null or empty text has no lines that take part. A row with a null id takes no part and stays as
@@ -32,6 +33,7 @@ are documents of their own. Very long lines are compared whole. A column named `
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -39,10 +41,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .buckets import sized
+from .buckets import rest_of_large
 from .common import give_back, hashed_words, map_chunks, marked, mix, table, written
-from .components import components
-from .leaders import leader_links, weighed
+from .components import components, tied
+from .leaders import leader_links, settled, weighed
 
 MIN_WORDS, PERCENT = 5, 80
 SHORT, LONG, WIDE = 9, 8, 20
@@ -222,13 +224,18 @@ class WordRows:
     def enough(self, wrong: np.ndarray, longer: np.ndarray) -> np.ndarray:
         return 100 * (longer - wrong) >= self.percent * longer
 
+    def possible(self, n: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether lines of ``n`` and ``m`` words with signatures ``x`` and ``y`` may be similar."""
+        missing = np.abs(n - m)
+        for one, other in ((x, y), (y, x)):
+            missing = np.maximum(missing, sum(np.bitwise_count(one[..., k] & ~other[..., k]).astype(np.int64) for k in range(SIGNATURE)))
+        longer = np.maximum(n, m)
+        return self.enough(missing, longer) & (longer > 0)
+
     def alike(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         out = np.zeros(len(a), dtype=bool)
         n, m = self.size[a], self.size[b]
-        longer = np.maximum(n, m)
-        x, y = self.bits[a], self.bits[b]
-        missing = np.maximum(np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64), np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64))
-        open_ = self.enough(np.maximum(missing, np.abs(n - m)), longer) & (longer > 0)
+        open_ = self.possible(n, m, self.bits[a], self.bits[b])
         even = np.flatnonzero(open_ & (n == m))
         if len(even):
             many = n[even]
@@ -248,6 +255,17 @@ class WordRows:
         return self.words[self.first[i] : self.first[i] + self.size[i]].tolist()
 
 
+def _possible(percent: int, a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """Which of two lists of packed lines may be similar: a row for each of ``a``."""
+    x, y = (WordRows(pa.array(v, pa.binary()), np.arange(len(v)), percent) for v in (a, b))
+    return x.possible(x.size[:, None], y.size[None, :], x.bits[:, None], y.bits[None, :])
+
+
+def _alike(percent: int, a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """Which of the packed lines in ``a`` are similar to those at the same place in ``b``."""
+    return WordRows(pa.array([*a, *b], pa.binary()), np.arange(2 * len(a)), percent).alike(np.arange(len(a)), np.arange(len(a)) + len(a))
+
+
 def _line_rows(docs: DataFrame) -> DataFrame:
     """(doc_id, place, h1, h2, own, blocks, words) of all lines that take part; a place holds a checksum of the text and the line's number."""
 
@@ -340,6 +358,30 @@ def _met(dealt: DataFrame, parts: int) -> DataFrame:
     return once.select("key", F.get("nodes", F.lit(0)).alias("home"), F.explode("nodes").alias("node"), "size")
 
 
+def _hot_met(own: DataFrame, hot: np.ndarray) -> DataFrame:
+    """The rows of ``_met`` for the keys ``hot`` (in order), whose sizes go through the driver; a key is its own home."""
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, many = unpacked(batch.column("blocks"))
+            node = np.repeat(batch.column("h1").to_numpy(), many)
+            keep = np.isin(key, hot)
+            yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(node[keep])], names=["key", "node"])
+
+    keys = written(own.select("h1", "blocks").mapInArrow(held, "key long, node long").distinct())
+    counted = {r["key"]: r["n"] for r in keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = np.array([counted.get(k, 0) for k in hot.tolist()], dtype=np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = batch.column("key").to_numpy()
+            size = sizes[np.searchsorted(hot, key)]
+            rows = pa.RecordBatch.from_arrays([batch.column("key"), batch.column("key"), batch.column("node"), pa.array(size)], names=["key", "home", "node", "size"])
+            yield rows.filter(pa.array(size > 1))
+
+    return keys.mapInArrow(run, "key long, home long, node long, size long")
+
+
 def shared_blocks(own: DataFrame, lines: int | None = None) -> DataFrame:
     """(key, home, node, size) for the blocks that several classes of lines have.
 
@@ -354,34 +396,27 @@ def shared_blocks(own: DataFrame, lines: int | None = None) -> DataFrame:
     parts = max(int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + lines // LINES_A_BUCKET)
     found = _met(_dealt(own, hot, parts), parts)
     if len(hot):
-        keys = explode(own).join(F.broadcast(part.select("key")), "key")
-        found = found.unionByName(sized(keys.distinct()).withColumn("home", F.col("key")))
+        found = found.unionByName(_hot_met(own, hot))
     return written(found)
 
 
-def _links(own: DataFrame, percent: int) -> DataFrame:
-    """(a, b): similar lines, enough of them to connect all that are found to be similar."""
+def _groups(own: DataFrame, percent: int) -> DataFrame:
+    """(node, component) of the lines that are similar to others with which they share a block."""
     lines = own.count()
     parts = max(int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + lines // LINES_A_BUCKET)
 
-    def one_each(nodes: DataFrame, column: str) -> DataFrame:
-        """(node, column) of each of ``nodes``; the filter before the join keeps most other lines from the shuffle."""
-        some = marked(own.select(F.col("h1").alias("node"), column), "node", nodes).where("_marked").drop("_marked").join(nodes, "node")
-        return some.groupBy("node").agg(F.max(column).alias(column))
-
-    def linked(shared: DataFrame, patient: bool | int) -> tuple[DataFrame, DataFrame]:
-        nodes = written(shared.select("node").distinct())
-        members = weighed(shared, LARGE).join(one_each(nodes, "words"), "node").withColumnRenamed("words", "data")
-        return leader_links(members, parts, lambda packed, node: WordRows(packed, node, percent).alike, patient)
+    def words_of(nodes: DataFrame) -> DataFrame:
+        """(node, data) of each of ``nodes``; the filter before the join keeps most other lines from the shuffle."""
+        some = marked(own.select(F.col("h1").alias("node"), F.col("words").alias("data")), "node", nodes).where("_marked").drop("_marked").join(nodes, "node")
+        return some.groupBy("node").agg(F.max("data").alias("data"))
 
-    links, rest = linked(shared_blocks(own, lines), int(_SURE))
-    rest = written(rest)
-    if rest.isEmpty():
-        return links
-    blocks = one_each(written(rest.select("node").distinct()), "blocks")
-    both = exploded(rest.join(blocks, "node").withColumnRenamed("key", "first"), "node", "first").select("node", F.col("first").alias("key"), F.col("key").alias("other")).where("key <> other")
-    second = both.select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "node").distinct()
-    return links.unionByName(linked(written(sized(second).withColumn("home", F.col("key"))), True)[0])
+    shared = shared_blocks(own, lines)
+    members = weighed(shared, LARGE).join(words_of(written(shared.select("node").distinct())), "node")
+    links, _ = leader_links(members, parts, lambda packed, node: WordRows(packed, node, percent).alike, int(_SURE))
+    found = written(components(links))
+    large = shared.where(~settled(F.col("size"))).select("key", "node")
+    more = rest_of_large(large, found, lambda nodes: words_of(written(nodes)), partial(_possible, percent), partial(_alike, percent))
+    return written(tied(found, more))
 
 
 def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -391,7 +426,7 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     own = rows.where("own")
     checksum, number = F.shiftright("place", 32).alias("checksum"), F.col("place").bitwiseAND(0xFFFFFFFF).cast("int")
 
-    groups = written(components(_links(own, percent)))
+    groups = _groups(own, percent)
     classes = own.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc"), F.min_by("place", "doc_id").alias("first_place"), F.count(F.lit(1)).alias("n"))
     named = written(marked(classes, "h1", groups.select("node")).where("n > 1 or _marked").drop("_marked").join(groups, F.col("h1") == F.col("node"), "left").where("n > 1 or component is not null"))
     firsts = named.where("component is not null").groupBy("component").agg(F.min(F.struct("first_doc", "first_place")).alias("first"))
