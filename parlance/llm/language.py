@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_fold, map_chunks, mix, table
+from .common import give_back, id_fold, map_chunks, mix, table
 
 DIMENSIONS, PER_LANGUAGE, TRAINING, SEED = 1 << 13, 400, 12_000, 4
 UNDECIDED = "und"
@@ -91,8 +91,13 @@ def pack(total: np.ndarray) -> bytes:
     return zlib.compress(np.minimum(total, 65535).astype("<u2").tobytes(), 1)
 
 
+def compact(data: bytes) -> np.ndarray:
+    """Packed counts as they were packed, in 16 bits each."""
+    return np.frombuffer(zlib.decompress(data), dtype="<u2")
+
+
 def unpack(data: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(data), dtype="<u2").astype(np.int64)
+    return compact(data).astype(np.int64)
 
 
 class Profile:
@@ -103,6 +108,7 @@ class Profile:
         self.share = np.log(np.max(kept, axis=0)).astype(np.float32) if kept else None
 
     def fit_of(self, total: np.ndarray) -> float:
+        total = total.astype(np.int64)
         return float(total @ self.share) / max(1, int(total.sum()))
 
 
@@ -110,12 +116,13 @@ def shares_of(rows: list[tuple[str, np.ndarray]]) -> dict[str, np.ndarray]:
     """Smoothed shares of the sequences in each language; every text counts the same."""
     out: dict[str, np.ndarray] = {}
     for lang, total in rows:
+        total = total.astype(np.int64)
         out[lang] = out.get(lang, 0) + total / max(1, total.sum())
     return {lang: (v / v.sum() + SMOOTH / DIMENSIONS) / (1 + SMOOTH) for lang, v in out.items() if v.sum() > 0}
 
 
 def calibrated(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> tuple[np.ndarray | None, float]:
-    """The profile's logarithms and the floor, from (language, counts, counts of the shuffled text) of training texts."""
+    """The profile's logarithms and the floor, from (language, counts, counts of the shuffled text) of training texts. Counts may be of any whole numbers; they are widened one text at a time."""
     halves, inside, outside = (rows[::2], rows[1::2]), [], []
     for one, other in (halves, halves[::-1]):
         shares = shares_of([(lang, total) for lang, total, _ in one])
@@ -227,8 +234,15 @@ def fit(docs: DataFrame) -> Model:
         if len(per[r["lang"]]) < each:
             per[r["lang"]].append(r)
     kept = [r for lang in sorted(per) for r in per[lang]]
-    x = np.array([features(unpack(r["packed"])) for r in kept], dtype=np.float32).reshape(len(kept), DIMENSIONS)
-    return Model(x, [r["lang"] for r in kept], calibrated([(r["lang"], unpack(r["plain"]), unpack(r["noise"])) for r in kept if r["plain"] is not None]))
+    del rows, per
+    novelty = calibrated([(r["lang"], compact(r["plain"]), compact(r["noise"])) for r in kept if r["plain"] is not None])
+    x = np.empty((len(kept), DIMENSIONS), dtype=np.float32)
+    for i, r in enumerate(kept):
+        x[i] = features(unpack(r["packed"]))
+    model = Model(x, [r["lang"] for r in kept], novelty)
+    del x, kept
+    give_back()
+    return model
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
