@@ -73,6 +73,26 @@ def ties(n: int, starts: np.ndarray, patient: np.ndarray, alike: Alike) -> tuple
     return np.concatenate(links), np.sort(np.concatenate(leaders)), np.concatenate(rest) if rest else none
 
 
+def whole_buckets(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[pa.Table]:
+    """Tables of some ``TOGETHER`` rows of sorted batches. No bucket, rows that agree in the columns ``names``, is in two of them."""
+    held: list[pa.RecordBatch] = []
+    count = 0
+    for batch in batches:
+        held.append(batch)
+        count += batch.num_rows
+        if count < TOGETHER:
+            continue
+        rows = pa.Table.from_batches(held).combine_chunks()
+        # The last bucket may go on in the next batch.
+        same = np.logical_and.reduce([(c := rows.column(name).to_numpy()) == c[-1] for name in names])
+        whole = int(np.argmax(same))
+        if whole:
+            yield rows.slice(0, whole)
+        held, count = rows.slice(whole).to_batches(), rows.num_rows - whole
+    if count:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def _round(members: DataFrame, parts: int, patient: bool | int, prepare: Prepare) -> DataFrame:
     """``FOUND`` rows of (home, key, part, split, weight, node, data): links, the leaders of buckets that are split, and what is left."""
 
@@ -94,23 +114,8 @@ def _round(members: DataFrame, parts: int, patient: bool | int, prepare: Prepare
         yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(key[at]), pa.array(node[at]), pa.array(node[to]), held], names=["kind", "key", "a", "b", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        count = 0
-        for batch in batches:
-            held.append(batch)
-            count += batch.num_rows
-            if count < TOGETHER:
-                continue
-            rows = pa.Table.from_batches(held).combine_chunks()
-            key, part = rows.column("key").to_numpy(), rows.column("part").to_numpy()
-            same = (key == key[-1]) & (part == part[-1])  # the last bucket may go on in the next batch
-            whole = int(np.argmax(same))
-            if whole:
-                yield from work(rows.slice(0, whole))
-            held, count = rows.slice(whole).to_batches(), rows.num_rows - whole
-        if count:
-            yield from work(pa.Table.from_batches(held).combine_chunks())
-        held.clear()
+        for rows in whole_buckets(batches, "key", "part"):
+            yield from work(rows)
         give_back()
 
     # Buckets of one home lie together, so that pairs that meet in several of them are compared once.

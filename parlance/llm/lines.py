@@ -18,7 +18,8 @@ vote:
   similarity of 0.8 nine of ten pairs share a block, at 0.9 nearly all (README has figures).
 
 Candidates are linked if the edit similarity of their words (1 - distance / longer length; words are compared by
-hashes of 32 bits) is at least ``PERCENT`` / 100. In a bucket, the lines of a block, all are compared with its leaders
+hashes of 32 bits) is at least ``PERCENT`` / 100. Lines that are like no other of a bucket, the lines of a block, by signatures of
+their words leave it first (``promising``). In a bucket all are compared with its leaders
 (``leaders``), those first that share most large blocks with others. When the links that this finds are joined to groups, the
 lines of a large bucket that are outside its main group are compared with all its lines of other groups, so that
 all similar lines that share a block are connected. Of each connected group of lines the first occurrence, by document id and line number, is
@@ -41,16 +42,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .buckets import rest_of_large
+from .buckets import BLOCK, rest_of_large
 from .common import give_back, hashed_words, map_chunks, marked, mix, table, written
 from .components import components, tied
-from .leaders import leader_links, settled, weighed
+from .leaders import leader_links, settled, weighed, whole_buckets
 
 MIN_WORDS, PERCENT = 5, 80
 SHORT, LONG, WIDE = 9, 8, 20
 BLOCKS, MORE_BLOCKS, LARGE = 9, 12, 17
 #: Words of 64 bits in the signature of a line.
 SIGNATURE = 4
+#: Pairs of signatures that are compared together.
+PAIRS = 1 << 18
 #: A key is hot if it has this many rows, and this share of all, in one of ``HOT_PARTS`` parts of the rows.
 HOT, HOT_SHARE, HOT_PARTS = 16, 1e-4, 64
 #: Lines for each bucket in which blocks are sorted (some ten pairs of 16 bytes a line).
@@ -200,6 +203,19 @@ def similar(a: list, b: list, percent: int = PERCENT) -> bool:
     return 100 * (longer - edit_distance(a, b)) >= percent * longer
 
 
+def enough(percent: int, wrong: np.ndarray, longer: np.ndarray) -> np.ndarray:
+    return 100 * (longer - wrong) >= percent * longer
+
+
+def possible(percent: int, n: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether lines of ``n`` and ``m`` words with signatures ``x`` and ``y`` may be similar."""
+    missing = np.abs(n - m)
+    for one, other in ((x, y), (y, x)):
+        missing = np.maximum(missing, sum(np.bitwise_count(one[..., k] & ~other[..., k]).astype(np.int64) for k in range(SIGNATURE)))
+    longer = np.maximum(n, m)
+    return enough(percent, missing, longer) & (longer > 0)
+
+
 class WordRows:
     """Packed words of some lines, and which pairs of them (by place) are similar.
 
@@ -221,28 +237,17 @@ class WordRows:
             for k in range(SIGNATURE):
                 self.bits[held, k] = np.bitwise_or.reduceat(np.where(lane == k, bit, np.uint64(0)), self.first[held])
 
-    def enough(self, wrong: np.ndarray, longer: np.ndarray) -> np.ndarray:
-        return 100 * (longer - wrong) >= self.percent * longer
-
-    def possible(self, n: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Whether lines of ``n`` and ``m`` words with signatures ``x`` and ``y`` may be similar."""
-        missing = np.abs(n - m)
-        for one, other in ((x, y), (y, x)):
-            missing = np.maximum(missing, sum(np.bitwise_count(one[..., k] & ~other[..., k]).astype(np.int64) for k in range(SIGNATURE)))
-        longer = np.maximum(n, m)
-        return self.enough(missing, longer) & (longer > 0)
-
     def alike(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         out = np.zeros(len(a), dtype=bool)
         n, m = self.size[a], self.size[b]
-        open_ = self.possible(n, m, self.bits[a], self.bits[b])
+        open_ = possible(self.percent, n, m, self.bits[a], self.bits[b])
         even = np.flatnonzero(open_ & (n == m))
         if len(even):
             many = n[even]
             heads = np.cumsum(many) - many
             place = np.arange(int(many.sum())) - np.repeat(heads, many)
             unequal = self.words[np.repeat(self.first[a[even]], many) + place] != self.words[np.repeat(self.first[b[even]], many) + place]
-            out[even] = self.enough(np.add.reduceat(unequal, heads, dtype=np.int64), many)
+            out[even] = enough(self.percent, np.add.reduceat(unequal, heads, dtype=np.int64), many)
         for i in np.flatnonzero(open_ & ~out).tolist():
             x, y = int(self.nodes[a[i]]), int(self.nodes[b[i]])
             pair = (x, y) if x < y else (y, x)
@@ -258,7 +263,7 @@ class WordRows:
 def _possible(percent: int, a: list[bytes], b: list[bytes]) -> np.ndarray:
     """Which of two lists of packed lines may be similar: a row for each of ``a``."""
     x, y = (WordRows(pa.array(v, pa.binary()), np.arange(len(v)), percent) for v in (a, b))
-    return x.possible(x.size[:, None], y.size[None, :], x.bits[:, None], y.bits[None, :])
+    return possible(percent, x.size[:, None], y.size[None, :], x.bits[:, None], y.bits[None, :])
 
 
 def _alike(percent: int, a: list[bytes], b: list[bytes]) -> np.ndarray:
@@ -400,6 +405,56 @@ def shared_blocks(own: DataFrame, lines: int | None = None) -> DataFrame:
     return written(found)
 
 
+def with_partners(percent: int, starts: np.ndarray, size: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which members of buckets that begin at ``starts`` may be similar to another of their bucket, by words and signatures of each."""
+    n = len(size)
+    ends = np.append(starts[1:], n)
+    later = np.repeat(ends, ends - starts) - np.arange(n) - 1
+    before, out, at = np.cumsum(later) - later, np.zeros(n, dtype=bool), 0
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(before, before[at] + PAIRS)))
+        a = np.repeat(np.arange(at, to), later[at:to])
+        b = a + 1 + np.arange(len(a)) - np.repeat(before[at:to] - before[at], later[at:to])
+        near = enough(percent, np.abs(size[a] - size[b]), np.maximum(size[a], size[b]))
+        a, b = a[near], b[near]
+        near = possible(percent, size[a], size[b], bits[a], bits[b])
+        out[a[near]] = out[b[near]] = True
+        at = to
+    return out
+
+
+def promising(own: DataFrame, shared: DataFrame, parts: int, percent: int = PERCENT) -> DataFrame:
+    """``shared`` (key, home, node, size) without those that no other member of their bucket can be similar to, by signature.
+
+    The more lines there are the more of them share a block by chance. Their words need not go to its bucket. Buckets of
+    over ``BLOCK`` members stay as they are.
+    """
+    lanes = [f"s{k}" for k in range(SIGNATURE)]
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = WordRows(batch.column("words"), np.zeros(0), percent)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(x.size), *(pa.array(np.ascontiguousarray(x.bits[:, k]).view(np.int64)) for k in range(SIGNATURE))], names=["node", "n", *lanes])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_buckets(batches, "key"):
+            key = rows.column("key").to_numpy()
+            starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            bits = np.column_stack([rows.column(c).to_numpy().view(np.uint64) for c in lanes])
+            keep = with_partners(percent, starts, rows.column("n").to_numpy(), bits)
+            left = np.add.reduceat(keep, starts, dtype=np.int64)
+            size = np.repeat(left, np.diff(np.append(starts, len(key))))
+            yield from rows.select(["key", "home", "node"]).append_column("size", pa.array(size)).filter(pa.array(keep)).to_batches()
+        give_back()
+
+    few = shared.where(F.col("size") <= BLOCK)
+    some = marked(own.select(F.col("h1").alias("node"), "words"), "node", few.select("node")).where("_marked").select("node", "words")
+    signed = some.mapInArrow(sign, ", ".join(f"{c} long" for c in ("node", "n", *lanes))).groupBy("node").agg(*(F.max(c).alias(c) for c in ("n", *lanes)))
+    dealt = few.select("key", "home", "node").join(signed, "node").repartition(parts, "key").sortWithinPartitions("key")
+    kept = dealt.mapInArrow(run, "key long, home long, node long, size long")
+    return written(kept.unionByName(shared.where(F.col("size") > BLOCK)))
+
+
 def _groups(own: DataFrame, percent: int) -> DataFrame:
     """(node, component) of the lines that are similar to others with which they share a block."""
     lines = own.count()
@@ -410,7 +465,7 @@ def _groups(own: DataFrame, percent: int) -> DataFrame:
         some = marked(own.select(F.col("h1").alias("node"), F.col("words").alias("data")), "node", nodes).where("_marked").drop("_marked").join(nodes, "node")
         return some.groupBy("node").agg(F.max("data").alias("data"))
 
-    shared = shared_blocks(own, lines)
+    shared = promising(own, shared_blocks(own, lines), parts, percent)
     members = weighed(shared, LARGE).join(words_of(written(shared.select("node").distinct())), "node")
     links, _ = leader_links(members, parts, lambda packed, node: WordRows(packed, node, percent).alike, int(_SURE))
     found = written(components(links))

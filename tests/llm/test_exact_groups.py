@@ -54,3 +54,22 @@ def test_no_similar_pair_of_a_large_bucket_is_lost(spark, monkeypatch, group):
     texts = drifting(random.Random(5), 20, 8)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     assert {r.text for r in lines.deduplicate_lines(docs).where("text <> ''").collect()} == kept_by_all_pairs(texts)
+
+
+def test_words_go_only_to_buckets_with_possible_partners(spark):
+    """Unlike lines that share a block by chance stay out of it; all others stay in, and the size follows."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghij", k=4))
+    first = [[word() for _ in range(12)] for _ in range(40)]
+    texts = [" ".join(w) for w in first] + [" ".join([*w[:11], word()]) for w in first[:15]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    own = lines._line_rows(docs).where("own")
+    node = {r.doc_id: r.h1 for r in own.collect()}
+    members = [(k, d) for k in range(60) for d in rng.sample(range(len(texts)), 2 + k % 9)] + [(100 + k, d) for k in range(15) for d in (k, 40 + k)]
+    sizes = {k: sum(x == k for x, _ in members) for k, _ in members}
+    shared = spark.createDataFrame([(k, k, node[d], sizes[k]) for k, d in members], "key long, home long, node long, size long")
+    words = [t.split() for t in texts]
+    expected = {(k, node[d]) for k, d in members if any(x == k and e != d and lines.similar(words[d], words[e]) for x, e in members)}
+    found = {(r.key, r.node): r.size for r in lines.promising(own, shared, 4).collect()}
+    assert expected <= found.keys() and len(found) < len(members) / 2
+    assert found == {(k, n): sum(x == k for x, _ in found) for k, n in found}
