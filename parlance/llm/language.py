@@ -7,7 +7,7 @@ rooted and scaled to length 1. Machines are fitted by gradient steps on the squa
 Training rows are those whose id's crc32 modulo 5 is not 0, with a language and a text with
 letters; at most ``PER_LANGUAGE`` of them for each language are used, and ``TRAINING`` in all (fewer
 of each where there are many languages; none is left out), chosen by the smallest hash of id and
-text. Predictions read the whole text and nothing else.
+text. One task learns from this sample. Predictions read the whole text and nothing else.
 
 A text with ``SURE_LENGTH`` characters or more in words of letters is in no language that was learned if its
 sequences are too unlikely there: the mean logarithm of each sequence's share in the language that has it most is
@@ -22,9 +22,11 @@ training rows everything is ``und``, and known if it has letters. A null id is n
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from collections import defaultdict
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -228,21 +230,32 @@ def fit(docs: DataFrame) -> Model:
             "plain": [p and pack(counts(p)) for p in long], "noise": [p and pack(counts(shuffled(p))) for p in long],
         })
 
-    rows = map_chunks(chosen.select("lang", "draw", "text"), run, "lang string, draw double, packed binary, plain binary, noise binary").collect()
+    made = map_chunks(chosen.select("lang", "draw", "text"), run, "lang string, draw double, packed binary, plain binary, noise binary")
+
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = fitted([r for batch in batches for r in batch.itertuples(index=False)], each)
+        yield pd.DataFrame({"model": [pickle.dumps(model)]})
+        del model
+        give_back()
+
+    # One task learns from the sample, so that the driver holds no more than the weights.
+    learned = made.repartition(1).mapInPandas(learn, "model binary").collect()
+    return pickle.loads(learned[0]["model"]) if learned else fitted([], each)
+
+
+def fitted(rows: list, each: int) -> Model:
+    """The model learned from the first ``each`` rows (lang, draw, packed, plain, noise) of each language."""
     per: dict[str, list] = defaultdict(list)
-    for r in sorted(rows, key=lambda r: (r["draw"], bytes(r["packed"]))):
-        if len(per[r["lang"]]) < each:
-            per[r["lang"]].append(r)
+    for r in sorted(rows, key=lambda r: (r.draw, bytes(r.packed))):
+        if len(per[r.lang]) < each:
+            per[r.lang].append(r)
     kept = [r for lang in sorted(per) for r in per[lang]]
     del rows, per
-    novelty = calibrated([(r["lang"], compact(r["plain"]), compact(r["noise"])) for r in kept if r["plain"] is not None])
+    novelty = calibrated([(r.lang, compact(r.plain), compact(r.noise)) for r in kept if r.plain is not None])
     x = np.empty((len(kept), DIMENSIONS), dtype=np.float32)
     for i, r in enumerate(kept):
-        x[i] = features(unpack(r["packed"]))
-    model = Model(x, [r["lang"] for r in kept], novelty)
-    del x, kept
-    give_back()
-    return model
+        x[i] = features(unpack(r.packed))
+    return Model(x, [r.lang for r in kept], novelty)
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
