@@ -42,19 +42,27 @@ def without(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
     return flagged.where("not _marked").unionByName(some).select(*df.columns)
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows of whole texts, and of numbers, in an Arrow batch: the JVM and the Python worker each hold one or two batches a task.
+TEXTS, NUMBERS = 1000, 10_000
+
+
 @contextmanager
-def _tidied(spark: SparkSession) -> Iterator[None]:
-    """What is materialised in here leaves no shuffle files behind: nobody reads them again, and the disk holds those of one step at a time."""
+def _tidied(spark: SparkSession, rows: int = NUMBERS) -> Iterator[None]:
+    """What is materialised in here leaves no shuffle files behind: nobody reads them again, and the disk holds those of one step at a time. ``rows`` go to Python at once."""
     name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
+    wanted = {name: "true", ARROW_ROWS: str(rows)}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(name)
-        else:
-            spark.conf.set(name, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -64,10 +72,10 @@ def cut(df: DataFrame) -> DataFrame:
         return df.select("*").checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``cut`` as a Parquet table in the same folder: smaller, and read by column. Most columns are hashes, so no dictionaries are tried."""
+def written(df: DataFrame, rows: int = NUMBERS) -> DataFrame:
+    """``cut`` as a Parquet table in the same folder: smaller, and read by column. Most columns are hashes, so no dictionaries are tried. ``rows`` go to Python at once."""
     path = f"{_shared_folder(df.sparkSession)}/table-{uuid.uuid4()}"
-    with _tidied(df.sparkSession):
+    with _tidied(df.sparkSession, rows):
         df.write.option("parquet.enable.dictionary", "false").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -155,17 +163,20 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit integers."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs without ASCII white space in UTF-8 bytes."""
-    solid = np.zeros(len(data) + 2, dtype=np.int8)
+    solid = np.zeros(len(data) + 2, dtype=bool)
     solid[1:-1] = ~_SPACE[data]
-    edge = np.diff(solid)
-    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    edges = np.flatnonzero(solid[1:] != solid[:-1])
+    return edges[::2], edges[1::2]
 
 
 def hashed_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -129,16 +129,13 @@ def leader_links(members: DataFrame, parts: int, prepare: Prepare, patient: bool
     ``home`` is any number that buckets with the same members in part are likely to share. Members of more weight lead. ``patient`` says which buckets try as many leaders as it takes: all, or those whose key has this bit. Leaders of
     the parts of a bucket meet in further rounds, until they are one part or no fewer than before.
     """
-    spark = members.sparkSession
-    links = spark.createDataFrame([], "a long, b long")
-    rest = spark.createDataFrame([], "key long, node long")
-    before = None
+    links = rest = before = None  # an empty DataFrame made of a list would keep Python workers of its own alive
     while True:
         many = F.ceil(F.col("size") / GROUP)
         part = F.pmod(F.xxhash64(F.lit(0 if before is None else before), "node"), many)
         found = written(_round(members.select("home", "key", part.alias("part"), (many > 1).alias("split"), "weight", "node", "data"), parts, patient, prepare))
-        links = links.unionByName(found.where(F.col("kind") == LINK).select("a", "b"))
-        rest = rest.unionByName(found.where(F.col("kind") == REST).select("key", F.col("a").alias("node")))
+        more, left = found.where(F.col("kind") == LINK).select("a", "b"), found.where(F.col("kind") == REST).select("key", F.col("a").alias("node"))
+        links, rest = (more, left) if links is None else (links.unionByName(more), rest.unionByName(left))
         leaders = found.where(F.col("kind") == LEADER)
         n = leaders.count()
         if n == 0 or n == before:

@@ -4,7 +4,9 @@ A chunk is a run of white-space markers with the characters up to the next marke
 line feed, which is a chunk of its own). When no piece of the vocabulary holds a marker after
 another character, nor a line feed beside another character, merges never cross the border of
 two chunks, so each distinct chunk is segmented once and the ids of a text are those of its
-chunks, joined by position. ``check_vocabulary`` proves this for the model before use.
+chunks, joined by position. ``check_vocabulary`` proves this for the model before use. The model reads a
+space as a marker, so markers are written as spaces here: most chunks are then ASCII and decode to themselves,
+and the table holds one string for both.
 
 Each task keeps the table of the chunks that it has met, up to ``TABLE`` entries, then starts
 anew; nothing is shuffled. A null text counts as empty: no ids, empty decoded text.
@@ -24,7 +26,7 @@ from .common import map_chunks, table
 
 MARK = "▁"
 TABLE = 250_000
-CHUNK = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
+CHUNK = re.compile("\n| *[^ \n]+| +")
 
 
 def check_vocabulary(model) -> None:
@@ -58,17 +60,17 @@ class ChunkTable:
         """One call for all: line feeds, whose piece joins no other, keep the chunks apart."""
         if not chunks:
             return
-        ids = self.model.encode("\n" + "\n".join(chunks).replace(MARK, " "), num_threads=1)
+        ids = self.model.encode("\n" + "\n".join(chunks), num_threads=1)
         each = ",".join(map(str, ids)).split(f",{self.feed},")[1:]
         surfaces = self.model.decode(ids).split("\n")[1:]
         for chunk, joined, surface in zip(chunks, each, surfaces, strict=True):
-            self.known[chunk] = (joined, joined.count(",") + 1, surface)
+            self.known[chunk] = (joined, joined.count(",") + 1, chunk if surface == chunk else surface)
 
     def rows(self, texts: list[str]) -> Iterator[tuple[str, int, str]]:
         """Of each text: its ids joined by commas, their number, and the decoded text."""
         if len(self.known) > TABLE:
             self.known = {"\n": self.known["\n"]}
-        cut = [CHUNK.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        cut = [CHUNK.findall(" " + t.replace(MARK, " ")) if t else [] for t in texts]
         new = list({c for chunks in cut for c in chunks if c not in self.known})
         self._segment(new)
         known = self.known
