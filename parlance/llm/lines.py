@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .buckets import BLOCK, rest_of_large
-from .common import give_back, hashed_words, map_chunks, marked, mix, table, written
+from .common import TEXTS, give_back, hashed_words, map_chunks, marked, mix, table, written
 from .components import components, tied
 from .leaders import leader_links, settled, weighed, whole_buckets
 
@@ -68,7 +68,7 @@ _SURE = np.uint64(1)
 
 
 def folded(texts: list[str]) -> np.ndarray:
-    return _FOLD[np.frombuffer("\n".join(texts).lower().encode("utf-8", "surrogatepass"), dtype=np.uint8)]
+    return _FOLD[np.frombuffer(b"\n".join([t.lower().encode("utf-8", "surrogatepass") for t in texts]), dtype=np.uint8)]
 
 
 def sampled_blocks(words: np.ndarray, length: np.ndarray, size: np.ndarray, which: range) -> np.ndarray:
@@ -83,7 +83,7 @@ def sampled_blocks(words: np.ndarray, length: np.ndarray, size: np.ndarray, whic
             least = np.minimum.reduceat(rank, heads)
             votes.append(mix(least.view(np.uint64)))
             if vote < 2:
-                rank[rank == np.repeat(least, size)] = np.inf
+                np.putmask(rank, rank == np.repeat(least, size), np.inf)
         a, b, c = votes
         out[:, i] = ((a & b) | (a & c) | (b & c)) ^ _NAMES[j]
     return out
@@ -125,7 +125,7 @@ class Lines:
     def __init__(self, texts: list[str]):
         data = folded(texts)
         words, starts, ends = hashed_words(data)
-        of = np.searchsorted(np.flatnonzero(data == 10), starts)
+        of = np.cumsum(data == 10)[starts]
         heads = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, dtype=np.int64)
         size = np.diff(np.append(heads, len(of)))
         wide = size >= MIN_WORDS
@@ -207,12 +207,18 @@ def enough(percent: int, wrong: np.ndarray, longer: np.ndarray) -> np.ndarray:
     return 100 * (longer - wrong) >= percent * longer
 
 
-def possible(percent: int, n: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Whether lines of ``n`` and ``m`` words with signatures ``x`` and ``y`` may be similar."""
-    missing = np.abs(n - m)
-    for one, other in ((x, y), (y, x)):
-        missing = np.maximum(missing, sum(np.bitwise_count(one[..., k] & ~other[..., k]).astype(np.int64) for k in range(SIGNATURE)))
+def counted(bits: np.ndarray) -> np.ndarray:
+    """How many bits are set in each signature."""
+    out = np.zeros(bits.shape[:-1], dtype=np.int16)
+    for k in range(SIGNATURE):
+        out += np.bitwise_count(bits[..., k])
+    return out
+
+
+def possible(percent: int, n: np.ndarray, m: np.ndarray, p: np.ndarray, q: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether lines of ``n`` and ``m`` words with signatures ``x`` and ``y``, in which ``p`` and ``q`` bits are set, may be similar. The bits that one has and the other lacks are those of the fuller less those of both."""
     longer = np.maximum(n, m)
+    missing = np.maximum(np.abs(n - m), np.maximum(p, q) - counted(x & y))
     return enough(percent, missing, longer) & (longer > 0)
 
 
@@ -236,11 +242,14 @@ class WordRows:
             lane, bit = (self.words >> np.uint32(6)) % np.uint32(SIGNATURE), np.uint64(1) << (self.words & np.uint32(63)).astype(np.uint64)
             for k in range(SIGNATURE):
                 self.bits[held, k] = np.bitwise_or.reduceat(np.where(lane == k, bit, np.uint64(0)), self.first[held])
+        self.set = counted(self.bits)
 
     def alike(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         out = np.zeros(len(a), dtype=bool)
         n, m = self.size[a], self.size[b]
-        open_ = possible(self.percent, n, m, self.bits[a], self.bits[b])
+        open_ = enough(self.percent, np.abs(n - m), np.maximum(n, m))
+        near = np.flatnonzero(open_)
+        open_[near] = possible(self.percent, n[near], m[near], self.set[a[near]], self.set[b[near]], self.bits[a[near]], self.bits[b[near]])
         even = np.flatnonzero(open_ & (n == m))
         if len(even):
             many = n[even]
@@ -263,7 +272,7 @@ class WordRows:
 def _possible(percent: int, a: list[bytes], b: list[bytes]) -> np.ndarray:
     """Which of two lists of packed lines may be similar: a row for each of ``a``."""
     x, y = (WordRows(pa.array(v, pa.binary()), np.arange(len(v)), percent) for v in (a, b))
-    return possible(percent, x.size[:, None], y.size[None, :], x.bits[:, None], y.bits[None, :])
+    return possible(percent, x.size[:, None], y.size[None, :], x.set[:, None], y.set[None, :], x.bits[:, None], y.bits[None, :])
 
 
 def _alike(percent: int, a: list[bytes], b: list[bytes]) -> np.ndarray:
@@ -282,7 +291,7 @@ def _line_rows(docs: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays(columns, names=["doc_id", "place", "h1", "h2", "own", "blocks", "words"])
 
     made = map_chunks(docs.select("doc_id", "text", _checksum().alias("checksum")), run, "doc_id long, place long, h1 long, h2 long, own boolean, blocks binary, words binary")
-    return written(made)
+    return written(made, TEXTS)
 
 
 def _checksum():
@@ -309,21 +318,27 @@ def exploded(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.select("blocks", *columns).mapInArrow(run, ", ".join(f"{c} long" for c in ("key", *columns)))
 
 
+def among(hot: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Which keys are in ``hot``, a short list in order."""
+    return hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key if len(hot) else np.zeros(len(key), dtype=bool)
+
+
 def _dealt(own: DataFrame, hot: np.ndarray, parts: int) -> DataFrame:
-    """(bucket, pairs): the (key, node) of each batch of lines but those of hot keys, each pair once, packed by the bucket of the key."""
+    """(bucket, pairs): the (key, node) of each batch of lines but those of hot keys, of equal lines once, packed by the bucket of the key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            once = np.unique(batch.column("h1").to_numpy(), return_index=True)[1]  # equal lines have equal blocks
+            batch = batch.take(pa.array(once))
             key, many = unpacked(batch.column("blocks"))
             node = np.repeat(batch.column("h1").to_numpy(), many)
-            keep = ~np.isin(key, hot)
+            keep = ~among(hot, key)
             key, node = key[keep], node[keep]
-            once = np.unique(mix(key.view(np.uint64) + mix(node.view(np.uint64))), return_index=True)[1]
-            key, node = key[once], node[once]
             bucket = (mix(key.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            packed = np.column_stack([key, node])[order]
-            found, first = np.unique(bucket[order], return_index=True)
+            order = np.argsort(bucket.astype(np.uint16) if parts <= 1 << 16 else bucket, kind="stable")  # narrow numbers are sorted by digits
+            packed, bucket = np.column_stack([key[order], node[order]]), bucket[order]
+            first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[: len(bucket)])
+            found = bucket[first]
             ends = np.append(16 * first, 16 * len(packed)).astype(np.int32)
             blobs = pa.Array.from_buffers(pa.binary(), len(found), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(packed))])
             yield pa.RecordBatch.from_arrays([pa.array(found), blobs], names=["bucket", "pairs"])
@@ -339,6 +354,11 @@ def _met(dealt: DataFrame, parts: int) -> DataFrame:
         blobs = [b for batch in batches for b in batch.column("pairs").to_pylist()]
         pairs = np.frombuffer(b"".join(blobs), dtype=np.int64).reshape(-1, 2)
         del blobs
+        # Few keys stand in more than one pair: only these are ordered by node too.
+        order = np.argsort(pairs[:, 0])
+        same = np.diff(pairs[order, 0]) == 0
+        pairs = pairs[order[np.append(same, False)[: len(order)] | np.append(False, same)[: len(order)]]]
+        del order, same
         pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
         pairs = pairs[np.append(True, (pairs[1:] != pairs[:-1]).any(axis=1))[: len(pairs)]]
         heads = np.flatnonzero(np.append(True, pairs[1:, 0] != pairs[:-1, 0])[: len(pairs)])
@@ -370,7 +390,7 @@ def _hot_met(own: DataFrame, hot: np.ndarray) -> DataFrame:
         for batch in batches:
             key, many = unpacked(batch.column("blocks"))
             node = np.repeat(batch.column("h1").to_numpy(), many)
-            keep = np.isin(key, hot)
+            keep = among(hot, key)
             yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(node[keep])], names=["key", "node"])
 
     keys = written(own.select("h1", "blocks").mapInArrow(held, "key long, node long").distinct())
@@ -410,14 +430,14 @@ def with_partners(percent: int, starts: np.ndarray, size: np.ndarray, bits: np.n
     n = len(size)
     ends = np.append(starts[1:], n)
     later = np.repeat(ends, ends - starts) - np.arange(n) - 1
-    before, out, at = np.cumsum(later) - later, np.zeros(n, dtype=bool), 0
+    before, out, at, many = np.cumsum(later) - later, np.zeros(n, dtype=bool), 0, counted(bits)
     while at < n:
         to = max(at + 1, int(np.searchsorted(before, before[at] + PAIRS)))
         a = np.repeat(np.arange(at, to), later[at:to])
         b = a + 1 + np.arange(len(a)) - np.repeat(before[at:to] - before[at], later[at:to])
         near = enough(percent, np.abs(size[a] - size[b]), np.maximum(size[a], size[b]))
         a, b = a[near], b[near]
-        near = possible(percent, size[a], size[b], bits[a], bits[b])
+        near = possible(percent, size[a], size[b], many[a], many[b], bits[a], bits[b])
         out[a[near]] = out[b[near]] = True
         at = to
     return out
@@ -505,8 +525,13 @@ def deduplicate_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     def left(text: pd.Series, drop: pd.Series) -> pd.Series:
         out = []
         for t, gone in zip(text, drop):
-            gone = set() if gone is None else set(gone.tolist())
-            out.append("\n".join([x for i, x in enumerate(t.split("\n")) if i not in gone]) if gone else t)
+            if gone is None or not len(gone):
+                out.append(t)
+                continue
+            parts = t.split("\n")
+            for i in sorted(gone.tolist(), reverse=True):
+                del parts[i]
+            out.append("\n".join(parts))
         return pd.Series(out, dtype=object)
 
     n_lines = F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"))) + 1
