@@ -65,10 +65,10 @@ def _tidied(spark: SparkSession, rows: int = NUMBERS) -> Iterator[None]:
                 spark.conf.set(k, v)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and drop its lineage."""
+def cut(df: DataFrame, rows: int = NUMBERS) -> DataFrame:
+    """Materialise ``df`` in the shared checkpoint folder and drop its lineage. ``rows`` go to Python at once."""
     _shared_folder(df.sparkSession)
-    with _tidied(df.sparkSession):
+    with _tidied(df.sparkSession, rows):
         return df.select("*").checkpoint(eager=True)
 
 

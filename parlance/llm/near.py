@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .buckets import link, sized
-from .common import cut, map_chunks, mix, shingle_hashes, table, word_hashes
+from .common import TEXTS, cut, map_chunks, mix, shingle_hashes, table, word_hashes
 
 ROWS = 4
 
@@ -123,7 +123,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text)."""
     docs = docs.select("doc_id", "text")
     bands = bands_for(percent)
-    made = cut(sketches(docs, words, bands))
+    made = cut(sketches(docs, words, bands), TEXTS)
     linkable = made.where("n > 0 and doc_id is not null")
     classes = linkable.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"))
     mine = cut(made.select("doc_id", "n", "s1", "s2").join(classes, ["s1", "s2", "n"], "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep")))
@@ -134,7 +134,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     def verify(pairs: DataFrame, large: DataFrame) -> DataFrame:
         ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).unionByName(large.select(F.col("node").alias("doc_id")))
         kept["texts"] = cut(docs.join(ids.distinct(), "doc_id"))
-        return verified(pairs, kept["texts"], words, percent)
+        return cut(verified(pairs, kept["texts"], words, percent), TEXTS)
 
     def payload(nodes: DataFrame) -> DataFrame:
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
